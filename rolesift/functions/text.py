@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 from html.entities import name2codepoint
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,19 +45,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), lowered(text), F.lit(" ")), NOT_WORD, " ")
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
-    """Whether the words of ``phrase`` (lower case, single spaces) stand in
-    ``text`` as whole words in that order. The plain ``contains`` tests come
-    first, so only rows holding every word pay for the normalisation."""
+def words_if_any(text: Column, phrases: list[str]) -> Column:
+    """``normalised(text)`` where all words of some phrase occur in it, else
+    null. The plain ``contains`` tests are far cheaper than the normalisation,
+    which long texts without any of the words are spared."""
     low = lowered(text)
-    words = [low.contains(word) for word in phrase.split()]
-    return reduce(
-        lambda a, b: a & b, [*words, normalised(text).contains(f" {phrase} ")]
-    )
+    candidates = [
+        reduce(and_, [low.contains(word) for word in phrase.split()]) for phrase in phrases
+    ]
+    return F.when(reduce(or_, candidates), normalised(text))
+
+
+def holds(words: Column, phrase: str) -> Column:
+    """Whether a phrase (lower case, single spaces) stands in normalised text
+    as whole words in that order."""
+    return F.coalesce(words.contains(f" {phrase} "), F.lit(False))
 
 
 def has_any_phrase(text: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [has_phrase(text, p) for p in phrases])
+    words = words_if_any(text, phrases)
+    return reduce(or_, [holds(words, phrase) for phrase in phrases])
 
 
 def years_required(text: Column) -> Column:

@@ -8,6 +8,7 @@ joined on whole phrases; the result is the same.
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ MOST_COMPILED = 200
 MOST_BROADCAST = 100_000
 MOST_BROADCAST_BYTES = 64 << 20
 SALTS = 16
-YEARS = "_years"
+HITS = "array<struct<rule_id:string,kind:string,weight:bigint>>"
 
 
 def _clean(rules: DataFrame) -> DataFrame:
@@ -54,34 +55,37 @@ def few_rules(rules: DataFrame, most: int = MOST_COMPILED) -> list[Row] | None:
     return sorted(rows, key=lambda r: r.rule_id)
 
 
-def _with_years(postings: DataFrame, needed: bool) -> DataFrame:
-    if not needed:
-        return postings
-    return postings.withColumn(YEARS, X.years_required(F.col("description")))
-
-
-def _condition(rule: Row) -> Column:
-    if rule.field == "years":
-        return F.coalesce(F.col(YEARS) >= int(rule.term), F.lit(False))
-    if not rule.term:
-        return F.lit(False)
-    return X.has_phrase(F.col(rule.field), rule.term)
-
-
 def _flagged(postings: DataFrame, rules: list[Row]) -> tuple[DataFrame, list[str]]:
-    """One boolean column per rule."""
-    names = [f"_rule_{i}" for i in range(len(rules))]
-    flagged = _with_years(postings, any(r.field == "years" for r in rules)).withColumns(
-        {name: _condition(rule) for name, rule in zip(names, rules)}
-    )
-    return flagged.drop(YEARS), names
-
-
-def _largest(weights: list[Column]) -> Column:
-    if not weights:
-        return F.lit(0).cast("long")
-    best = F.greatest(*weights) if len(weights) > 1 else weights[0]
-    return F.coalesce(best, F.lit(0).cast("long"))
+    """One boolean column per rule. Each text is normalised at most once."""
+    inputs = {}
+    for field in TEXT_FIELDS:
+        phrases = [r.term for r in rules if r.field == field and r.term]
+        if phrases:
+            inputs[f"_{field}"] = X.words_if_any(F.col(field), phrases)
+    if any(r.field == "years" for r in rules):
+        inputs["_years"] = X.years_required(F.col("description"))
+
+    def flag(rule: Row) -> Column:
+        if rule.field == "years":
+            return F.coalesce(F.col("_years") >= int(rule.term), F.lit(False))
+        return X.holds(F.col(f"_{rule.field}"), rule.term) if rule.term else F.lit(False)
+
+    flags = {f"_rule_{i}": flag(rule) for i, rule in enumerate(rules)}
+    return postings.withColumns(inputs).withColumns(flags).drop(*inputs), list(flags)
+
+
+def _compiled_score(rules: list[Row], flags: list[str]) -> Column:
+    weights = {
+        kind: [F.when(F.col(f), r.weight) for f, r in zip(flags, rules) if r.kind == kind]
+        for kind in KINDS
+    }
+    none = F.lit(0).cast("long")
+    best = [
+        F.coalesce(F.greatest(*found, F.lit(None)), none)
+        for found in (weights["role"], weights["location"])
+        if found
+    ]
+    return reduce(add, [*best, *[F.coalesce(w, none) for w in weights["penalty"]]], none)
 
 
 def score_postings(
@@ -97,27 +101,14 @@ def score_postings(
         return postings.join(_add_up(totals), "posting_id", "left").select(
             *postings.columns, "score", "matched_rules"
         )
-    flagged, names = _flagged(postings, few)
-    weight = {
-        kind: [
-            F.when(F.col(n), F.lit(r.weight).cast("long"))
-            for n, r in zip(names, few)
-            if r.kind == kind
-        ]
-        for kind in KINDS
-    }
-    zero = F.lit(0).cast("long")
-    penalties = reduce(
-        lambda a, b: a + b, [F.coalesce(w, zero) for w in weight["penalty"]], zero
-    )
+    flagged, flags = _flagged(postings, few)
+    reasons = [F.when(F.col(f), r.rule_id) for f, r in zip(flags, few)]
     return flagged.withColumns(
         {
-            "score": _largest(weight["role"]) + _largest(weight["location"]) + penalties,
-            "matched_rules": F.concat_ws(
-                ",", *[F.when(F.col(n), F.lit(r.rule_id)) for n, r in zip(names, few)]
-            ),
+            "score": _compiled_score(few, flags),
+            "matched_rules": F.concat_ws(",", *reasons),
         }
-    ).drop(*names)
+    ).drop(*flags)
 
 
 def match_rules(
@@ -128,80 +119,81 @@ def match_rules(
     few = few_rules(rules, most_compiled)
     if few is None:
         return _match_by_phrase(postings, rules)
-    flagged, names = _flagged(postings, few)
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(n),
-                    F.struct(
-                        F.lit(r.rule_id).alias("rule_id"),
-                        F.lit(r.kind).alias("kind"),
-                        F.lit(r.weight).cast("long").alias("weight"),
-                    ),
-                )
-                for n, r in zip(names, few)
-            ]
+    flagged, flags = _flagged(postings, few)
+    values = [
+        F.struct(
+            F.lit(r.rule_id).alias("rule_id"),
+            F.lit(r.kind).alias("kind"),
+            F.lit(r.weight).cast("long").alias("weight"),
         )
-    ) if few else F.array().cast("array<struct<rule_id:string,kind:string,weight:bigint>>")
-    return flagged.select("posting_id", F.explode_outer(hits).alias("hit")).select(
-        "posting_id", "hit.rule_id", "hit.kind", "hit.weight"
+        for r in few
+    ]
+    # The numbers of the rules that hold, or one empty text if none does. Made
+    # of plain functions, so nothing leaves generated code.
+    numbers = F.split(
+        F.concat_ws(",", *[F.when(F.col(f), str(i)) for i, f in enumerate(flags, 1)]), ","
+    )
+    rule = F.try_element_at(F.array(*values).cast(HITS), F.col("number").try_cast("int"))
+    return (
+        flagged.select("posting_id", F.explode(numbers).alias("number"))
+        .select("posting_id", rule.alias("hit"))
+        .select("posting_id", "hit.rule_id", "hit.kind", "hit.weight")
     )
 
 
-def _grams(text: Column, lengths: Column) -> Column:
-    """The distinct phrases of the given word counts."""
-    words = F.split(F.trim(X.normalised(text)), " ")
-
-    def of_length(n: Column) -> Column:
-        last = F.size(words) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda at: F.array_join(F.slice(words, at, n), " "),
+def _phrases(postings: DataFrame, lengths: list[int]) -> DataFrame:
+    """``posting_id, field, term``: every run of words of the given lengths in
+    every text field. "At least n years" becomes an equality as well: a posting
+    that asks for 3 years holds the terms 0, 1, 2 and 3."""
+    words = {f: F.split(F.trim(X.normalised(F.col(f))), " ") for f in TEXT_FIELDS}
+    words["years"] = F.when(
+        F.col("_years") >= 0, F.sequence(F.lit(0), F.col("_years")).cast("array<string>")
+    )
+    texts = F.array(
+        *[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()]
+    )
+    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
+    return (
+        postings.withColumn("_years", X.years_required(F.col("description")))
+        .select("posting_id", F.explode(texts).alias("text"))
+        .select("posting_id", "text.field", "text.words", F.posexplode("text.words"))
+        .select("posting_id", "field", "words", "pos", F.explode(sizes).alias("n"))
+        .filter(F.col("pos") + F.col("n") <= F.size("words"))
+        .select(
+            "posting_id",
+            "field",
+            F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("term"),
         )
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
-def _held(field: str, terms: Column) -> Column:
-    return F.transform(
-        terms,
-        lambda t: F.struct(F.lit(field).alias("field"), t.cast("string").alias("term")),
     )
 
 
 def _match_by_phrase(postings: DataFrame, rules: DataFrame) -> DataFrame:
     """``match_rules`` for any number of rules: the phrases of each posting
-    meet the rules in an equi-join on (field, phrase)."""
+    meet the rules in an equi-join on (field, term)."""
     rules = _clean(rules).filter(F.col("term") != "")
-    # A few whole numbers: the phrase lengths that occur, and the table's size.
+    # One row: the phrase lengths that occur and the size of the table.
     facts = rules.agg(
         F.collect_set(F.size(F.split("term", " "))).alias("lengths"),
         F.count("*").alias("n"),
         F.sum(F.octet_length("term") + F.octet_length("rule_id") + 64).alias("bytes"),
     ).first()
-    lengths = F.array(*[F.lit(n) for n in sorted(facts.lengths)]).cast("array<int>")
-    phrases = [_held(field, _grams(F.col(field), lengths)) for field in TEXT_FIELDS]
-    # "At least n years" as an equality: a posting asking for 3 holds 0, 1, 2, 3.
-    years = F.when(F.col(YEARS) >= 0, F.sequence(F.lit(0), F.col(YEARS)))
-    phrases.append(_held("years", F.coalesce(years, F.array().cast("array<int>"))))
-    held = (
-        _with_years(postings, True)
-        .select("posting_id", F.explode(F.concat(*phrases)).alias("held"))
-        .select("posting_id", "held.field", "held.term")
-    )
+    held = _phrases(postings, sorted(facts.lengths))
     if facts.n <= MOST_BROADCAST and (facts.bytes or 0) <= MOST_BROADCAST_BYTES:
         matches = held.join(F.broadcast(rules), ["field", "term"])
     else:
         # Common words are hot keys: spread each over SALTS tasks.
         salted = held.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(SALTS)))
-        copies = rules.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        )
+        copies = rules.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         matches = salted.join(copies, ["field", "term", "_salt"])
-    return postings.select("posting_id").join(
-        matches.select("posting_id", "rule_id", "kind", "weight"), "posting_id", "left"
+    # A phrase may stand in a text more than once: each rule counts once.
+    found = matches.groupBy("posting_id").agg(
+        F.collect_set(F.struct("rule_id", "kind", "weight")).alias("found")
+    )
+    return (
+        postings.select("posting_id")
+        .join(found, "posting_id", "left")
+        .select("posting_id", F.explode_outer("found").alias("hit"))
+        .select("posting_id", "hit.rule_id", "hit.kind", "hit.weight")
     )
 
 
@@ -216,9 +208,7 @@ def _score_aggregates() -> list[Column]:
 
 def _add_up(totals: DataFrame) -> DataFrame:
     parts = ["_role", "_location", "_penalty"]
-    total = reduce(
-        lambda a, b: a + b, [F.coalesce(F.col(p), F.lit(0).cast("long")) for p in parts]
-    )
+    total = reduce(add, [F.coalesce(F.col(p), F.lit(0).cast("long")) for p in parts])
     return totals.withColumn("score", total).drop(*parts)
 
 

@@ -30,9 +30,9 @@ def first_seen(
 
     Streaming deduplication has no partial step, so a hot url would send all
     its rows to one task: repeats are dropped before the shuffle. Without
-    ``delay`` a url is remembered for good. With it (say "30 days") a url is
-    forgotten that long after it was seen, which bounds the state; a posting
-    seen again later counts as new.
+    ``delay`` a url is remembered for good. With it (say "30 days") the state
+    is bounded: a url is forgotten once the watermark is that far past it, and
+    is new again when seen after that.
     """
     once = stream.mapInArrow(_first_per_task, stream.schema)
     if delay is None:
