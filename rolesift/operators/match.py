@@ -19,7 +19,8 @@ from rolesift.schema import RULE
 TEXT_FIELDS = ["title", "location", "description"]
 FIELDS = [*TEXT_FIELDS, "years"]
 KINDS = ["role", "location", "penalty"]
-MOST_COMPILED = 200
+# Measured: about where the join overtakes one projection per rule.
+MOST_COMPILED = 100
 MOST_BROADCAST = 100_000
 MOST_BROADCAST_BYTES = 64 << 20
 SALTS = 16
@@ -141,10 +142,10 @@ def match_rules(
     )
 
 
-def _phrases(postings: DataFrame, lengths: list[int]) -> DataFrame:
-    """``posting_id, field, term``: every run of words of the given lengths in
-    every text field. "At least n years" becomes an equality as well: a posting
-    that asks for 3 years holds the terms 0, 1, 2 and 3."""
+def _words(postings: DataFrame) -> DataFrame:
+    """``posting_id, field, words, pos, word``: every word of every text field
+    with its place. "At least n years" becomes words as well: a posting that
+    asks for 3 years holds the words 0, 1, 2 and 3."""
     words = {f: F.split(F.trim(X.normalised(F.col(f))), " ") for f in TEXT_FIELDS}
     words["years"] = F.when(
         F.col("_years") >= 0, F.sequence(F.lit(0), F.col("_years")).cast("array<string>")
@@ -152,17 +153,14 @@ def _phrases(postings: DataFrame, lengths: list[int]) -> DataFrame:
     texts = F.array(
         *[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()]
     )
-    sizes = F.array(*map(F.lit, lengths)).cast("array<int>")
     return (
         postings.withColumn("_years", X.years_required(F.col("description")))
         .select("posting_id", F.explode(texts).alias("text"))
-        .select("posting_id", "text.field", "text.words", F.posexplode("text.words"))
-        .select("posting_id", "field", "words", "pos", F.explode(sizes).alias("n"))
-        .filter(F.col("pos") + F.col("n") <= F.size("words"))
         .select(
             "posting_id",
-            "field",
-            F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("term"),
+            "text.field",
+            "text.words",
+            F.posexplode("text.words").alias("pos", "word"),
         )
     )
 
@@ -171,14 +169,29 @@ def _match_by_phrase(postings: DataFrame, rules: DataFrame) -> DataFrame:
     """``match_rules`` for any number of rules: the phrases of each posting
     meet the rules in an equi-join on (field, term)."""
     rules = _clean(rules).filter(F.col("term") != "")
+    length = F.size(F.split("term", " "))
     # One row: the phrase lengths that occur and the size of the table.
     facts = rules.agg(
-        F.collect_set(F.size(F.split("term", " "))).alias("lengths"),
+        F.collect_set(length).alias("lengths"),
         F.count("*").alias("n"),
         F.sum(F.octet_length("term") + F.octet_length("rule_id") + 64).alias("bytes"),
     ).first()
-    held = _phrases(postings, sorted(facts.lengths))
-    if facts.n <= MOST_BROADCAST and (facts.bytes or 0) <= MOST_BROADCAST_BYTES:
+    small = facts.n <= MOST_BROADCAST and (facts.bytes or 0) <= MOST_BROADCAST_BYTES
+    if small:
+        # Phrases are only built where a rule's first word stands.
+        starts = rules.select(
+            "field", F.split("term", " ")[0].alias("word"), length.alias("n")
+        ).distinct()
+        placed = _words(postings).join(F.broadcast(starts), ["field", "word"])
+    else:
+        lengths = F.array(*map(F.lit, sorted(facts.lengths))).cast("array<int>")
+        placed = _words(postings).select("*", F.explode(lengths).alias("n"))
+    held = placed.filter(F.col("pos") + F.col("n") <= F.size("words")).select(
+        "posting_id",
+        "field",
+        F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("term"),
+    )
+    if small:
         matches = held.join(F.broadcast(rules), ["field", "term"])
     else:
         # Common words are hot keys: spread each over SALTS tasks.

@@ -1,19 +1,27 @@
 """What is still to be done: anti-joins on the url.
 
-The right side is reduced to its distinct urls first, before the shuffle, so a
-url recorded many times costs nothing extra; the distinct urls are already
-placed for the join. The left side is one row per url after ``latest``; where
-it is not, adaptive execution splits a hot url over several tasks. Spark
-broadcasts the urls only where their measured size allows.
+A url may hold a large share of either side:
+
+* On the right it is reduced before anything is shuffled, to one row per task.
+  The reduction runs per slice of the table, not on the url alone: that leaves
+  the join a shuffle of its own, which is the only shape in which
+* adaptive execution splits a hot url of the left side over several tasks.
+
+Spark broadcasts the right side only where its measured size allows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SLICES = 8
 
 
 def _without(postings: DataFrame, done: DataFrame) -> DataFrame:
-    return postings.join(done.select("url").distinct(), "url", "left_anti")
+    part = F.spark_partition_id() % SLICES
+    urls = done.select("url", part.alias("_slice")).distinct().select("url")
+    return postings.join(urls, "url", "left_anti")
 
 
 def new_postings(scan: DataFrame, store: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def sightings(orders: DataFrame) -> DataFrame:
     return orders.select(
         k.alias("posting_id"),
         F.when(k % 89 == 0, "")
-        .otherwise(F.format_string("https://jobs%d.example.com/p/%d", c % 5, c))
+        .otherwise(F.concat(F.lit("https://jobs"), c % 5, F.lit(".example.com/p/"), c))
         .alias("url"),
         F.when(k % 97 != 0, _pick(TITLES, c)).alias("title"),
         _pick(LOCATIONS, c).alias("location"),

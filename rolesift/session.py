@@ -44,10 +44,11 @@ def build_session(
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the cluster's ``spark.checkpoint.dir``. Only a
     local session without that setting gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rolesift-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rolesift-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/rolesift/{name}-{uuid.uuid4().hex}"

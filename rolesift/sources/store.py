@@ -100,6 +100,8 @@ def save_postings(postings: DataFrame, store: str) -> int:
     fresh = spark.read.schema(SCORED).parquet(incoming)
     merged = merge_newest(_read(spark, store, committed[-1]), fresh)
     merged.write.mode("errorifexists").parquet(_version_path(store, version))
+    fs, staged = _folder(spark, incoming)
+    fs.delete(staged, True)
     return version
 
 
