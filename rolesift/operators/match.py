@@ -97,11 +97,7 @@ def score_postings(
     table of usual size this is one projection over the input."""
     few = few_rules(rules, most_compiled)
     if few is None:
-        matches = _match_by_phrase(postings, rules)
-        totals = matches.groupBy("posting_id").agg(*_score_aggregates(), _reason_aggregate())
-        return postings.join(_add_up(totals), "posting_id", "left").select(
-            *postings.columns, "score", "matched_rules"
-        )
+        return _scored_from_found(_with_found(postings, rules))
     flagged, flags = _flagged(postings, few)
     reasons = [F.when(F.col(f), r.rule_id) for f, r in zip(flags, few)]
     return flagged.withColumns(
@@ -119,7 +115,11 @@ def match_rules(
     holds for it, and one row of nulls for a posting without any."""
     few = few_rules(rules, most_compiled)
     if few is None:
-        return _match_by_phrase(postings, rules)
+        return (
+            _with_found(postings, rules)
+            .select("posting_id", F.explode_outer("found").alias("hit"))
+            .select("posting_id", "hit.rule_id", "hit.kind", "hit.weight")
+        )
     flagged, flags = _flagged(postings, few)
     values = [
         F.struct(
@@ -143,9 +143,9 @@ def match_rules(
 
 
 def _words(postings: DataFrame) -> DataFrame:
-    """``posting_id, field, words, pos, word``: every word of every text field
-    with its place. "At least n years" becomes words as well: a posting that
-    asks for 3 years holds the words 0, 1, 2 and 3."""
+    """``posting_id, _content, field, words, pos, word``: every word of every
+    text field with its place. "At least n years" becomes words as well: a
+    posting that asks for 3 years holds the words 0, 1, 2 and 3."""
     words = {f: F.split(F.trim(X.normalised(F.col(f))), " ") for f in TEXT_FIELDS}
     words["years"] = F.when(
         F.col("_years") >= 0, F.sequence(F.lit(0), F.col("_years")).cast("array<string>")
@@ -155,9 +155,10 @@ def _words(postings: DataFrame) -> DataFrame:
     )
     return (
         postings.withColumn("_years", X.years_required(F.col("description")))
-        .select("posting_id", F.explode(texts).alias("text"))
+        .select("posting_id", "_content", F.explode(texts).alias("text"))
         .select(
             "posting_id",
+            "_content",
             "text.field",
             "text.words",
             F.posexplode("text.words").alias("pos", "word"),
@@ -165,9 +166,11 @@ def _words(postings: DataFrame) -> DataFrame:
     )
 
 
-def _match_by_phrase(postings: DataFrame, rules: DataFrame) -> DataFrame:
-    """``match_rules`` for any number of rules: the phrases of each posting
-    meet the rules in an equi-join on (field, term)."""
+def _with_found(postings: DataFrame, rules: DataFrame) -> DataFrame:
+    """``postings`` plus ``found``, the set of rules that hold, for any number
+    of rules: the phrases of each posting meet the rules in an equi-join on
+    (field, term). Rows with the same id and texts are matched once."""
+    postings = postings.withColumn("_content", F.xxhash64(*TEXT_FIELDS))
     rules = _clean(rules).filter(F.col("term") != "")
     length = F.size(F.split("term", " "))
     # One row: the phrase lengths that occur and the size of the table.
@@ -188,6 +191,7 @@ def _match_by_phrase(postings: DataFrame, rules: DataFrame) -> DataFrame:
         placed = _words(postings).select("*", F.explode(lengths).alias("n"))
     held = placed.filter(F.col("pos") + F.col("n") <= F.size("words")).select(
         "posting_id",
+        "_content",
         "field",
         F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("term"),
     )
@@ -198,44 +202,61 @@ def _match_by_phrase(postings: DataFrame, rules: DataFrame) -> DataFrame:
         salted = held.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(SALTS)))
         copies = rules.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         matches = salted.join(copies, ["field", "term", "_salt"])
-    # A phrase may stand in a text more than once: each rule counts once.
-    found = matches.groupBy("posting_id").agg(
+    # A set: a phrase may stand in a text more than once. It is bounded by the
+    # rules that hold, and combined before the shuffle.
+    found = matches.groupBy("posting_id", "_content").agg(
         F.collect_set(F.struct("rule_id", "kind", "weight")).alias("found")
     )
+    # Joined on a key of its own, so that the join has its own shuffle and
+    # adaptive execution can split a posting that occurs very often.
+    key = F.xxhash64("posting_id", "_content").alias("_key")
     return (
-        postings.select("posting_id")
-        .join(found, "posting_id", "left")
-        .select("posting_id", F.explode_outer("found").alias("hit"))
-        .select("posting_id", "hit.rule_id", "hit.kind", "hit.weight")
+        postings.select("*", key)
+        .alias("p")
+        .join(
+            found.select(
+                F.col("posting_id").alias("_id"), F.col("_content").alias("_same"), "found", key
+            ).alias("f"),
+            (F.col("p._key") == F.col("f._key"))
+            & F.col("p.posting_id").eqNullSafe(F.col("_id"))
+            & (F.col("p._content") == F.col("_same")),
+            "left",
+        )
+        .select(*[F.col(f"p.{c}") for c in postings.columns if c != "_content"], "found")
     )
 
 
-def _score_aggregates() -> list[Column]:
-    weight = F.col("weight").cast("long")
-    return [
-        F.max(F.when(F.col("kind") == "role", weight)).alias("_role"),
-        F.max(F.when(F.col("kind") == "location", weight)).alias("_location"),
-        F.sum(F.when(F.col("kind") == "penalty", weight)).alias("_penalty"),
-    ]
-
-
-def _add_up(totals: DataFrame) -> DataFrame:
-    parts = ["_role", "_location", "_penalty"]
-    total = reduce(add, [F.coalesce(F.col(p), F.lit(0).cast("long")) for p in parts])
-    return totals.withColumn("score", total).drop(*parts)
-
+def _scored_from_found(df: DataFrame) -> DataFrame:
+    def weights(kind: str) -> Column:
+        of_kind = F.filter("found", lambda rule: rule["kind"] == kind)
+        return F.transform(of_kind, lambda rule: rule["weight"])
 
-def _reason_aggregate() -> Column:
-    # A set, so its size is bounded by the rules table.
-    return F.concat_ws(",", F.sort_array(F.collect_set("rule_id"))).alias("matched_rules")
+    none = F.lit(0).cast("long")
+    penalty = F.aggregate(weights("penalty"), none, lambda total, weight: total + weight)
+    parts = [F.array_max(weights("role")), F.array_max(weights("location")), penalty]
+    ids = F.array_sort(F.transform("found", lambda rule: rule["rule_id"]))
+    return df.withColumns(
+        {
+            "score": reduce(add, [F.coalesce(p, none) for p in parts]),
+            "matched_rules": F.coalesce(F.array_join(ids, ","), F.lit("")),
+        }
+    ).drop("found")
 
 
 def score(matches: DataFrame) -> DataFrame:
     """``posting_id, score``: the best role plus the best location plus every
-    penalty, in one aggregation."""
-    return _add_up(matches.groupBy("posting_id").agg(*_score_aggregates()))
+    penalty, in one aggregation. One posting per id: take ``latest`` first
+    where ids repeat, or use ``score_postings``, which goes row by row."""
+    weight = F.col("weight").cast("long")
+    of_kind = {kind: F.when(F.col("kind") == kind, weight) for kind in KINDS}
+    none = F.lit(0).cast("long")
+    parts = [F.max(of_kind["role"]), F.max(of_kind["location"]), F.sum(of_kind["penalty"])]
+    total = reduce(add, [F.coalesce(p, none) for p in parts])
+    return matches.groupBy("posting_id").agg(total.alias("score"))
 
 
 def explain_score(matches: DataFrame) -> DataFrame:
-    """``posting_id, matched_rules``: the rule ids, sorted and comma-joined."""
-    return matches.groupBy("posting_id").agg(_reason_aggregate())
+    """``posting_id, matched_rules``: the rule ids, sorted and comma-joined. A
+    set, so its size is bounded by the rules table."""
+    ids = F.sort_array(F.collect_set("rule_id"))
+    return matches.groupBy("posting_id").agg(F.concat_ws(",", ids).alias("matched_rules"))

@@ -225,11 +225,49 @@ def test_hot_url_of_a_stream_is_reduced_before_the_shuffle(spark, stored, tmp_pa
     assert rows(got) == rows(urls)
 
 
-def test_hot_posting_scores_alike_in_both_forms(spark, stored):
+def test_copies_of_a_posting_score_alike_in_both_forms(spark, stored, settings):
+    """A third of the rows are sightings of one posting, with two texts."""
     rules = default_rules(spark)
-    hot = stored.filter("url = 'https://hot.example'")
-    assert hot.count() > 4000
-    assert rows(match.score_postings(hot, rules, 0)) == rows(match.score_postings(hot, rules))
+    hot = stored.withColumn("copy", F.col("url") == "https://hot.example").select(
+        F.when(F.col("copy"), F.lit(None)).otherwise(F.col("posting_id")).alias("posting_id"),
+        "url",
+        *[
+            F.when(F.col("copy") & (F.col("posting_id") % 2 == 0), F.lit("Senior, unpaid"))
+            .when(F.col("copy"), F.lit("Junior AWS, remote"))
+            .otherwise(F.col(name))
+            .alias(name)
+            for name in match.TEXT_FIELDS
+        ],
+        "seen_at",
+    )
+    want = rows(match.score_postings(hot, rules))
+    assert len({r[2] for r in want if r[-1] == "https://hot.example"}) == 2
+    assert rows(match.score_postings(hot, rules, 0)) == want
+    matches = rows(match.match_rules(hot, rules))
+    assert rows(match.match_rules(hot, rules, 0)) == matches
+
+
+def test_hot_copies_are_split_in_the_many_rules_form(spark, stored, settings):
+    settings(
+        autoBroadcastJoinThreshold="-1",
+        adaptive__advisoryPartitionSizeInBytes="16KB",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="16KB",
+        adaptive__skewJoin__skewedPartitionFactor="1.5",
+        adaptive__coalescePartitions__enabled="false",
+    )
+    copy = F.col("url") == "https://hot.example"
+    hot = stored.withColumns(
+        {
+            name: F.when(copy, F.lit(value)).otherwise(F.col(name))
+            for name, value in (
+                ("posting_id", 1), ("title", "Staff"), ("location", ""), ("description", "Unpaid"),
+            )
+        }
+    )
+    rules = default_rules(spark)
+    split = match.score_postings(hot, rules, 0)
+    assert "skew=true" in final_plan(split)
+    assert rows(split) == rows(match.score_postings(hot, rules))
 
 
 def test_shared_dir():
