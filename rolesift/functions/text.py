@@ -17,13 +17,17 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # An unclosed comment, script, style or tag runs to the end of the page, as in
 # a browser. It also keeps the match linear on broken pages.
-INVISIBLE = (
-    r"(?is)<(?:!--.*?(?:-->|\z)"
-    r"|script(?:[\s/][^>]*)?>.*?(?:</script[^>]*>|\z)"
-    r"|style(?:[\s/][^>]*)?>.*?(?:</style[^>]*>|\z))"
+_INVISIBLE = (
+    r"!--(?s:.*?)(?:-->|\z)"
+    r"|(?i:script)(?:[\s/][^>]*)?>(?s:.*?)(?:</(?i:script)[^>]*>|\z)"
+    r"|(?i:style)(?:[\s/][^>]*)?>(?s:.*?)(?:</(?i:style)[^>]*>|\z)"
 )
-TAG = r"<[/!?]?[A-Za-z][^>]*(?:>|\z)"
-BLANKS = "[ \\t\\r\\n\\f\u00a0]+"
+INVISIBLE = f"<(?:{_INVISIBLE})"
+MARKUP = rf"<(?:{_INVISIBLE}|[/!?]?[A-Za-z][^>]*(?:>|\z))"
+BLANK = " \\t\\r\\n\\f\u00a0"
+
+# Looked up before the full table of names.
+COMMON_ENTITIES = {"amp": "&", "nbsp": "\u00a0", "quot": '"', "#39": "'", "lt": "<", "gt": ">"}
 
 # "3-5 years", "5 + yrs", "2 to 4 years", "1.5 years": group 1 is the lower
 # bound. The digits are not length-limited, so a match always starts at the
@@ -83,38 +87,56 @@ def without_invisible(html: Column) -> Column:
     return F.regexp_replace(html, INVISIBLE, " ")
 
 
-def decode_entities(text: Column) -> Column:
-    """One left-to-right pass, so ``&amp;lt;`` becomes ``&lt;`` and stops there."""
-    named = F.create_map(
-        *[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))],
-        F.lit("apos"),
-        F.lit("'"),
+def _decoded(ref: Column) -> Column:
+    """The character of a reference such as ``amp``, ``#233`` or ``#xe9``."""
+    names = [*sorted(name2codepoint.items()), ("apos", ord("'"))]
+    named = F.create_map(*[F.lit(x) for name, code in names for x in (name, chr(code))])
+    digits = F.substring(ref, 2, 8)
+    code = (
+        F.when(ref.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(ref, 3, 6), 16, 10))
+        .when(ref.rlike("^#[0-9]{1,7}$"), digits)
+        .cast("int")
     )
+    is_char = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numeric = F.when(is_char, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(
+        code.isNotNull(), "\ufffd"
+    )
+    found = F
+    for name, char in COMMON_ENTITIES.items():
+        found = found.when(ref == name, char)
+    return found.when(ref.startswith("#"), numeric).otherwise(F.try_element_at(named, ref))
 
-    def decode(part: Column, at: Column) -> Column:
-        ref = F.regexp_extract(
-            part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1
-        )
-        digits = F.substring(ref, 2, 8)
-        code = F.when(
-            F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)
-        ).otherwise(digits).try_cast("int")
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        numeric = F.when(
-            valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        ).otherwise(F.lit("�"))
-        char = F.when(ref.startswith("#"), numeric).otherwise(F.try_element_at(named, ref))
-        return (
-            F.when(at == 0, part)
-            .when((ref == "") | char.isNull(), F.concat(F.lit("&"), part))
-            .otherwise(F.concat(char, F.substr(part, F.length(ref) + 2)))
-        )
 
-    parts = F.transform(F.split(text, "&"), decode)
-    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+def decode_entities(text: Column) -> Column:
+    """One left-to-right pass, so ``&amp;lt;`` becomes ``&lt;`` and stops there."""
+    parts = F.transform(
+        F.split(text, "&"),
+        lambda part: F.struct(
+            part.alias("part"), F.substring_index(F.substring(part, 1, 10), ";", 1).alias("ref")
+        ),
+    )
+    parts = F.transform(
+        parts,
+        lambda p: F.struct(
+            p["part"].alias("part"),
+            F.length(p["ref"]).alias("n"),
+            F.when(
+                F.substr(p["part"], F.length(p["ref"]) + 1, F.lit(1)) == ";", _decoded(p["ref"])
+            ).alias("char"),
+        ),
+    )
+    joined = F.transform(
+        parts,
+        lambda p, at: F.when(at == 0, p["part"])
+        .when(p["char"].isNull(), F.concat(F.lit("&"), p["part"]))
+        .otherwise(F.concat(p["char"], F.substr(p["part"], p["n"] + 2))),
+    )
+    return F.array_join(joined, "")
 
 
 def plain_text(html: Column) -> Column:
-    """Text of markup whose comments, scripts and styles are already out."""
-    untagged = F.regexp_replace(html, TAG, " ")
-    return F.trim(F.regexp_replace(decode_entities(untagged), BLANKS, " "))
+    """The text between the markup, blanks collapsed. A lone blank is the usual
+    case, so only runs and the rarer kinds are replaced."""
+    text = decode_entities(F.regexp_replace(html, MARKUP, " "))
+    text = F.regexp_replace(text, f"[{BLANK}]{{2,}}", " ")
+    return F.trim(F.regexp_replace(text, f"[{BLANK[1:]}]", " "))

@@ -10,15 +10,9 @@ from rolesift.functions import text as X
 VISIBLE = "_visible"
 
 
-def _with_visible(pages: DataFrame) -> DataFrame:
-    if VISIBLE in pages.columns:
-        return pages
-    return pages.withColumn(VISIBLE, X.without_invisible(F.col("html")))
-
-
 def page_text(pages: DataFrame) -> DataFrame:
     """Adds ``text``: the whole page without markup."""
-    return _with_visible(pages).withColumn("text", X.plain_text(F.col(VISIBLE))).drop(VISIBLE)
+    return pages.withColumn("text", X.plain_text(F.col("html")))
 
 
 def _element(name: str) -> Column:
@@ -37,7 +31,7 @@ def page_fields(pages: DataFrame) -> DataFrame:
         F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1
     )
     return (
-        _with_visible(pages)
+        pages.withColumn(VISIBLE, X.without_invisible(F.col("html")))
         .withColumns(
             {
                 "title": _element("title"),
@@ -60,14 +54,12 @@ def postings_from_pages(
         seen_at = F.col("_metadata.file_modification_time")
     if location is None:
         location = F.lit(None)
-    page = _with_visible(pages.withColumn("seen_at", seen_at))
-    return page_fields(
-        page.withColumn("description", X.plain_text(F.col(VISIBLE)))
-    ).select(
+    page = page_text(pages.withColumn("seen_at", seen_at))
+    return page_fields(page).select(
         F.col("page_id").alias("posting_id"),
         "url",
         F.coalesce(F.nullif("h1", F.lit("")), "title").alias("title"),
         location.cast("string").alias("location"),
-        "description",
+        F.col("text").alias("description"),
         "seen_at",
     )
