@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rolesift.schema import RULE
 
@@ -66,5 +68,11 @@ SENIOR_YEARS = 5
 STRONG_FIT = 15
 
 
+def rules_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
+    """Rules as a table that Spark holds in its plan, so its size is known."""
+    rows = [dict(zip(RULE.names, rule)) for rule in rules]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(RULE)), RULE)
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_RULES, RULE)
+    return rules_table(spark, DEFAULT_RULES)

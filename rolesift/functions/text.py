@@ -13,6 +13,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = r"[\p{L}\p{N}]"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # An unclosed comment, script, style or tag runs to the end of the page, as in
@@ -49,26 +50,19 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), lowered(text), F.lit(" ")), NOT_WORD, " ")
 
 
-def words_if_any(text: Column, phrases: list[str]) -> Column:
-    """``normalised(text)`` where all words of some phrase occur in it, else
-    null. The plain ``contains`` tests are far cheaper than the normalisation,
-    which long texts without any of the words are spared."""
-    low = lowered(text)
-    candidates = [
-        reduce(and_, [low.contains(word) for word in phrase.split()]) for phrase in phrases
-    ]
-    return F.when(reduce(or_, candidates), normalised(text))
-
-
-def holds(words: Column, phrase: str) -> Column:
-    """Whether a phrase (lower case, single spaces) stands in normalised text
-    as whole words in that order."""
-    return F.coalesce(words.contains(f" {phrase} "), F.lit(False))
+def holds(low: Column, phrase: str) -> Column:
+    """Whether a normalised phrase stands in lower-case text as whole words in
+    that order: the same as finding it in ``normalised(text)``. The plain
+    ``contains`` tests are far cheaper and come first, so only a text with all
+    of the words pays for the rest."""
+    words = phrase.split()
+    exact = rf"(?<!{WORD}){NOT_WORD.join(words)}(?!{WORD})"
+    return reduce(and_, [*[low.contains(word) for word in words], low.rlike(exact)])
 
 
 def has_any_phrase(text: Column, phrases: list[str]) -> Column:
-    words = words_if_any(text, phrases)
-    return reduce(or_, [holds(words, phrase) for phrase in phrases])
+    low = lowered(text)
+    return reduce(or_, [holds(low, phrase) for phrase in phrases])
 
 
 def years_required(text: Column) -> Column:

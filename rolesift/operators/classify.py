@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +11,11 @@ from rolesift.functions import text as X
 NO_CLASS = "other"
 
 
-def _with_class(
-    df: DataFrame, name: str, field: str, classes: dict[str, list[str]]
-) -> DataFrame:
-    phrases = [p for some in classes.values() for p in some]
+def _class(field: str, classes: dict[str, list[str]]) -> Column:
     found = F
-    for label, some in classes.items():
-        found = found.when(reduce(or_, [X.holds(F.col("_words"), p) for p in some]), label)
-    return (
-        df.withColumn("_words", X.words_if_any(F.col(field), phrases))
-        .withColumn(name, found.otherwise(NO_CLASS))
-        .drop("_words")
-    )
+    for name, phrases in classes.items():
+        found = found.when(X.has_any_phrase(F.col(field), phrases), name)
+    return found.otherwise(NO_CLASS)
 
 
 def _senior() -> Column:
@@ -47,12 +37,12 @@ def _contract_only() -> Column:
 
 def role_class(df: DataFrame) -> DataFrame:
     """Adds ``role_class``: the target role the title names."""
-    return _with_class(df, "role_class", "title", terms.ROLE_CLASSES)
+    return df.withColumn("role_class", _class("title", terms.ROLE_CLASSES))
 
 
 def location_class(df: DataFrame) -> DataFrame:
     """Adds ``location_class``: the preferred location named, state first."""
-    return _with_class(df, "location_class", "location", terms.LOCATION_CLASSES)
+    return df.withColumn("location_class", _class("location", terms.LOCATION_CLASSES))
 
 
 def is_senior(df: DataFrame) -> DataFrame:

@@ -57,19 +57,15 @@ def few_rules(rules: DataFrame, most: int = MOST_COMPILED) -> list[Row] | None:
 
 
 def _flagged(postings: DataFrame, rules: list[Row]) -> tuple[DataFrame, list[str]]:
-    """One boolean column per rule. Each text is normalised at most once."""
-    inputs = {}
-    for field in TEXT_FIELDS:
-        phrases = [r.term for r in rules if r.field == field and r.term]
-        if phrases:
-            inputs[f"_{field}"] = X.words_if_any(F.col(field), phrases)
-    if any(r.field == "years" for r in rules):
-        inputs["_years"] = X.years_required(F.col("description"))
+    """One boolean column per rule."""
+    inputs = {f"_{field}": X.lowered(F.col(field)) for field in TEXT_FIELDS}
+    inputs["_years"] = X.years_required(F.col("description"))
 
     def flag(rule: Row) -> Column:
+        value = F.col(f"_{rule.field}")
         if rule.field == "years":
-            return F.coalesce(F.col("_years") >= int(rule.term), F.lit(False))
-        return X.holds(F.col(f"_{rule.field}"), rule.term) if rule.term else F.lit(False)
+            return F.coalesce(value >= int(rule.term), F.lit(False))
+        return X.holds(value, rule.term) if rule.term else F.lit(False)
 
     flags = {f"_rule_{i}": flag(rule) for i, rule in enumerate(rules)}
     return postings.withColumns(inputs).withColumns(flags).drop(*inputs), list(flags)

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.functions.terms import default_rules
+from rolesift.functions.terms import default_rules, rules_table
 from rolesift.operators import classify, extract, match, pending, review
 from rolesift.operators.latest import latest as newest
 from rolesift.operators.validate import validate
 from rolesift.plans import flows
 from rolesift.plans.postings_fx import ORDERS, postings_fx, sightings
-from rolesift.schema import PAGE, RULE, SCORED
+from rolesift.schema import PAGE, SCORED
 from rolesift.session import shared_dir
 from rolesift.sources.jsonl import read_json, write_json
 from rolesift.sources.outbox import read_outbox, write_outbox
@@ -143,7 +143,7 @@ def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     seen_at = F.timestamp_seconds(F.col("page_id"))
     raw = extract.postings_from_pages(pages, seen_at).withColumn("location", F.col("title"))
-    rules = spark.createDataFrame(PAGE_RULES, RULE)
+    rules = rules_table(spark, PAGE_RULES)
     return flows.find_and_score(raw, rules).select("url", "title", "score", "matched_rules")
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rolesift.functions.terms import DEFAULT_RULES, default_rules
+from rolesift.functions.text import holds, lowered, normalised
 from rolesift.operators import classify, match
 from rolesift.operators.validate import check_postings, validate
 from rolesift.schema import POSTING, RULE
@@ -174,6 +176,31 @@ def test_many_rules_against_brute_force(spark, cases):
     assert got == want
 
 
+def test_phrases_on_random_texts(spark):
+    """The direct test, the normalised text and plain Python agree."""
+    rng = random.Random(11)
+    pieces = ["lead", "Lead", "java", "script", "née", "É", "5", "ß", " ", "  ", "-", "_", "\n", "…"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(9))) for _ in range(3000)]
+    phrases = ["lead", "java", "java script", "lead java lead", "5", "née", "lead 5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df = df.select(
+        "t",
+        *[holds(lowered(F.col("t")), p).alias(f"a{i}") for i, p in enumerate(phrases)],
+        *[
+            normalised(F.col("t")).contains(f" {p} ").alias(f"b{i}")
+            for i, p in enumerate(phrases)
+        ],
+    )
+    seen = set()
+    for row in df.collect():
+        words = " " + re.sub(r"[\W_]+", " ", row.t.lower()).strip() + " "
+        for i, phrase in enumerate(phrases):
+            want = f" {phrase} " in words
+            assert row[f"a{i}"] == row[f"b{i}"] == want, (row.t, phrase)
+            seen.add((phrase, want))
+    assert len(seen) == 2 * len(phrases)
+
+
 def test_years(spark):
     df = spark.createDataFrame(list(enumerate(YEARS)), "posting_id long, description string")
     got = {r.description: r for r in classify.years_required(df).collect()}
