@@ -23,10 +23,17 @@ def find_and_score(raw: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def save_and_review(
-    scan: DataFrame, store: str, reviews: DataFrame, k: int | None = None
+    scan: DataFrame,
+    store: str,
+    reviews: DataFrame,
+    k: int | None = None,
+    update: bool = True,
 ) -> DataFrame:
-    """Saves the postings of a scored scan that are new and lists everything
-    saved that nobody has reviewed, best first."""
+    """Saves the postings of a scored scan and lists everything saved that
+    nobody has reviewed, best first. Without ``update`` only urls not saved yet
+    are saved; newer versions of the others are left out."""
     spark = scan.sparkSession
-    save_postings(new_postings(scan, list_postings(spark, store)), store)
+    if not update:
+        scan = new_postings(scan, list_postings(spark, store))
+    save_postings(scan, store)
     return review_list(unreviewed(list_postings(spark, store), reviews), k)

@@ -301,7 +301,7 @@ def save_and_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     save(scored.filter(_customer() % 2 == 0), store)
     reviews = _valid(spark, sf_dir).filter(_customer() % 3 == 0)
-    listed = flows.save_and_review(scored, store, reviews)
+    listed = flows.save_and_review(scored, store, reviews, update=False)
     return listed.select("posting_id", "url", "score", "matched_rules")
 
 

@@ -125,14 +125,19 @@ def test_outbox_repeats_nothing(spark, tmp_path):
     assert sorted(r.url for r in read_outbox(spark, path).collect()) == ["a", "b"]
 
 
-def test_save_and_review_twice(spark, tmp_path):
+@pytest.mark.parametrize("update", [True, False])
+def test_save_and_review_twice(spark, tmp_path, update):
     store = f"{tmp_path}/store"
     reviews = spark.createDataFrame([("b",)], "url string")
     scan = scored(spark, (1, "a", 1, 5), (2, "b", 1, 25), (3, "c", 1, 15), (4, "d", 1, 15))
     for _ in range(2):
-        listed = [r.url for r in save_and_review(scan, store, reviews).collect()]
-        assert listed == ["c", "d", "a"]
-    assert [r.url for r in save_and_review(scan, store, reviews, k=2).collect()] == ["c", "d"]
+        listed = save_and_review(scan, store, reviews, update=update).collect()
+        assert [r.url for r in listed] == ["c", "d", "a"]
+    top = save_and_review(scan, store, reviews, k=2, update=update).collect()
+    assert [r.url for r in top] == ["c", "d"]
+    newer = scored(spark, (5, "a", 2, 30), (6, "e", 1, 20))
+    listed = save_and_review(newer, store, reviews, update=update).collect()
+    assert [r.url for r in listed] == (["a", "e", "c", "d"] if update else ["e", "c", "d", "a"])
 
 
 def test_json_round_trip(spark, tmp_path):
