@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rolesift.schema import OUTBOX
-from rolesift.sources.store import exists
+from rolesift.sources.files import exists
 
 
 def write_outbox(strong: DataFrame, path: str) -> None:

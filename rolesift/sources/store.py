@@ -13,16 +13,7 @@ from pyspark.sql import functions as F
 
 from rolesift.operators.latest import latest
 from rolesift.schema import SCORED
-
-
-def _folder(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _folder(spark, path)
-    return fs.exists(hadoop_path)
+from rolesift.sources.files import exists, names, remove
 
 
 def _version_path(store: str, version: int) -> str:
@@ -31,11 +22,8 @@ def _version_path(store: str, version: int) -> str:
 
 def _started(spark: SparkSession, store: str) -> list[int]:
     """Numbers of all versions begun, whether committed or not."""
-    fs, root = _folder(spark, store)
-    if not fs.exists(root):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(root)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    numbers = [n[1:] for n in names(spark, store) if n[:1] == "v" and n[1:].isdigit()]
+    return sorted(map(int, numbers))
 
 
 def versions(spark: SparkSession, store: str) -> list[int]:
@@ -100,8 +88,7 @@ def save_postings(postings: DataFrame, store: str) -> int:
     fresh = spark.read.schema(SCORED).parquet(incoming)
     merged = merge_newest(_read(spark, store, committed[-1]), fresh)
     merged.write.mode("errorifexists").parquet(_version_path(store, version))
-    fs, staged = _folder(spark, incoming)
-    fs.delete(staged, True)
+    remove(spark, incoming)
     return version
 
 

@@ -10,17 +10,31 @@ from rolesift.operators.pending import unnotified
 from rolesift.operators.review import strong_fits
 from rolesift.plans.flows import find_and_score
 from rolesift.schema import OUTBOX
+from rolesift.session import shared_dir
+from rolesift.sources.files import remove
 from rolesift.sources.outbox import read_outbox, write_outbox
 
 
+def already_sent(outbox: DataFrame, strong: DataFrame) -> DataFrame:
+    """The urls of ``strong`` that are in the outbox. While ``strong`` is a
+    table small enough for Spark to broadcast, the outbox, which only grows, is
+    read but not shuffled."""
+    return outbox.select("url").join(strong.select("url"), "url", "left_semi")
+
+
 def notify_batch(
     postings: DataFrame, rules: DataFrame, outbox: str, threshold: int = STRONG_FIT
 ) -> None:
     """One batch of raw postings. A replayed batch adds nothing: its urls are
     in the outbox already."""
-    scored = find_and_score(postings, rules)
-    strong = strong_fits(scored, threshold).select(*OUTBOX.names)
-    write_outbox(unnotified(strong, read_outbox(postings.sparkSession, outbox)), outbox)
+    spark = postings.sparkSession
+    strong = strong_fits(find_and_score(postings, rules), threshold).select(*OUTBOX.names)
+    # Used twice below. Written out, it is computed once and its size is known.
+    staged = shared_dir(spark, "strong")
+    strong.write.parquet(staged)
+    strong = spark.read.schema(OUTBOX).parquet(staged)
+    write_outbox(unnotified(strong, already_sent(read_outbox(spark, outbox), strong)), outbox)
+    remove(spark, staged)
 
 
 def notify_stream(

@@ -16,11 +16,12 @@ from rolesift.operators.review import review_list
 from rolesift.operators.validate import validate
 from rolesift.plans.flows import find_and_score
 from rolesift.plans.postings_fx import postings_fx
-from rolesift.schema import POSTING, SCORED
+from rolesift.schema import OUTBOX, POSTING, SCORED
 from rolesift.session import shared_dir
 from rolesift.sources.pages import scan_pages
 from rolesift.sources.store import merge_newest
 from rolesift.streaming.first_seen import first_seen
+from rolesift.streaming.notify import already_sent
 from rolesift.streaming.scan import scan_stream
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -207,6 +208,17 @@ def test_small_save_leaves_the_store_in_place(spark, stored, tmp_path):
     assert merge_newest(saved, fresh).count() == saved.count()
 
 
+def test_growing_outbox_is_not_shuffled(spark, stored, tmp_path):
+    outbox = stored.select("url", F.lit(15).cast("long").alias("score"), F.lit("").alias("matched_rules"))
+    outbox.write.parquet(f"{tmp_path}/outbox")
+    outbox.limit(20).write.parquet(f"{tmp_path}/strong")
+    outbox, strong = (
+        spark.read.schema(OUTBOX).parquet(f"{tmp_path}/{n}") for n in ("outbox", "strong")
+    )
+    text = final_plan(already_sent(outbox, strong)).split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in text and exchanges(text) == 0
+
+
 def test_hot_url_of_a_stream_is_reduced_before_the_shuffle(spark, stored, tmp_path):
     landing = stored.inputFiles()[0].rsplit("/", 1)[0]
     query = (
