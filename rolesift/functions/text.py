@@ -18,11 +18,12 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # An unclosed comment, script, style or tag runs to the end of the page, as in
 # a browser. It also keeps the match linear on broken pages.
-_INVISIBLE = (
-    r"!--(?s:.*?)(?:-->|\z)"
-    r"|(?i:script)(?:[\s/][^>]*)?>(?s:.*?)(?:</(?i:script)[^>]*>|\z)"
-    r"|(?i:style)(?:[\s/][^>]*)?>(?s:.*?)(?:</(?i:style)[^>]*>|\z)"
-)
+def _block(name: str) -> str:
+    end = rf"</(?i:{name})(?=[\s/>])[^>]*(?:>|\z)"
+    return rf"(?i:{name})(?=[\s/>])[^>]*(?:>(?s:.*?)(?:{end}|\z)|\z)"
+
+
+_INVISIBLE = rf"!--(?s:.*?)(?:-->|\z)|{_block('script')}|{_block('style')}"
 INVISIBLE = f"<(?:{_INVISIBLE})"
 MARKUP = rf"<(?:{_INVISIBLE}|[/!?]?[A-Za-z][^>]*(?:>|\z))"
 BLANK = " \\t\\r\\n\\f\u00a0"
@@ -31,11 +32,13 @@ BLANK = " \\t\\r\\n\\f\u00a0"
 COMMON_ENTITIES = {"amp": "&", "nbsp": "\u00a0", "quot": '"', "#39": "'", "lt": "<", "gt": ">"}
 
 # "3-5 years", "5 + yrs", "2 to 4 years", "1.5 years": group 1 is the lower
-# bound. The digits are not length-limited, so a match always starts at the
-# first digit of a number.
+# bound. A match starts at the first digit of a number, and no two neighbouring
+# parts can match the same blanks, so the time is linear in the text.
+_GAP = "[\\s\u00a0]*"
+_MORE = f"(?:(?:[+]|plus){_GAP})?"
 YEARS = (
-    "([0-9]+)(?:[.][0-9]+)?[\\s\u00a0]*(?:[+]|plus)?[\\s\u00a0]*"
-    "(?:(?:-|–|—|to|or)[\\s\u00a0]*[0-9]+(?:[.][0-9]+)?[\\s\u00a0]*[+]?[\\s\u00a0]*)?"
+    f"(?<![0-9])([0-9]++)(?:[.][0-9]++)?{_GAP}{_MORE}"
+    f"(?:(?:-|–|—|to|or){_GAP}[0-9]++(?:[.][0-9]++)?{_GAP}{_MORE})?"
     "-?(?:years?|yrs?)(?:[^\\p{L}]|$)"
 )
 MOST_YEARS = 60  # larger numbers are not a person's experience

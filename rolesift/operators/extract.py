@@ -17,14 +17,15 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def _element(name: str) -> Column:
     """The text of the first element of that name."""
-    inner = rf"<(?i:{name})(?:[\s/][^>]*)?>((?s:.*?))(?:</(?i:{name})[\s/>]|\z)"
+    end = rf"</(?i:{name})[\s/>]"
+    inner = rf"<(?i:{name})(?=[\s/>])[^>]*(?:>((?s:.*?))(?:{end}|\z)|\z)"
     return X.plain_text(F.regexp_extract(F.col(VISIBLE), inner, 1))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Adds ``title``, ``h1``, ``lang`` and ``host``; empty where absent."""
     lang = F.regexp_extract(
-        F.col(VISIBLE), r"""<(?i:html)(?:\s[^>]*?)?\s(?i:lang)\s*=\s*["']?([A-Za-z0-9-]+)""", 1
+        F.col(VISIBLE), r"""<(?i:html)(?:\s[^<>]*?)?\s(?i:lang)\s*=\s*["']?([A-Za-z0-9-]+)""", 1
     )
     host = F.regexp_extract(
         F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1

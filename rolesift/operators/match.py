@@ -29,12 +29,13 @@ HITS = "array<struct<rule_id:string,kind:string,weight:bigint>>"
 
 def _clean(rules: DataFrame) -> DataFrame:
     """Rules with normalised terms; a rule that cannot be applied is an error."""
+    years = F.col("term").try_cast("int")
     known = F.coalesce(
         F.col("kind").isin(KINDS)
         & F.col("field").isin(FIELDS)
         & F.col("weight").isNotNull()
         & F.col("rule_id").isNotNull()
-        & ((F.col("field") != "years") | F.col("term").try_cast("int").isNotNull()),
+        & ((F.col("field") != "years") | (years >= 0)),
         F.lit(False),
     )
     message = F.concat(F.lit("cannot apply rule "), F.coalesce("rule_id", F.lit("null")))
@@ -42,17 +43,25 @@ def _clean(rules: DataFrame) -> DataFrame:
         F.when(known, F.col("rule_id")).otherwise(F.raise_error(message)).alias("rule_id"),
         "kind",
         "field",
-        F.trim(X.normalised(F.col("term"))).alias("term"),
+        F.when(F.col("field") == "years", years.cast("string"))
+        .otherwise(F.trim(X.normalised(F.col("term"))))
+        .alias("term"),
         F.col("weight").cast("long").alias("weight"),
     )
 
 
+def _check_ids(rules: int, ids: int) -> None:
+    if ids < rules:
+        raise ValueError("rule ids must be unique")
+
+
 def few_rules(rules: DataFrame, most: int = MOST_COMPILED) -> list[Row] | None:
     """The rules as driver rows, or None if there are more than ``most``. At
     most ``most + 1`` rows are ever fetched."""
     rows = _clean(rules).limit(most + 1).collect()
     if len(rows) > most:
         return None
+    _check_ids(len(rows), len({r.rule_id for r in rows}))
     return sorted(rows, key=lambda r: r.rule_id)
 
 
@@ -167,14 +176,17 @@ def _with_found(postings: DataFrame, rules: DataFrame) -> DataFrame:
     of rules: the phrases of each posting meet the rules in an equi-join on
     (field, term). Rows with the same id and texts are matched once."""
     postings = postings.withColumn("_content", F.xxhash64(*TEXT_FIELDS))
-    rules = _clean(rules).filter(F.col("term") != "")
+    rules = _clean(rules)
     length = F.size(F.split("term", " "))
     # One row: the phrase lengths that occur and the size of the table.
     facts = rules.agg(
         F.collect_set(length).alias("lengths"),
         F.count("*").alias("n"),
+        F.count_distinct("rule_id").alias("ids"),
         F.sum(F.octet_length("term") + F.octet_length("rule_id") + 64).alias("bytes"),
     ).first()
+    _check_ids(facts.n, facts.ids)
+    rules = rules.filter(F.col("term") != "")
     small = facts.n <= MOST_BROADCAST and (facts.bytes or 0) <= MOST_BROADCAST_BYTES
     if small:
         # Phrases are only built where a rule's first word stands.

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 import re
+import time
 
 import pytest
 from conftest import rows
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from rolesift.functions.terms import DEFAULT_RULES, default_rules
 from rolesift.functions.text import holds, lowered, normalised
 from rolesift.operators import classify, match
+from rolesift.operators.extract import page_fields, page_text
 from rolesift.operators.validate import check_postings, validate
 from rolesift.schema import POSTING, RULE
 
@@ -66,6 +68,11 @@ YEARS = {
     "5 + yrs": 5,
     "5 plus years": 5,
     "5-year minimum": 5,
+    "3 - 5 + years": 3,
+    "2+ to 4+ years": 2,
+    "5 \n\u00a0 years": 5,
+    "10years": 10,
+    "version 1.2.3 years": 2,
     "1.5 years": 1,
     "a company of 20 years": 20,
     "since 2020 years passed": None,
@@ -123,7 +130,7 @@ def test_forms_agree_on_awkward_rules(spark, cases, monkeypatch):
             ("c", "location", "description", "years", 7),
             ("d", "penalty", "description", "you lead a staff of one manager", -1),
             ("e", "penalty", "title", "...", -9),
-            ("f", "penalty", "years", "3", -2),
+            ("f", "penalty", "years", "03", -2),
             ("g", "penalty", "location", "ROCHESTER minnesota", -8),
         ],
         RULE,
@@ -154,6 +161,19 @@ def test_unknown_rule_is_an_error(spark, cases):
         match.match_rules(cases, bad)
 
 
+@pytest.mark.parametrize("most_compiled", [match.MOST_COMPILED, 0])
+def test_unusable_rules_tables(spark, cases, most_compiled):
+    twice = spark.createDataFrame(
+        [("r", "role", "title", "a", 1), ("r", "role", "title", "b", 1)], RULE
+    )
+    with pytest.raises(ValueError, match="unique"):
+        match.match_rules(cases, twice, most_compiled)
+    for years in ("many", "-1"):
+        bad = spark.createDataFrame([("r", "penalty", "years", years, -1)], RULE)
+        with pytest.raises(Exception, match="cannot apply rule r"):
+            match.match_rules(cases, bad, most_compiled)
+
+
 def test_many_rules_against_brute_force(spark, cases):
     """More rules than are compiled: every pair of words of the cases."""
     words = sorted({w for c in CASES for w in re.findall(r"[a-z0-9]+", (c[0] or "").lower())})
@@ -210,6 +230,22 @@ def test_years(spark):
     }
 
 
+def test_matching_is_linear_in_the_text(spark):
+    """Long runs of one kind would take hours if a pattern retried them."""
+    n = 50_000
+    runs = ["5" + " " * n, "1" * n, "3-" * n, "<" * n, "<script " * n,
+            "<script></script " * n, "<title " * n, "<html " * n, "&" * n, "<!-" * n, "lead-" * n]
+    df = spark.createDataFrame([(r + "x 7 years",) for r in runs], "description string")
+    df = df.withColumns({"title": F.col("description"), "html": F.col("description")})
+    df = classify.is_senior(classify.years_required(page_text(page_fields(
+        df.withColumn("url", F.lit("https://x.example"))
+    ))))
+    start = time.monotonic()
+    got = df.collect()
+    assert time.monotonic() - start < 60
+    assert [r.years_required for r in got] == [7] * len(runs)
+
+
 def test_flags_and_filters(spark, cases):
     flags = classify.is_senior(classify.is_unpaid(classify.is_contract_only(cases)))
     got = {r.posting_id: r for r in classify.not_entry_level(flags).collect()}
