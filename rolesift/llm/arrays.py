@@ -114,13 +114,13 @@ class Words:
     bounds: np.ndarray
 
 
-def _cuts(data: np.ndarray) -> list[int]:
+def _cuts(data: np.ndarray, blank: np.ndarray) -> list[int]:
     """Where to cut bytes into pieces: at blanks, so that no word is cut."""
     cuts = [0]
     while len(data) - cuts[-1] > PIECE_BYTES:
         low, reach = cuts[-1], PIECE_BYTES
         while True:
-            blanks = np.flatnonzero(BLANK[data[low : low + reach]])
+            blanks = np.flatnonzero(blank[data[low : low + reach]])
             if len(blanks) or low + reach >= len(data):
                 break
             reach *= 2
@@ -131,10 +131,11 @@ def _cuts(data: np.ndarray) -> list[int]:
     return cuts
 
 
-def words_of(texts: Texts, lower: bool = False) -> Words:
-    """All words of the group; with ``lower``, A-Z count as a-z."""
+def words_of(texts: Texts, lower: bool = False, blank: np.ndarray = BLANK) -> Words:
+    """All words of the group; with ``lower``, A-Z count as a-z. ``blank`` tells
+    which byte values stand between words."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    cuts = _cuts(texts.data)
+    cuts = _cuts(texts.data, blank)
     for low, high in zip(cuts, cuts[1:], strict=False):
         piece = texts.data[low:high]
         if lower:
@@ -142,7 +143,7 @@ def words_of(texts: Texts, lower: bool = False) -> Words:
         inner = texts.bounds[
             np.searchsorted(texts.bounds, low, "right") : np.searchsorted(texts.bounds, high)
         ] - low
-        word = ~BLANK[piece]
+        word = ~blank[piece]
         before = np.empty_like(word)
         before[0] = False
         before[1:] = word[:-1]
