@@ -12,6 +12,7 @@ from rolesift.llm import (
     decontaminate,
     langid,
     mixing,
+    pitman_yor,
     quality,
     sharding,
     token_counts,
@@ -43,6 +44,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_on(docs))
 
 
+@query
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
