@@ -12,6 +12,7 @@ from rolesift.llm import (
     decontaminate,
     langid,
     mixing,
+    passages,
     pitman_yor,
     quality,
     sharding,
@@ -66,6 +67,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
