@@ -12,6 +12,7 @@ from rolesift.llm import (
     decontaminate,
     langid,
     mixing,
+    near_dups,
     passages,
     pitman_yor,
     quality,
@@ -45,6 +46,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_on(docs))
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_dups.find_near_duplicates(docs, percent=85).drop(*near_dups.KEY)
+
+
 @query
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
