@@ -5,12 +5,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontaminate, mixing, sharding
+from rolesift.llm import decontaminate, langid, mixing, near_dups, sharding
 from rolesift.session import shared_dir
 
 SHARDS = 64
 
 
+def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be told."""
+    return langid.keep_identified(docs, langid.fit_on(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dups.drop_near_duplicates(docs)
+
+
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops every document that holds a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -28,6 +38,8 @@ def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES = [
+    ("language ID", keep_identified_languages),
+    ("MinHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark_passages),
     ("mixing sources to target weights", mix_sources),
     ("sharding", place_in_shards),
