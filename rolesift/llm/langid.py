@@ -150,7 +150,7 @@ def recursions(
     blocks = -(-n // width)
     e = np.ones((blocks * width, k))
     np.exp(scores - scores.max(axis=1, keepdims=True), out=e[:n])
-    begins = np.zeros(blocks * width, dtype=bool)
+    begins = np.ones(blocks * width, dtype=bool)  # what fills the last block is no chain's end
     begins[:n] = first
     e = np.ascontiguousarray(e.reshape(blocks, width, k).swapaxes(0, 1))
     begins = np.ascontiguousarray(begins.reshape(blocks, width).T)
