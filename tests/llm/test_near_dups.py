@@ -1,0 +1,168 @@
+"""Near-duplicates against brute force, over leaves, branches and large clusters."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from llm_rows import awkward  # noqa: F401
+
+from rolesift.llm import near_dups
+from rolesift.llm.near_dups import components, find_near_duplicates
+from rolesift.llm.queries import QUERIES
+from rolesift.session import shared_dir
+
+from conftest import rows  # noqa: I001
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sets(docs):
+    out = []
+    for _, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        if len(words) >= 5:
+            out.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        else:
+            out.append({tuple(words)} if words else set())
+    return out
+
+
+def brute_force(docs, percent):
+    """(n, component) of each row, all pairs compared."""
+    own = sets(docs)
+    label = list(range(len(docs)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(own[i] & own[j])
+            if both and 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(docs):
+        if doc_id is not None:
+            least[root(i)] = min(least.get(root(i), doc_id), doc_id)
+    return sorted(
+        ((doc_id, len(own[i]), least.get(root(i))) for i, (doc_id, _) in enumerate(docs)), key=repr
+    )
+
+
+def found(spark, docs, percent):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = find_near_duplicates(df, percent).collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr)
+
+
+def corpus(seed, base=40, copies=8, changes=6):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    shared = [word() for _ in range(60)]
+    docs = []
+    for _ in range(base):
+        words = [word() for _ in range(rng.randrange(3, 120))]
+        if rng.random() < 0.5:
+            words = shared + words
+        docs.append(words)
+    for words in docs[:]:
+        for _ in range(rng.randrange(copies)):
+            copy = list(words)
+            for _ in range(rng.randrange(changes)):
+                copy[rng.randrange(len(copy))] = word()
+            docs.append(copy)
+    rng.shuffle(docs)
+    return [(i, " ".join(w).title() if i % 7 == 0 else "  ".join(w)) for i, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_against_brute_force(spark, percent):
+    docs = corpus(1)
+    want = brute_force(docs, percent)
+    assert len({c for _, _, c in want}) < len(docs)
+    assert found(spark, docs, percent) == want
+
+
+def test_large_nodes_and_clusters(spark, monkeypatch):
+    """With leaves of four members, trees branch and clusters are taken apart."""
+    docs = corpus(2, base=12, copies=30, changes=5)
+    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 4)
+    monkeypatch.setattr(near_dups, "MOST_BROADCAST_BYTES", 0)
+    assert found(spark, docs, 85) == brute_force(docs, 85)
+
+
+def test_copies_around_one_text(spark):
+    """Copies that are near their origin and not each other."""
+    rng = random.Random(5)
+    origin = [f"w{i}" for i in range(300)]
+    docs = [(500, " ".join(origin))]
+    for i in range(120):
+        copy = list(origin)
+        for _ in range(4):
+            copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    want = brute_force(docs, 85)
+    assert Counter(c for _, _, c in want)[0] > 80
+    assert found(spark, docs, 85) == want
+
+
+def test_awkward_rows(spark, awkward):
+    docs = [(r.doc_id, r.text) for r in awkward.collect()]
+    got = find_near_duplicates(awkward).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_force(docs, 80)
+    kept = near_dups.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns
+    # One of the equal rows; all rows without words, once if id and text repeat.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(
+        (i is None, i or 0) for i in (1, 2, 3, 4, None, None, 7, 8, 9, 10, -3)
+    )
+    empty = awkward.limit(0)
+    assert find_near_duplicates(empty).count() == 0
+    assert near_dups.drop_near_duplicates(empty).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = corpus(3)
+    df = spark.createDataFrame([*docs, docs[0], docs[1]], "doc_id long, text string")
+    kept = near_dups.drop_near_duplicates(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(
+        {c for _, _, c in brute_force(docs, 80)}
+    )
+
+
+def test_components(spark):
+    """Long ways and a hub."""
+    path = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 300)]
+    rng = random.Random(1)
+    rng.shuffle(path)
+    links = spark.createDataFrame(path, "a long, b long")
+    got = {r.member: r.label for r in components(links, shared_dir(spark, "t")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 300), 100)}
+    none = components(links.limit(0), shared_dir(spark, "t"))
+    assert none.count() == 0
+
+
+def test_tokens_estimate_similarity():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**63, 100, dtype=np.uint64)])
+    same = (near_dups.minwise(np.unique(a)) == near_dups.minwise(np.unique(b))).mean()
+    assert abs(same - 0.8) < 0.2
+    assert near_dups.least_matches(85) < 64 * 0.85
+    miss = (1 - 0.85) ** near_dups.n_trees(85)
+    assert miss <= near_dups.MISS
+
+
+def test_rerun_agrees(spark):
+    sf = "/root/testdata/sf0.001"
+    first = rows(QUERIES["op3_near_duplicates"](spark, sf))
+    assert first == rows(QUERIES["op3_near_duplicates"](spark, sf))
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted((r[1], r[3], r[0]) for r in first) == sorted(brute_force(docs, 85))

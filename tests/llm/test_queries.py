@@ -1,0 +1,89 @@
+"""The registered queries against DuckDB, and the pipeline."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as driver
+import corpus_pipeline
+from llm_rows import awkward  # noqa: F401
+
+from rolesift.llm import oracle, queries
+from rolesift.llm.decontaminate import find_contamination
+from rolesift.llm.near_dups import find_near_duplicates
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def test_registered():
+    names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
+    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 11)]
+    assert set(names) | {"pipeline"} <= set(driver.queries())
+    assert set(oracle.SQL) <= set(names) & set(driver.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF_DIR}/*.parquet"):
+        table = os.path.basename(path).removesuffix(".parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
+    df = queries.QUERIES[name](spark, SF_DIR)
+    relation = con.sql(oracle.SQL[name])
+    names = sorted(df.columns)
+    assert names == sorted(relation.columns)
+    order = [relation.columns.index(n) for n in names]
+    want = [tuple(r[i] for i in order) for r in relation.fetchall()]
+    got = [tuple(r) for r in df.select(*names).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage takes effect, loses nothing else and returns what it got."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    junk = docs.limit(1).withColumns(
+        {"doc_id": F.lit(10**6).cast("long"), "text": F.lit("### 123 ...")}
+    )
+    docs = docs.unionByName(junk)
+    seen = [docs]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, seen[-1], SF_DIR).write.parquet(f"{tmp_path}/{k}")
+        seen.append(spark.read.parquet(f"{tmp_path}/{k}"))
+        if k < 4:
+            assert seen[-1].columns == docs.columns, name
+    language, near, clean, mixed, sharded = seen[1:]
+    ids = [sorted(r.doc_id for r in df.select("doc_id").collect()) for df in seen]
+    assert ids[1] == [i for i in ids[0] if i != 10**6]
+    kept = find_near_duplicates(language).filter("kept")
+    assert ids[2] == sorted(r.doc_id for r in kept.collect())
+    hit = find_contamination(near, benchmark).filter("contaminated")
+    assert 0 < hit.count() and set(ids[3]) == set(ids[2]) - {r.doc_id for r in hit.collect()}
+    assert set(ids[4]) <= set(ids[3]) and len(ids[4]) > len(ids[3])
+    assert max(ids[4].count(i) for i in set(ids[4])) <= 2
+    assert ids[5] == ids[4]
+    assert sharded.columns == [*docs.columns, "slot", "shard"]
+    assert sharded.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
+    assert mixed.count() == sharded.count() and clean.count() < near.count()
+
+
+def test_pipeline_over_awkward_rows(spark, awkward, tmp_path):
+    for k, start in enumerate((awkward, awkward.limit(0))):
+        docs = start
+        for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{k}-{j}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{j}")
+        assert {*start.columns, "slot", "shard"} == set(docs.columns)
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    """The other queries do not need it."""
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    names = driver.queries()
+    assert "find_and_score" in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
+    assert set(driver.oracle_sql()) <= set(names)

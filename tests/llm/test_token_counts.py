@@ -1,0 +1,88 @@
+"""Token counts against the library itself."""
+
+import random
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from conftest import rows  # noqa: I001
+from llm_rows import awkward  # noqa: F401
+
+from rolesift.llm import token_counts
+from rolesift.llm.queries import QUERIES
+from rolesift.llm.token_counts import count_tokens
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def expected(tokenizer, docs):
+    return sorted(
+        ((i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids))
+         for i, t in docs),
+        key=repr,
+    )
+
+
+def counted(df):
+    return sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in count_tokens(df).collect()), key=repr)
+
+
+def test_whole_table(spark, tokenizer):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    got = QUERIES["op5_token_counts"](spark, SF_DIR).collect()
+    want = expected(tokenizer, [(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=repr) == want
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+
+
+PIECES = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "’", "é", "𝒳", "12", "!", "_", " ", " ",
+          "日本", "<|endoftext|>", "<|", "|>", "́", "​", "ß", "'ll", "don't", "\r\n", "٣", "\x00"]
+
+
+def test_random_texts(spark, tokenizer):
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choices(PIECES, k=rng.randrange(40)))) for i in range(3000)]
+    assert counted(spark.createDataFrame(docs, "doc_id long, text string")) == expected(tokenizer, docs)
+
+
+def test_long_texts_in_chunks(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choices(PIECES, k=rng.randrange(200)))) for i in range(300)]
+    for _, text in docs:
+        chunks = list(token_counts._chunks(text))
+        assert "".join(chunks) == text
+    got = counted(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == expected(tokenizer, docs)
+
+
+def test_awkward_rows(spark, awkward, tokenizer):
+    docs = [(r.doc_id, r.text) for r in awkward.collect()]
+    assert counted(awkward) == expected(tokenizer, docs)
+    assert counted(awkward.limit(0)) == []
+    only_empty = spark.createDataFrame([(1, None), (1, "")], "doc_id long, text string")
+    assert counted(only_empty) == [(1, 0, 0), (1, 0, 0)]
+
+
+def test_vocabulary_by_path(spark, awkward):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert rows(count_tokens(awkward, path)) == rows(count_tokens(awkward))
+
+
+def test_a_piece_is_counted_once(spark):
+    """A bucket's distinct pre-tokens go through the tokenizer once."""
+    answer = token_counts._count_pieces("byte_bpe_50k.json")
+    from rolesift.llm.blocks import pack, unpack
+    import numpy as np
+
+    rows_ = [{"places": pack(np.array([2, 0], dtype=np.int32)), "pieces": [" the", "zzzzqqq"]},
+             {"places": pack(np.array([1], dtype=np.int32)), "pieces": [" the"]}]
+    first, second = (unpack(x) for x in answer(rows_))
+    assert first[:2].tolist() == [2, 0] and second[0] == 1
+    assert first[2] == second[1] == 1 and first[3] > 1
