@@ -31,17 +31,37 @@ BLANK = " \\t\\r\\n\\f\u00a0"
 # Looked up before the full table of names.
 COMMON_ENTITIES = {"amp": "&", "nbsp": "\u00a0", "quot": '"', "#39": "'", "lt": "<", "gt": ">"}
 
-# "3-5 years", "5 + yrs", "2 to 4 years", "1.5 years": group 1 is the lower
-# bound. A match starts at the first digit of a number, and no two neighbouring
-# parts can match the same blanks, so the time is linear in the text.
+_UNITS = "one two three four five six seven eight nine".split()
+_TEENS = (
+    "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+)
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: Spelled numbers up to 99, words divided by one space.
+SPELLED = {word: n for n, word in enumerate([*_UNITS, *_TEENS], 1)} | {
+    f"{ten} {unit}".strip(): 10 * t + u
+    for t, ten in enumerate(_TENS, 2)
+    for u, unit in enumerate(["", *_UNITS])
+}
+
+# "3-5 years", "5 + yrs", "2 to 4 years", "1.5 years", "five (5) years", "5 or
+# more years", "minimum 5 full years": group 1 is the lower bound. A match starts
+# at the first digit or letter of a number, and no two neighbouring parts can
+# match the same blanks, so the time is linear in the text.
 _GAP = "[\\s\u00a0]*"
-_MORE = f"(?:(?:[+]|plus){_GAP})?"
+_WORDS = (
+    rf"(?:(?:{'|'.join(_TENS)})(?:[\s-](?:{'|'.join(_UNITS)}))?+"
+    rf"|{'|'.join(_TEENS)}|{'|'.join(_UNITS)})(?!\p{{L}})"
+)
+_DIGITS = "[0-9]++(?:[.][0-9]++)?"
+_BRACKET = f"(?:\\({_GAP}[0-9]++{_GAP}\\){_GAP})?"
+_MORE = f"(?:(?:[+]|plus|or{_GAP}(?:more|greater|over|above)){_GAP})?"
+_WHOLE = f"(?:(?:full|whole|solid|consecutive){_GAP})?"
 YEARS = (
-    f"(?<![0-9])([0-9]++)(?:[.][0-9]++)?{_GAP}{_MORE}"
-    f"(?:(?:-|–|—|to|or){_GAP}[0-9]++(?:[.][0-9]++)?{_GAP}{_MORE})?"
-    "-?(?:years?|yrs?)(?:[^\\p{L}]|$)"
+    rf"((?<![0-9])[0-9]++|(?<!\p{{L}}){_WORDS})(?:[.][0-9]++)?{_GAP}{_BRACKET}{_MORE}"
+    f"(?:(?:-|–|—|to|or){_GAP}(?:{_DIGITS}|{_WORDS}){_GAP}{_BRACKET}{_MORE})?"
+    f"{_WHOLE}-?(?:years?|yrs?)(?:[^\\p{{L}}]|$)"
 )
-MOST_YEARS = 60  # larger numbers are not a person's experience
+MOST = 2**31 - 1  # larger numbers are written as this
 
 
 def lowered(text: Column) -> Column:
@@ -68,15 +88,53 @@ def has_any_phrase(text: Column, phrases: list[str]) -> Column:
     return reduce(or_, [holds(low, phrase) for phrase in phrases])
 
 
+def without(low: Column, phrases: list[str]) -> Column:
+    """Lower-case text with a blank in place of each of the normalised phrases."""
+    either = "|".join(NOT_WORD.join(phrase.split()) for phrase in phrases)
+    return F.regexp_replace(low, rf"(?<!{WORD})(?:{either})(?!{WORD})", " ")
+
+
+def is_only(low: Column, phrase: str) -> Column:
+    """Whether the words of lower-case text are the phrase and nothing else."""
+    return low.rlike(rf"\A(?:{NOT_WORD})?{NOT_WORD.join(phrase.split())}(?:{NOT_WORD})?\z")
+
+
+def rule_holds(
+    low: Column, terms: list[str], unless: list[str] | None, requires: list[str] | None
+) -> Column:
+    """Whether a rule's normalised phrases hold in lower-case text; see
+    ``functions/terms.py``."""
+    terms = [t for t in terms if t]
+    if not terms:
+        return F.lit(False)
+    unless = [p for p in unless or [] if p]
+    first = reduce(or_, [holds(low, t) for t in terms])
+    if not unless and not requires:
+        return first
+    rest = without(low, unless) if unless else low
+    needed = [
+        is_only(low, r[1:]) if r.startswith("=") else holds(rest, r) for r in requires or []
+    ]
+    again = [reduce(or_, [holds(rest, t) for t in terms])] if unless else []
+    return reduce(and_, [first, *again, *([reduce(or_, needed)] if needed else [])])
+
+
+def _number(found: Column) -> Column:
+    """Digits or spelled words as a number."""
+    digits = F.regexp_replace(found, "^0+(?=[0-9])", "")
+    words = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
+    return (
+        F.when(~found.rlike("^[0-9]"), F.try_element_at(words, F.regexp_replace(found, r"[\s-]", " ")))
+        .when(F.length(digits) > 9, MOST)
+        .otherwise(digits.try_cast("int"))
+    )
+
+
 def years_required(text: Column) -> Column:
     """The largest number of years asked for; a range counts by its lower end."""
     low = lowered(text)
     found = F.regexp_extract_all(low, F.lit(YEARS), F.lit(1))
-    years = F.array_max(
-        F.filter(
-            F.transform(found, lambda n: n.try_cast("int")), lambda n: n <= MOST_YEARS
-        )
-    )
+    years = F.array_max(F.transform(found, _number))
     return F.when(low.contains("year") | low.contains("yr"), years)
 
 
@@ -88,12 +146,17 @@ def _decoded(ref: Column) -> Column:
     """The character of a reference such as ``amp``, ``#233`` or ``#xe9``."""
     names = [*sorted(name2codepoint.items()), ("apos", ord("'"))]
     named = F.create_map(*[F.lit(x) for name, code in names for x in (name, chr(code))])
-    digits = F.substring(ref, 2, 8)
+    digits = F.regexp_replace(ref, "^#[xX]?0*", "")
+    # More digits than any character has: no character, but still a reference.
     code = (
-        F.when(ref.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(ref, 3, 6), 16, 10))
-        .when(ref.rlike("^#[0-9]{1,7}$"), digits)
-        .cast("int")
+        F.when(
+            ref.rlike("^#[xX][0-9a-fA-F]+$"),
+            F.when(F.length(digits) > 6, "1114112").otherwise(F.conv(digits, 16, 10)),
+        )
+        .when(ref.rlike("^#[0-9]+$"), F.when(F.length(digits) > 7, "1114112").otherwise(digits))
+        .try_cast("int")
     )
+    code = F.when(ref.rlike("^#(?:[xX][0-9a-fA-F]+|[0-9]+)$"), F.coalesce(code, F.lit(0)))
     is_char = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     numeric = F.when(is_char, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(
         code.isNotNull(), "\ufffd"
@@ -109,7 +172,7 @@ def decode_entities(text: Column) -> Column:
     parts = F.transform(
         F.split(text, "&"),
         lambda part: F.struct(
-            part.alias("part"), F.substring_index(F.substring(part, 1, 10), ";", 1).alias("ref")
+            part.alias("part"), F.regexp_extract(part, "^(#?[0-9A-Za-z]++);", 1).alias("ref")
         ),
     )
     parts = F.transform(
@@ -117,9 +180,7 @@ def decode_entities(text: Column) -> Column:
         lambda p: F.struct(
             p["part"].alias("part"),
             F.length(p["ref"]).alias("n"),
-            F.when(
-                F.substr(p["part"], F.length(p["ref"]) + 1, F.lit(1)) == ";", _decoded(p["ref"])
-            ).alias("char"),
+            F.when(p["ref"] != "", _decoded(p["ref"])).alias("char"),
         ),
     )
     joined = F.transform(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,38 +14,55 @@ from rolesift.functions import text as X
 NO_CLASS = "other"
 
 
-def _class(field: str, classes: dict[str, list[str]]) -> Column:
+def _holds(rule: tuple) -> Column:
+    """Whether a rule of the default table holds."""
+    _, _, fields, term, _, unless, requires = rule
+    if fields == "years":
+        years = X.years_required(F.col("description"))
+        return F.coalesce(years >= int(term), F.lit(False))
+    parts = [[x for x in (p or "").split("|") if x] for p in (term, unless, requires)]
+    return reduce(or_, [X.rule_holds(X.lowered(F.col(f)), *parts) for f in fields.split("|")])
+
+
+def _any(rules: list[tuple]) -> Column:
+    return reduce(or_, map(_holds, rules))
+
+
+def _class(kind: str) -> Column:
     found = F
-    for name, phrases in classes.items():
-        found = found.when(X.has_any_phrase(F.col(field), phrases), name)
+    for name, rules in terms.of_class(kind).items():
+        found = found.when(_any(rules), name)
     return found.otherwise(NO_CLASS)
 
 
+def _penalty(name: str) -> Column:
+    return _any(terms.of_class("penalty", name)[name])
+
+
 def _senior() -> Column:
-    return X.has_any_phrase(F.col("title"), terms.SENIOR_TERMS)
+    return _penalty("senior")
 
 
 def _too_many_years() -> Column:
-    years = X.years_required(F.col("description"))
-    return F.coalesce(years >= terms.SENIOR_YEARS, F.lit(False))
+    return _penalty("many years")
 
 
 def _unpaid() -> Column:
-    return X.has_any_phrase(F.col("description"), terms.UNPAID_TERMS)
+    return _penalty("unpaid")
 
 
 def _contract_only() -> Column:
-    return X.has_any_phrase(F.col("description"), terms.CONTRACT_TERMS)
+    return _penalty("contract only")
 
 
 def role_class(df: DataFrame) -> DataFrame:
     """Adds ``role_class``: the target role the title names."""
-    return df.withColumn("role_class", _class("title", terms.ROLE_CLASSES))
+    return df.withColumn("role_class", _class("role"))
 
 
 def location_class(df: DataFrame) -> DataFrame:
     """Adds ``location_class``: the preferred location named, state first."""
-    return df.withColumn("location_class", _class("location", terms.LOCATION_CLASSES))
+    return df.withColumn("location_class", _class("location"))
 
 
 def is_senior(df: DataFrame) -> DataFrame:
@@ -61,11 +81,14 @@ def years_required(df: DataFrame) -> DataFrame:
 
 
 def is_unpaid(df: DataFrame) -> DataFrame:
+    """Adds ``is_unpaid``, read from title and description; "unpaid leave" and
+    the like are not an unpaid role."""
     return df.withColumn("is_unpaid", _unpaid())
 
 
 def is_contract_only(df: DataFrame) -> DataFrame:
-    """Adds ``is_contract_only``; "contract-to-hire" is not contract-only."""
+    """Adds ``is_contract_only``, read from title and description;
+    "contract-to-hire" is not contract-only."""
     return df.withColumn("is_contract_only", _contract_only())
 
 

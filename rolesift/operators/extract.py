@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.functions import terms
 from rolesift.functions import text as X
 
 VISIBLE = "_visible"
@@ -22,25 +23,42 @@ def _element(name: str) -> Column:
     return X.plain_text(F.regexp_extract(F.col(VISIBLE), inner, 1))
 
 
-def page_fields(pages: DataFrame) -> DataFrame:
-    """Adds ``title``, ``h1``, ``lang`` and ``host``; empty where absent."""
+def _fields() -> dict[str, Column]:
     lang = F.regexp_extract(
         F.col(VISIBLE), r"""<(?i:html)(?:\s[^<>]*?)?\s(?i:lang)\s*=\s*["']?([A-Za-z0-9-]+)""", 1
     )
     host = F.regexp_extract(
         F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1
     )
-    return (
-        pages.withColumn(VISIBLE, X.without_invisible(F.col("html")))
-        .withColumns(
-            {
-                "title": _element("title"),
-                "h1": _element("h1"),
-                "lang": F.lower(lang),
-                "host": F.lower(F.coalesce(host, F.lit(""))),
-            }
-        )
-        .drop(VISIBLE)
+    return {
+        "title": _element("title"),
+        "h1": _element("h1"),
+        "lang": F.lower(lang),
+        "host": F.lower(F.coalesce(host, F.lit(""))),
+    }
+
+
+def page_fields(pages: DataFrame) -> DataFrame:
+    """Adds ``title``, ``h1``, ``lang`` and ``host``; empty where absent."""
+    visible = pages.withColumn(VISIBLE, X.without_invisible(F.col("html")))
+    return visible.withColumns(_fields()).drop(VISIBLE)
+
+
+def page_location(text: Column) -> Column:
+    """Where a job is, from the text of its page: what follows a label such as
+    "Location:", or else the names of the preferred locations that the text
+    mentions; null if there is neither."""
+    label = F.regexp_extract(
+        text, rf"(?i)(?<!{X.WORD})(?:location|based in|work ?place) ?[:–-] ?([^.;|•·:]{{1,60}})", 1
+    )
+    low = X.lowered(text)
+    named = []
+    for name, rules in terms.of_class("location").items():
+        for _, _, _, term, _, unless, requires in rules:
+            parts = [[x for x in (p or "").split("|") if x] for p in (term, unless, requires)]
+            named.append(F.when(X.rule_holds(low, *parts), name))
+    return F.coalesce(
+        F.nullif(F.trim(label), F.lit("")), F.nullif(F.concat_ws(", ", *named), F.lit(""))
     )
 
 
@@ -49,13 +67,18 @@ def postings_from_pages(
 ) -> DataFrame:
     """Raw postings, one per page: the heading names the job, the page text is
     its description. ``seen_at`` defaults to the time the page file landed;
-    ``location`` is an expression over the page's columns, null if not given."""
+    ``location`` is an expression over the page's columns and its ``text``,
+    ``title`` and ``h1``, by default ``page_location``. Each page is stripped of
+    what is invisible once."""
     if seen_at is None:
         seen_at = F.col("_metadata.file_modification_time")
     if location is None:
-        location = F.lit(None)
-    page = page_text(pages.withColumn("seen_at", seen_at))
-    return page_fields(page).select(
+        location = page_location(F.col("text"))
+    page = pages.withColumn("seen_at", seen_at).withColumn(
+        VISIBLE, X.without_invisible(F.col("html"))
+    )
+    page = page.withColumns({**_fields(), "text": X.plain_text(F.col(VISIBLE))})
+    return page.select(
         F.col("page_id").alias("posting_id"),
         "url",
         F.coalesce(F.nullif("h1", F.lit("")), "title").alias("title"),

@@ -1,20 +1,21 @@
 """Matching postings to scoring rules, the score, and the reasons for it.
 
-Rules are a table. Up to ``MOST_COMPILED`` rules become column expressions, so
-matching and scoring need no join and no shuffle at all. A larger table is
-joined on whole phrases; the result is the same.
+Rules are a table; ``functions/terms.py`` says what a row means. Up to
+``MOST_COMPILED`` rules become column expressions, so matching and scoring need
+no join and no shuffle at all. A larger table is joined on whole phrases; the
+result is the same. Rules with conditions are always expressions, so there may
+be ``MOST_COMPILED`` of them at most.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rolesift.functions import text as X
-from rolesift.schema import RULE
 
 TEXT_FIELDS = ["title", "location", "description"]
 FIELDS = [*TEXT_FIELDS, "years"]
@@ -23,30 +24,50 @@ KINDS = ["role", "location", "penalty"]
 MOST_COMPILED = 100
 MOST_BROADCAST = 100_000
 MOST_BROADCAST_BYTES = 64 << 20
-SALTS = 16
+MOST_YEARS_RULES = 1000
 HITS = "array<struct<rule_id:string,kind:string,weight:bigint>>"
 
 
+def _alternatives(text: Column) -> Column:
+    """The normalised phrases between the bars; a leading "=" is kept."""
+
+    def phrase(part: Column) -> Column:
+        words = F.trim(X.normalised(part))
+        return F.when(part.startswith("="), F.concat(F.lit("="), words)).otherwise(words)
+
+    return F.transform(F.split(text, r"\|"), phrase)
+
+
 def _clean(rules: DataFrame) -> DataFrame:
-    """Rules with normalised terms; a rule that cannot be applied is an error."""
+    """Rules with lists of fields and normalised phrases; a rule that cannot be
+    applied is an error."""
     years = F.col("term").try_cast("int")
+    fields = F.split("field", r"\|")
+    on_years = F.array_contains(fields, "years")
     known = F.coalesce(
         F.col("kind").isin(KINDS)
-        & F.col("field").isin(FIELDS)
+        & F.forall(fields, lambda f: f.isin(FIELDS))
         & F.col("weight").isNotNull()
         & F.col("rule_id").isNotNull()
-        & ((F.col("field") != "years") | (years >= 0)),
+        & (~on_years | ((F.size(fields) == 1) & (years >= 0))),
         F.lit(False),
     )
     message = F.concat(F.lit("cannot apply rule "), F.coalesce("rule_id", F.lit("null")))
+
+    def condition(name: str) -> Column:
+        given = F.col(name) if name in rules.columns else F.lit(None).cast("string")
+        return F.when(~on_years, _alternatives(given)).alias(name)
+
     return rules.select(
         F.when(known, F.col("rule_id")).otherwise(F.raise_error(message)).alias("rule_id"),
         "kind",
-        "field",
-        F.when(F.col("field") == "years", years.cast("string"))
-        .otherwise(F.trim(X.normalised(F.col("term"))))
-        .alias("term"),
+        fields.alias("fields"),
+        F.when(on_years, F.array(years.cast("string")))
+        .otherwise(_alternatives(F.col("term")))
+        .alias("terms"),
         F.col("weight").cast("long").alias("weight"),
+        condition("unless"),
+        condition("requires"),
     )
 
 
@@ -71,10 +92,10 @@ def _flagged(postings: DataFrame, rules: list[Row]) -> tuple[DataFrame, list[str
     inputs["_years"] = X.years_required(F.col("description"))
 
     def flag(rule: Row) -> Column:
-        value = F.col(f"_{rule.field}")
-        if rule.field == "years":
-            return F.coalesce(value >= int(rule.term), F.lit(False))
-        return X.holds(value, rule.term) if rule.term else F.lit(False)
+        if rule.fields == ["years"]:
+            return F.coalesce(F.col("_years") >= int(rule.terms[0]), F.lit(False))
+        conditions = (rule.terms, rule.unless, rule.requires)
+        return reduce(or_, [X.rule_holds(F.col(f"_{f}"), *conditions) for f in rule.fields])
 
     flags = {f"_rule_{i}": flag(rule) for i, rule in enumerate(rules)}
     return postings.withColumns(inputs).withColumns(flags).drop(*inputs), list(flags)
@@ -94,15 +115,26 @@ def _compiled_score(rules: list[Row], flags: list[str]) -> Column:
     return reduce(add, [*best, *[F.coalesce(w, none) for w in weights["penalty"]]], none)
 
 
+def _hit(rule: Row) -> Column:
+    return F.struct(
+        F.lit(rule.rule_id).alias("rule_id"),
+        F.lit(rule.kind).alias("kind"),
+        F.lit(rule.weight).cast("long").alias("weight"),
+    )
+
+
 def score_postings(
-    postings: DataFrame, rules: DataFrame, most_compiled: int = MOST_COMPILED
+    postings: DataFrame,
+    rules: DataFrame,
+    most_compiled: int = MOST_COMPILED,
+    most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """``postings`` plus ``score`` and ``matched_rules``: the result of
     ``match_rules``, ``score`` and ``explain_score`` together. With a rules
     table of usual size this is one projection over the input."""
     few = few_rules(rules, most_compiled)
     if few is None:
-        return _scored_from_found(_with_found(postings, rules))
+        return _scored_from_found(_with_found(postings, rules, most_broadcast))
     flagged, flags = _flagged(postings, few)
     reasons = [F.when(F.col(f), r.rule_id) for f, r in zip(flags, few)]
     return flagged.withColumns(
@@ -114,26 +146,22 @@ def score_postings(
 
 
 def match_rules(
-    postings: DataFrame, rules: DataFrame, most_compiled: int = MOST_COMPILED
+    postings: DataFrame,
+    rules: DataFrame,
+    most_compiled: int = MOST_COMPILED,
+    most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """``posting_id, rule_id, kind, weight``: one row per posting and rule that
     holds for it, and one row of nulls for a posting without any."""
     few = few_rules(rules, most_compiled)
     if few is None:
         return (
-            _with_found(postings, rules)
+            _with_found(postings, rules, most_broadcast)
             .select("posting_id", F.explode_outer("found").alias("hit"))
             .select("posting_id", "hit.rule_id", "hit.kind", "hit.weight")
         )
     flagged, flags = _flagged(postings, few)
-    values = [
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.kind).alias("kind"),
-            F.lit(r.weight).cast("long").alias("weight"),
-        )
-        for r in few
-    ]
+    values = list(map(_hit, few))
     # The numbers of the rules that hold, or one empty text if none does. Made
     # of plain functions, so nothing leaves generated code.
     numbers = F.split(
@@ -147,14 +175,15 @@ def match_rules(
     )
 
 
-def _words(postings: DataFrame) -> DataFrame:
+def _words(postings: DataFrame, thresholds: list[int]) -> DataFrame:
     """``posting_id, _content, field, words, pos, word``: every word of every
-    text field with its place. "At least n years" becomes words as well: a
-    posting that asks for 3 years holds the words 0, 1, 2 and 3."""
+    text field with its place. "At least n years" becomes words as well: those
+    of the rules' thresholds that the posting reaches."""
     words = {f: F.split(F.trim(X.normalised(F.col(f))), " ") for f in TEXT_FIELDS}
-    words["years"] = F.when(
-        F.col("_years") >= 0, F.sequence(F.lit(0), F.col("_years")).cast("array<string>")
-    )
+    reached = F.array(*map(F.lit, thresholds)).cast("array<int>")
+    words["years"] = F.filter(
+        reached, lambda n: F.coalesce(n <= F.col("_years"), F.lit(False))
+    ).cast("array<string>")
     texts = F.array(
         *[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()]
     )
@@ -171,45 +200,58 @@ def _words(postings: DataFrame) -> DataFrame:
     )
 
 
-def _with_found(postings: DataFrame, rules: DataFrame) -> DataFrame:
+def _content() -> Column:
+    """128 bits that stand for the texts of a posting, which the rules read with
+    null as empty. (A hash of nullable columns would skip the nulls.)"""
+    texts = [F.coalesce(F.col(f), F.lit("")) for f in TEXT_FIELDS]
+    return F.struct(
+        F.xxhash64(F.lit(1), *texts).alias("a"), F.xxhash64(F.lit(2), *texts).alias("b")
+    )
+
+
+def _with_found(postings: DataFrame, rules: DataFrame, most_broadcast: int) -> DataFrame:
     """``postings`` plus ``found``, the set of rules that hold, for any number
     of rules: the phrases of each posting meet the rules in an equi-join on
     (field, term). Rows with the same id and texts are matched once."""
-    postings = postings.withColumn("_content", F.xxhash64(*TEXT_FIELDS))
-    rules = _clean(rules)
+    names = postings.columns
+    postings = postings.withColumn("_content", _content())
+    cleaned = _clean(rules)
+    plain = F.col("unless").isNull() & F.col("requires").isNull()
+    conditional = cleaned.filter(~plain).limit(MOST_COMPILED + 1).collect()
+    if len(conditional) > MOST_COMPILED:
+        raise ValueError(f"more than {MOST_COMPILED} rules have conditions")
+    ids = cleaned.agg(F.count("*").alias("n"), F.count_distinct("rule_id").alias("ids")).first()
+    _check_ids(ids.n, ids.ids)
+    rules = cleaned.filter(plain).select(
+        "rule_id", "kind", "weight", "terms", F.explode("fields").alias("field")
+    )
+    rules = rules.select("rule_id", "kind", "weight", "field", F.explode("terms").alias("term"))
     length = F.size(F.split("term", " "))
-    # One row: the phrase lengths that occur and the size of the table.
+    # One row: the thresholds of years, and the size of the table.
     facts = rules.agg(
-        F.collect_set(length).alias("lengths"),
+        F.collect_set(F.when(F.col("field") == "years", F.col("term").cast("int"))).alias("years"),
         F.count("*").alias("n"),
-        F.count_distinct("rule_id").alias("ids"),
         F.sum(F.octet_length("term") + F.octet_length("rule_id") + 64).alias("bytes"),
     ).first()
-    _check_ids(facts.n, facts.ids)
+    if len(facts.years) > MOST_YEARS_RULES:
+        raise ValueError(f"more than {MOST_YEARS_RULES} thresholds of years")
     rules = rules.filter(F.col("term") != "")
-    small = facts.n <= MOST_BROADCAST and (facts.bytes or 0) <= MOST_BROADCAST_BYTES
-    if small:
-        # Phrases are only built where a rule's first word stands.
-        starts = rules.select(
-            "field", F.split("term", " ")[0].alias("word"), length.alias("n")
-        ).distinct()
-        placed = _words(postings).join(F.broadcast(starts), ["field", "word"])
-    else:
-        lengths = F.array(*map(F.lit, sorted(facts.lengths))).cast("array<int>")
-        placed = _words(postings).select("*", F.explode(lengths).alias("n"))
+    # Phrases are only built where a rule's first word stands.
+    starts = rules.select(
+        "field", F.split("term", " ")[0].alias("word"), length.alias("n")
+    ).distinct()
+    if facts.n <= most_broadcast and (facts.bytes or 0) <= MOST_BROADCAST_BYTES:
+        starts, rules = F.broadcast(starts), F.broadcast(rules)
+    # Beyond that both are joined by key; a common word is a hot key of the
+    # left side, which adaptive execution splits.
+    placed = _words(postings, sorted(facts.years)).join(starts, ["field", "word"])
     held = placed.filter(F.col("pos") + F.col("n") <= F.size("words")).select(
         "posting_id",
         "_content",
         "field",
         F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("term"),
     )
-    if small:
-        matches = held.join(F.broadcast(rules), ["field", "term"])
-    else:
-        # Common words are hot keys: spread each over SALTS tasks.
-        salted = held.withColumn("_salt", F.pmod(F.xxhash64("posting_id"), F.lit(SALTS)))
-        copies = rules.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-        matches = salted.join(copies, ["field", "term", "_salt"])
+    matches = held.join(rules, ["field", "term"])
     # A set: a phrase may stand in a text more than once. It is bounded by the
     # rules that hold, and combined before the shuffle.
     found = matches.groupBy("posting_id", "_content").agg(
@@ -218,7 +260,7 @@ def _with_found(postings: DataFrame, rules: DataFrame) -> DataFrame:
     # Joined on a key of its own, so that the join has its own shuffle and
     # adaptive execution can split a posting that occurs very often.
     key = F.xxhash64("posting_id", "_content").alias("_key")
-    return (
+    joined = (
         postings.select("*", key)
         .alias("p")
         .join(
@@ -230,8 +272,15 @@ def _with_found(postings: DataFrame, rules: DataFrame) -> DataFrame:
             & (F.col("p._content") == F.col("_same")),
             "left",
         )
-        .select(*[F.col(f"p.{c}") for c in postings.columns if c != "_content"], "found")
+        .select(*[F.col(f"p.{c}") for c in names], "found")
     )
+    if not conditional:
+        return joined
+    flagged, flags = _flagged(joined, conditional)
+    none = F.array().cast(HITS)
+    hits = F.array(*[F.when(F.col(f), _hit(r)) for f, r in zip(flags, conditional)])
+    found = F.concat(F.coalesce("found", none), F.array_compact(hits).cast(HITS))
+    return flagged.withColumn("found", F.when(F.size(found) > 0, found)).drop(*flags)
 
 
 def _scored_from_found(df: DataFrame) -> DataFrame:

@@ -12,14 +12,16 @@ from rolesift.operators.validate import validate
 from rolesift.sources.store import list_postings, save_postings
 
 
-def find_and_score(raw: DataFrame, rules: DataFrame) -> DataFrame:
+def find_and_score(raw: DataFrame, rules: DataFrame, description: bool = True) -> DataFrame:
     """Newest valid version of each posting with its score and reasons.
 
-    Scores before the shuffle by url and drops the description there: it is by
-    far the widest column, and everything that reads it runs where it is read.
+    Scores before the shuffle by url, where the description is read, and shuffles
+    one row per url and task. Without ``description`` that column, by far the
+    widest, is dropped there: for what is notified, not for what is saved.
     """
     valid, _ = validate(raw)
-    return latest(score_postings(valid, rules).drop("description"))
+    scored = score_postings(valid, rules)
+    return latest(scored if description else scored.drop("description"))
 
 
 def save_and_review(

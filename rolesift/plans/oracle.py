@@ -1,10 +1,162 @@
-"""The registered queries as DuckDB SQL over the test tables."""
+"""The registered queries as DuckDB SQL over the test tables.
+
+Rules, titles and places are written out here once more, so that a wrong one in
+the library does not go unnoticed."""
 
 from __future__ import annotations
 
-from rolesift.functions.terms import DEFAULT_RULES
-from rolesift.plans.postings_fx import LOCATIONS, TITLES
-from rolesift.plans.registry import PAGE_RULES
+
+
+# Fixed values. The rules that have to do with the derived postings.
+TITLES = [
+    "Junior Software Engineer", "New Grad Software Engineer", "Entry-Level Software Developer",
+    "Application Developer", "Frontend Developer", "Full-stack Developer", "Java Developer",
+    "React / TypeScript Developer", "Junior AWS Engineer", "Senior Software Engineer",
+    "Staff Engineer", "Engineering Manager",
+]
+LOCATIONS = [
+    "Rochester, Minnesota", "Twin Cities", "Rochester", "Remote", "Hybrid - Twin Cities",
+    "Austin", "Boston",
+]
+RULES = [
+    ("role_junior", "role", "title", "junior software engineer", 10),
+    ("role_newgrad", "role", "title", "new grad software engineer", 10),
+    ("role_entry", "role", "title", "entry level software developer", 10),
+    ("role_app", "role", "title", "application developer", 10),
+    ("role_fe", "role", "title", "frontend developer", 10),
+    ("role_fs", "role", "title", "full stack developer", 10),
+    ("role_java", "role", "title", "java developer", 10),
+    ("role_react", "role", "title", "react", 10),
+    ("role_ts", "role", "title", "typescript", 10),
+    ("role_aws", "role", "title", "junior aws", 10),
+    ("loc_mn", "location", "location", "minnesota", 5),
+    ("loc_tc", "location", "location", "twin cities", 5),
+    ("loc_roc", "location", "location", "rochester", 5),
+    ("loc_remote", "location", "location", "remote", 5),
+    ("loc_hybrid", "location", "location", "hybrid", 5),
+    ("pen_senior", "penalty", "title", "senior", -20),
+    ("pen_staff", "penalty", "title", "staff", -20),
+    ("pen_mgr", "penalty", "title", "manager", -20),
+    ("pen_unpaid", "penalty", "description", "unpaid", -20),
+    ("pen_contract", "penalty", "description", "contract only", -20),
+    ("pen_years", "penalty", "years", "5", -20),
+]
+PAGE_RULES = [
+    ("page_the", "role", "title", "the", 10),
+    ("page_and", "role", "title", "and", 8),
+    ("page_of", "location", "location", "of", 5),
+    ("page_de", "location", "location", "de", 3),
+    ("page_la", "penalty", "title", "la", -20),
+    ("page_in_the", "penalty", "description", "in the", -7),
+    ("page_que_de", "penalty", "description", "que de", -3),
+]
+# What each wording stands for, by hand. Titles: class, senior, unpaid,
+# contract only, rules of the title; places: class, rules; descriptions: years,
+# unpaid, contract only.
+WORDED_TITLES = [
+    ("frontend developer", False, False, False, "role_fe"),
+    ("full-stack developer", False, False, False, "role_fs"),
+    ("java developer", True, False, False, "pen_senior,role_java"),
+    ("frontend developer", False, True, False, "role_fe"),
+    ("java developer", False, False, True, "role_java"),
+    ("other", False, False, False, ""),
+    ("junior software engineer", False, False, False, "role_junior"),
+    ("other", False, False, False, ""),
+    ("new grad software engineer", False, False, False, "role_newgrad"),
+    ("react / typescript developer", True, False, False, "pen_mgr,role_react"),
+]
+WORDED_LOCATIONS = [
+    ("other", ""),
+    ("minnesota", "loc_hybrid,loc_mn,loc_tc"),
+    ("other", ""),
+    ("minnesota", "loc_mn,loc_roc"),
+    ("hybrid", "loc_hybrid"),
+    ("other", ""),
+    ("twin cities", "loc_tc"),
+    ("remote", "loc_remote"),
+    ("twin cities", "loc_tc"),
+    ("other", ""),
+]
+WORDED_DESCRIPTIONS = [
+    (5, False, False),
+    (5, False, False),
+    (4, False, False),
+    (5, False, False),
+    (65, False, False),
+    (25, False, False),
+    (None, False, False),
+    (None, True, False),
+    (None, False, True),
+    (3, False, False),
+    (None, False, False),
+]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    def text(value) -> str:
+        if value is None:
+            return "CAST(NULL AS INTEGER)"
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    listed = ", ".join(f"({i}, {', '.join(map(text, row))})" for i, row in enumerate(rows))
+    return f"(VALUES {listed}) AS w(i, {names})"
+
+
+WORDED = f"""
+titles AS (SELECT * FROM {_values(WORDED_TITLES, 'role_class, senior, unpaid_t, contract_t, rules_t')}),
+places AS (SELECT * FROM {_values(WORDED_LOCATIONS, 'location_class, rules_l')}),
+texts AS (SELECT * FROM {_values(WORDED_DESCRIPTIONS, 'years, unpaid_d, contract_d')}),
+worded AS (
+  SELECT o_orderkey AS posting_id, role_class, location_class, senior,
+         unpaid_t OR unpaid_d AS unpaid, contract_t OR contract_d AS contract,
+         years, coalesce(years >= 5, false) AS many, rules_t, rules_l
+  FROM orders
+  JOIN titles t ON t.i = o_orderkey % 10
+  JOIN places p ON p.i = (o_orderkey // 10) % 10
+  JOIN texts d ON d.i = (o_orderkey // 100) % 11
+),
+worded_rules AS (
+  SELECT *, list_sort(list_filter(string_split(concat_ws(',', nullif(rules_t, ''), nullif(rules_l, ''),
+      CASE WHEN unpaid THEN 'pen_unpaid' END, CASE WHEN contract THEN 'pen_contract' END,
+      CASE WHEN many THEN 'pen_years' END), ','), lambda x: x <> '')) AS rules
+  FROM worded
+)"""
+
+
+def _points(rules: str) -> str:
+    """The score of a list of rule ids."""
+    def some(prefix: str) -> str:
+        return f"len(list_filter({rules}, lambda x: starts_with(x, '{prefix}')))"
+
+    return (
+        f"CAST(CASE WHEN {some('role_')} > 0 THEN 10 ELSE 0 END"
+        f" + CASE WHEN {some('loc_')} > 0 THEN 5 ELSE 0 END - 20 * {some('pen_')} AS BIGINT)"
+    )
+
+
+WORDED_SCORES = f"""WITH {WORDED}
+SELECT posting_id, {_points('rules')} AS score, array_to_string(rules, ',') AS matched_rules
+FROM worded_rules"""
+
+# Even keys hold one text; whether it is the place or the description decides
+# what it means.
+SWAPPED = f"""WITH {WORDED},
+hit AS (
+  SELECT posting_id % 50 AS id, 'https://jobs.example.com/' || posting_id AS url,
+    list_sort(list_filter(string_split(concat_ws(',',
+      CASE WHEN posting_id % 3 <> 2 THEN nullif(rules_t, '') END,
+      CASE WHEN posting_id % 3 <> 2 AND unpaid_t
+             OR posting_id % 3 = 1 AND posting_id % 2 = 0 THEN 'pen_unpaid' END,
+      CASE WHEN posting_id % 3 <> 2 AND contract_t
+             OR posting_id % 3 = 1 AND posting_id % 2 = 0 THEN 'pen_contract' END,
+      CASE WHEN posting_id % 3 = 0 AND posting_id % 2 = 0 THEN 'loc_remote' END,
+      CASE WHEN posting_id % 3 = 1 AND posting_id % 2 = 0 THEN 'pen_years' END), ','),
+      lambda x: x <> '')) AS rules
+  FROM (SELECT o_orderkey AS posting_id, t.* FROM orders JOIN titles t ON t.i = o_orderkey % 10)
+)
+SELECT id AS posting_id, url, {_points('rules')} AS score,
+       array_to_string(rules, ',') AS matched_rules
+FROM hit"""
 
 
 def _list(values: list[str]) -> str:
@@ -65,7 +217,7 @@ mentions AS (
 years AS (
   SELECT v.*, m.years_required
   FROM valid v LEFT JOIN (
-    SELECT posting_id, max(n) AS years_required FROM mentions WHERE n <= 60 GROUP BY posting_id
+    SELECT posting_id, max(n) AS years_required FROM mentions GROUP BY posting_id
   ) m USING (posting_id)
 )"""
 
@@ -77,7 +229,7 @@ texts AS (
 ),
 hits AS (
   SELECT t.posting_id, r.rule_id, r.kind, CAST(r.weight AS BIGINT) AS weight
-  FROM texts t, {_rules(DEFAULT_RULES)}
+  FROM texts t, {_rules(RULES)}
   WHERE CASE r.field
           WHEN 'title' THEN contains(t.title, ' ' || r.term || ' ')
           WHEN 'location' THEN contains(t.location, ' ' || r.term || ' ')
@@ -200,11 +352,28 @@ REVIEW = f"WITH {SCORED} SELECT posting_id, url, title, score, matched_rules FRO
 SQL: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, html FROM pages",
     "pages_as_json": "SELECT page_id, url, html FROM pages",
-    "postings_as_json": f"WITH {VALID} SELECT {POSTING} FROM valid",
+    "postings_as_json": f"""WITH {VALID}
+SELECT {POSTING} FROM (SELECT * REPLACE (
+  seen_at + to_microseconds(posting_id * 7919 % 1000000) AS seen_at) FROM valid)""",
     "save_postings": f"""WITH {MATCHES}
 SELECT {POSTING}, score, matched_rules
 FROM ({NEWEST.format(table='valid')}) JOIN totals USING (posting_id)""",
-    "list_postings": f"WITH {SCORED} SELECT posting_id, url, title, score FROM scored WHERE score > 0",
+    "compacted_postings": f"""WITH {MATCHES}
+SELECT {POSTING}, score, matched_rules
+FROM ({NEWEST.format(table='valid')}) JOIN totals USING (posting_id)""",
+    "list_postings": f"WITH {SCORED} SELECT {POSTING}, score FROM scored WHERE score > 0",
+    "worded_flags": f"""WITH {WORDED}
+SELECT posting_id, role_class, location_class, senior AS is_senior, unpaid AS is_unpaid,
+       contract AS is_contract_only, years AS years_required, many AS many_years,
+       senior OR many AS not_entry_level
+FROM worded""",
+    "worded_clean": f"""WITH {WORDED}
+SELECT posting_id FROM worded WHERE NOT (senior OR many OR unpaid OR contract)""",
+    "worded_scores": WORDED_SCORES,
+    "worded_scores_by_phrase": WORDED_SCORES,
+    "swapped_scores": SWAPPED,
+    "swapped_scores_by_phrase": SWAPPED,
+    "swapped_scores_unbroadcast": SWAPPED,
     "outbox": OUTBOX,
     "page_text": f"WITH {BODY} SELECT page_id, {_plain('body')} AS text FROM body",
     "page_fields": rf"""WITH {BODY}
@@ -243,8 +412,7 @@ WHERE NOT ({SENIOR} OR {MANY_YEARS} OR {UNPAID} OR {CONTRACT})""",
     "explain_score": f"WITH {MATCHES} SELECT posting_id, matched_rules FROM totals",
     "score_postings": f"WITH {MATCHES} SELECT posting_id, score, matched_rules FROM totals",
     "find_and_score": f"""WITH {SCORED}
-SELECT posting_id, url, title, location, CAST(seen_at AS VARCHAR) AS seen_at, score, matched_rules
-FROM scored""",
+SELECT {POSTING}, score, matched_rules FROM scored""",
     "latest": f"WITH {VALID} SELECT {POSTING} FROM ({NEWEST.format(table='valid')})",
     "new_postings": f"""WITH {VALID}
 SELECT posting_id, url, title FROM ({NEWEST.format(table='valid')}) WHERE customer % 2 <> 0""",
@@ -254,10 +422,30 @@ SELECT posting_id, url, title FROM ({NEWEST.format(table='valid')}) WHERE custom
     "review_top": f"{REVIEW} ORDER BY score DESC, posting_id LIMIT 100",
     "strong_fits": f"WITH {SCORED} SELECT posting_id, url, score, matched_rules FROM strong",
     "save_and_review": f"""WITH {SCORED}
-SELECT posting_id, url, score, matched_rules FROM scored WHERE customer % 3 <> 0
+SELECT {POSTING}, score, matched_rules FROM scored WHERE customer % 3 <> 0
 ORDER BY score DESC, posting_id""",
     "scan_stream": "SELECT page_id, url, html FROM pages",
     "first_seen": FIRST_SEEN,
-    "first_seen_within": FIRST_SEEN,
-    "notify_stream": OUTBOX,
+    "first_seen_within": f"""WITH {VALID}
+SELECT DISTINCT url, CAST(epoch(seen_at) AS BIGINT) // (200 * 86400) AS seen_period FROM valid""",
+    "notify_stream": f"""WITH {MATCHES},
+batches AS (
+  SELECT *, CASE WHEN posting_id % 5 = 0 AND seen_at < '1997-01-01' THEN 4
+                 WHEN seen_at < '1994-01-01' THEN 1 WHEN seen_at < '1997-01-01' THEN 2
+                 ELSE 3 END AS batch
+  FROM valid JOIN totals USING (posting_id)
+),
+newest AS (
+  SELECT * FROM batches
+  QUALIFY row_number() OVER (PARTITION BY url, batch ORDER BY seen_at DESC, posting_id DESC) = 1
+),
+current AS (
+  SELECT n.* FROM newest n WHERE NOT EXISTS (
+    SELECT 1 FROM newest o WHERE o.url = n.url AND o.batch < n.batch
+      AND (o.seen_at > n.seen_at OR o.seen_at = n.seen_at AND o.posting_id > n.posting_id))
+)
+SELECT url, arg_min(score, batch) AS score, arg_min(matched_rules, batch) AS matched_rules
+FROM current WHERE score >= 15 GROUP BY url""",
+    "watch_pages": f"""WITH {PAGE_POSTINGS}
+SELECT url, CAST(score AS BIGINT) AS score, matched_rules FROM page_scores WHERE score >= 8""",
 }

@@ -13,17 +13,20 @@ from rolesift.operators.latest import latest as newest
 from rolesift.operators.validate import validate
 from rolesift.plans import flows
 from rolesift.plans.postings_fx import ORDERS, postings_fx, sightings
-from rolesift.schema import PAGE, SCORED
+from rolesift.plans.wordings_fx import swapped, worded
+from rolesift.schema import PAGE, POSTING
 from rolesift.session import shared_dir
 from rolesift.sources.jsonl import read_json, write_json
 from rolesift.sources.outbox import read_outbox, write_outbox
 from rolesift.sources.pages import scan_pages as read_pages
+from rolesift.sources.store import compact, retain
 from rolesift.sources.store import list_postings as saved_postings
 from rolesift.sources.store import save_postings as save
-from rolesift.streaming.first_seen import first_seen as first_sightings
+from rolesift.streaming.first_seen import PERIOD, read_first_seen, run_first_seen
 from rolesift.streaming.notify import notify_stream as start_notifying
 from rolesift.streaming.scan import run_scan
 from rolesift.streaming.scan import scan_stream as landed
+from rolesift.streaming.watch import watch_pages as start_watching
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +71,13 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("seen_at", F.col("seen_at").cast("string"))
 
 
+def _files(df: DataFrame, folder: str, *parts: Column) -> str:
+    """Lands the rows of each part as a file of its own, one after another."""
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def _landing(sf_dir: str, table: str) -> str:
     """A glob, so that a table may be one file or a folder of files."""
     return f"{sf_dir}/{table}*.parquet"
@@ -85,14 +95,15 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "pages-json")
     write_json(read_pages(spark, f"{sf_dir}/pages.parquet"), path)
-    return read_json(spark, path, PAGE)
+    return read_json(spark, path, PAGE, raw_line=None)
 
 
 @query
 def postings_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "postings-json")
-    write_json(_valid(spark, sf_dir), path)
-    return _shown(read_json(spark, path))
+    micros = F.unix_micros("seen_at") + F.col("posting_id") * 7919 % 1_000_000
+    write_json(_valid(spark, sf_dir).withColumn("seen_at", F.timestamp_micros(micros)), path)
+    return _shown(read_json(spark, path, raw_line=None))
 
 
 @query
@@ -105,12 +116,25 @@ def save_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(saved_postings(spark, store))
 
 
+@query
+def compacted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three saves, a compaction, one more save, and nothing old retained."""
+    store = shared_dir(spark, "store")
+    scored = match.score_postings(_valid(spark, sf_dir), default_rules(spark))
+    for part in range(4):
+        if part == 3:
+            compact(spark, store)
+        save(scored.filter(F.col("posting_id") % 4 == part), store)
+    retain(spark, store)
+    return _shown(saved_postings(spark, store))
+
+
 @query
 def list_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shared_dir(spark, "store")
     save(_scored(spark, sf_dir), store)
     saved = saved_postings(spark, store, F.col("score") > 0)
-    return saved.select("posting_id", "url", "title", "score")
+    return _shown(saved.drop("matched_rules"))
 
 
 @query
@@ -212,9 +236,57 @@ def drop_disqualified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("posting_id", "title", "description")
 
 
+@query
+def worded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and flags of common wordings."""
+    df = classify.role_class(classify.location_class(worded(spark, sf_dir)))
+    df = classify.is_senior(classify.is_unpaid(classify.is_contract_only(df)))
+    df = classify.years_required(classify.not_entry_level(df))
+    return df.drop("url", "title", "location", "description", "seen_at")
+
+
+@query
+def worded_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.drop_disqualified(worded(spark, sf_dir)).select("posting_id")
+
+
 # Matching and scoring
 
 
+@query
+def worded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = match.score_postings(worded(spark, sf_dir), default_rules(spark))
+    return df.select("posting_id", "score", "matched_rules")
+
+
+@query
+def worded_scores_by_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = match.score_postings(worded(spark, sf_dir), default_rules(spark), most_compiled=0)
+    return df.select("posting_id", "score", "matched_rules")
+
+
+def _swapped(spark: SparkSession, sf_dir: str, **bounds: int) -> DataFrame:
+    df = match.score_postings(swapped(spark, sf_dir), default_rules(spark), **bounds)
+    return df.select("posting_id", "url", "score", "matched_rules")
+
+
+@query
+def swapped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated ids, and texts that change places with nulls."""
+    return _swapped(spark, sf_dir)
+
+
+@query
+def swapped_scores_by_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _swapped(spark, sf_dir, most_compiled=0)
+
+
+@query
+def swapped_scores_unbroadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for rules that are too many to broadcast."""
+    return _swapped(spark, sf_dir, most_compiled=0, most_broadcast=0)
+
+
 @query
 def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_rules(_valid(spark, sf_dir), default_rules(spark))
@@ -301,8 +373,7 @@ def save_and_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     save(scored.filter(_customer() % 2 == 0), store)
     reviews = _valid(spark, sf_dir).filter(_customer() % 3 == 0)
-    listed = flows.save_and_review(scored, store, reviews, update=False)
-    return listed.select("posting_id", "url", "score", "matched_rules")
+    return _shown(flows.save_and_review(scored, store, reviews, update=False))
 
 
 # Streaming
@@ -317,30 +388,73 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PAGE).parquet(f"{work}/pages")
 
 
+def _overlapping(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
+    """A stream of sightings in three overlapping files, a batch each."""
+    k = F.col("o_orderkey")
+    orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    folder = _files(orders, f"{work}/landing", k % 3 == 0, k % 3 <= 1, k % 2 == 0, k % 2 == 1)
+    return validate(sightings(landed(spark, folder, ORDERS, max_files=1)))[0]
+
+
 @query
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "first-seen")
-    stream = sightings(landed(spark, _landing(sf_dir, "orders"), ORDERS))
-    run_scan(first_sightings(validate(stream)[0]), f"{work}/urls", f"{work}/checkpoint")
-    return spark.read.schema(SCORED).parquet(f"{work}/urls").select("url")
+    run_first_seen(_overlapping(spark, sf_dir, work), f"{work}/urls", f"{work}/checkpoint")
+    return read_first_seen(spark, f"{work}/urls", POSTING).select("url")
 
 
 @query
 def first_seen_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded state, with a delay longer than the data spans."""
+    """Urls are new again in every period of 200 days; files are not in order of
+    time, so most sightings come late."""
     work = shared_dir(spark, "first-seen-within")
-    stream = sightings(landed(spark, _landing(sf_dir, "orders"), ORDERS))
-    once = first_sightings(validate(stream)[0], delay="10000 days")
-    run_scan(once, f"{work}/urls", f"{work}/checkpoint")
-    return spark.read.schema(SCORED).parquet(f"{work}/urls").select("url")
+    stream = _overlapping(spark, sf_dir, work)
+    run_first_seen(stream, f"{work}/urls", f"{work}/checkpoint", days=200)
+    seen = read_first_seen(spark, f"{work}/urls", POSTING)
+    period = F.floor(F.unix_timestamp("seen_at") / (200 * 86_400)).cast("long")
+    return seen.select("url", period.alias(PERIOD))
 
 
 @query
 def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches in order of time, and a fourth of sightings that come late:
+    none of them is newer than what was processed."""
     work = shared_dir(spark, "notify")
-    stream = sightings(landed(spark, _landing(sf_dir, "orders"), ORDERS))
+    orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    date, k = F.col("o_orderdate"), F.col("o_orderkey")
+    late = (k % 5 == 0) & (date < "1997-01-01")
+    early = ~late & (date < "1994-01-01")
+    middle = ~late & date.between("1994-01-01", "1996-12-31 23:59:59")
+    folder = _files(
+        orders, f"{work}/landing", early, middle, ~late & (date >= "1997-01-01"), late
+    )
     started = start_notifying(
-        stream, default_rules(spark), f"{work}/outbox", f"{work}/checkpoint"
+        sightings(landed(spark, folder, ORDERS, max_files=1)),
+        default_rules(spark),
+        f"{work}/outbox",
+        f"{work}/checkpoint",
+    )
+    started.awaitTermination()
+    return read_outbox(spark, f"{work}/outbox")
+
+
+@query
+def watch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in two overlapping files, to the outbox, with rules that suit them."""
+    work = shared_dir(spark, "watch")
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    page = F.col("page_id")
+    started = start_watching(
+        spark,
+        _files(pages, f"{work}/landing", page % 3 <= 1, page % 3 >= 1),
+        rules_table(spark, PAGE_RULES),
+        f"{work}/seen",
+        f"{work}/outbox",
+        f"{work}/checkpoint",
+        threshold=8,
+        seen_at=F.timestamp_seconds(page),
+        location=F.col("title"),
+        max_files=1,
     )
     started.awaitTermination()
     return read_outbox(spark, f"{work}/outbox")

@@ -39,6 +39,15 @@ RULE = T.StructType(
     ]
 )
 
+#: Rules may carry conditions; see ``functions/terms.py``.
+CONDITIONAL_RULE = T.StructType(
+    RULE.fields
+    + [
+        T.StructField("unless", T.StringType()),
+        T.StructField("requires", T.StringType()),
+    ]
+)
+
 OUTBOX = T.StructType(
     [
         T.StructField("url", T.StringType()),

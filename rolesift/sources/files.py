@@ -26,3 +26,28 @@ def names(spark: SparkSession, folder: str) -> list[str]:
 def remove(spark: SparkSession, folder: str) -> None:
     fs, hadoop_path = _at(spark, folder)
     fs.delete(hadoop_path, True)
+
+
+def size(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below."""
+    fs, hadoop_path = _at(spark, folder)
+    return fs.getContentSummary(hadoop_path).getLength() if fs.exists(hadoop_path) else 0
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _at(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a new file; a file that is there already is an error."""
+    fs, hadoop_path = _at(spark, path)
+    stream = fs.create(hadoop_path, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()

@@ -6,14 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rolesift.schema import OUTBOX
-from rolesift.sources.files import exists
+from rolesift.sources.keyed import append_keyed, read_keyed
 
 
 def write_outbox(strong: DataFrame, path: str) -> None:
-    strong.select(*OUTBOX.names).write.mode("append").parquet(path)
+    append_keyed(strong.select(*OUTBOX.names), path)
 
 
-def read_outbox(spark: SparkSession, path: str) -> DataFrame:
-    if not exists(spark, path):
-        return spark.createDataFrame([], OUTBOX)
-    return spark.read.schema(OUTBOX).parquet(path)
+def read_outbox(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """All of the outbox, or with ``like`` at least what it has on those urls."""
+    return read_keyed(spark, path, OUTBOX, like)

@@ -1,42 +1,54 @@
-"""The posting store: a folder of numbered parquet versions.
+"""The posting store: a base table, the saves since, and a list of both.
 
-A save writes a whole new version and never touches the one being read. A
-version counts once Spark has committed it (``_SUCCESS``), so a job that dies
-half-way leaves the store as it was and its number is not used again. One
-writer at a time; any number of readers.
+A save writes its own rows as one more delta and never touches what is there, so
+it costs what the batch costs, not what the store holds. Reading merges base and
+deltas; ``compact`` writes the merged rows as a new base; ``retain`` removes what
+older versions alone still need.
+
+A version is a file in ``_versions`` that names its folders. It is written last
+and only if its number is free, so a job that dies half-way leaves the store as it
+was, and of two writers at the same time one fails. (On object stores without an
+exclusive create, allow one writer at a time.) Any number of readers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolesift.operators.latest import latest
 from rolesift.schema import SCORED
-from rolesift.sources.files import exists, names, remove
+from rolesift.sources.files import create_text, names, read_text, remove
+
+VERSIONS = "_versions"
+SAVE = "_save"
+STORED = T.StructType([*SCORED.fields, T.StructField(SAVE, T.LongType())])
 
 
 def _version_path(store: str, version: int) -> str:
-    return f"{store.rstrip('/')}/v{version:08d}"
+    return f"{store.rstrip('/')}/{VERSIONS}/{version:08d}"
 
 
-def _started(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of all versions begun, whether committed or not."""
-    numbers = [n[1:] for n in names(spark, store) if n[:1] == "v" and n[1:].isdigit()]
-    return sorted(map(int, numbers))
+def versions(spark: SparkSession, store: str) -> list[int]:
+    """Numbers of the committed versions, oldest first: one listing."""
+    found = names(spark, f"{store.rstrip('/')}/{VERSIONS}")
+    return sorted(int(n) for n in found if n.isdigit())
 
 
-def versions(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of the committed versions, oldest first."""
-    return [
-        v
-        for v in _started(spark, store)
-        if exists(spark, f"{_version_path(store, v)}/_SUCCESS")
-    ]
+def _folders(spark: SparkSession, store: str, version: int) -> dict:
+    """The version's folders: ``base`` (or null) and ``deltas``, oldest first."""
+    return json.loads(read_text(spark, _version_path(store, version)))
 
 
-def _read(spark: SparkSession, store: str, version: int) -> DataFrame:
-    return spark.read.schema(SCORED).parquet(_version_path(store, version))
+def _read(spark: SparkSession, store: str, folders: list[str]) -> DataFrame:
+    paths = [f"{store.rstrip('/')}/{f}" for f in folders]
+    return spark.read.schema(STORED).parquet(*paths)
 
 
 def _conform(df: DataFrame) -> DataFrame:
@@ -48,6 +60,15 @@ def _conform(df: DataFrame) -> DataFrame:
     )
 
 
+def _newest(deltas: DataFrame) -> DataFrame:
+    """One row per url of several saves: as ``latest``, the later save on a tie."""
+    newest = Window.partitionBy("url").orderBy(
+        F.desc("seen_at"), F.desc("posting_id"), F.desc(SAVE)
+    )
+    ranked = deltas.withColumn("_rank", F.row_number().over(newest))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+
+
 def merge_newest(saved: DataFrame, fresh: DataFrame) -> DataFrame:
     """Newest per url of two tables that each hold a url once; ``fresh`` wins a
     tie, so a posting can be scored again. Same result as a union followed by
@@ -71,25 +92,40 @@ def merge_newest(saved: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
+def _commit(
+    spark: SparkSession,
+    store: str,
+    version: int,
+    rows: DataFrame,
+    kind: str,
+    folders: Callable[[str], dict],
+) -> int:
+    """Writes the rows to a new folder and then the version. If either fails,
+    the folder goes."""
+    folder = f"{kind}-{version:08d}-{uuid.uuid4().hex}"
+    try:
+        rows.withColumn(SAVE, F.lit(version).cast("long")).select(*STORED.names).write.mode(
+            "errorifexists"
+        ).parquet(f"{store.rstrip('/')}/{folder}")
+        create_text(spark, _version_path(store, version), json.dumps(folders(folder)))
+    except BaseException:
+        remove(spark, f"{store.rstrip('/')}/{folder}")
+        raise
+    return version
+
+
 def save_postings(postings: DataFrame, store: str) -> int:
     """Saves postings by url, newest kept, and returns the new version number.
     Saving the same postings twice changes nothing. Postings must be valid."""
     spark = postings.sparkSession
     committed = versions(spark, store)
-    version = max(_started(spark, store), default=0) + 1
+    before = _folders(spark, store, committed[-1]) if committed else {"base": None, "deltas": []}
+    version = max(committed, default=0) + 1
     fresh = latest(_conform(postings))
-    if not committed:
-        fresh.write.mode("errorifexists").parquet(_version_path(store, version))
-        return version
-    # The new postings are read three times below. Written out, they are
-    # computed once, survive lost executors, and Spark knows their size.
-    incoming = f"{store.rstrip('/')}/incoming/{version:08d}"
-    fresh.write.mode("overwrite").parquet(incoming)
-    fresh = spark.read.schema(SCORED).parquet(incoming)
-    merged = merge_newest(_read(spark, store, committed[-1]), fresh)
-    merged.write.mode("errorifexists").parquet(_version_path(store, version))
-    remove(spark, incoming)
-    return version
+    return _commit(
+        spark, store, version, fresh, "delta",
+        lambda folder: {"base": before["base"], "deltas": [*before["deltas"], folder]},
+    )
 
 
 def list_postings(
@@ -105,5 +141,48 @@ def list_postings(
     chosen = committed[-1] if version is None else version
     if chosen not in committed:
         raise ValueError(f"no version {chosen} in {store}")
-    saved = _read(spark, store, chosen)
+    folders = _folders(spark, store, chosen)
+    parts = []
+    if folders["base"]:
+        parts.append(_read(spark, store, [folders["base"]]))
+    if folders["deltas"]:
+        deltas = _read(spark, store, folders["deltas"])
+        # A single delta holds each url once.
+        parts.append(_newest(deltas) if len(folders["deltas"]) > 1 else deltas)
+    saved = reduce(merge_newest, parts).drop(SAVE)
     return saved if where is None else saved.filter(where)
+
+
+def compact(spark: SparkSession, store: str) -> int:
+    """Writes the newest version as one base table, as a new version that lists
+    the same postings and is read without a merge."""
+    committed = versions(spark, store)
+    if not committed:
+        raise ValueError(f"nothing is saved in {store}")
+    if not _folders(spark, store, committed[-1])["deltas"]:
+        return committed[-1]
+    return _commit(
+        spark, store, committed[-1] + 1, list_postings(spark, store), "base",
+        lambda folder: {"base": folder, "deltas": []},
+    )
+
+
+def retain(spark: SparkSession, store: str, newest: int = 1) -> None:
+    """Removes all but the newest versions, and every folder that none of those
+    needs, those of saves that died included. Not while somebody saves, or reads
+    an older version."""
+    if newest < 1:
+        raise ValueError("the newest version stays")
+    committed = versions(spark, store)
+    if not committed:
+        return
+    keep = committed[-newest:]
+    needed = {VERSIONS}
+    for version in keep:
+        folders = _folders(spark, store, version)
+        needed |= {folders["base"], *folders["deltas"]}
+    # Versions first: none may name a folder that is gone.
+    for version in committed[:-newest]:
+        remove(spark, _version_path(store, version))
+    for name in set(names(spark, store)) - needed:
+        remove(spark, f"{store.rstrip('/')}/{name}")

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from rolesift.plans import oracle, registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = registry.QUERIES
+SQL = oracle.SQL
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,8 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(SQL) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -18,11 +18,11 @@ from rolesift.plans.flows import find_and_score
 from rolesift.plans.postings_fx import postings_fx
 from rolesift.schema import OUTBOX, POSTING, SCORED
 from rolesift.session import shared_dir
+from rolesift.sources.outbox import read_outbox, write_outbox
 from rolesift.sources.pages import scan_pages
 from rolesift.sources.store import merge_newest
 from rolesift.streaming.first_seen import first_seen
 from rolesift.streaming.notify import already_sent
-from rolesift.streaming.scan import scan_stream
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -80,10 +80,10 @@ def test_page_scan_reads_only_what_is_used(spark):
 
 
 def test_extraction_strips_each_page_once(spark):
-    """One pass per page for its text, one for its fields."""
+    """One pass over each page, also where both its text and its fields are read."""
     pages = scan_pages(spark, f"{SF_DIR}/pages.parquet")
     postings = postings_from_pages(pages, F.current_timestamp())
-    for df, passes in ((page_text(pages), 1), (page_fields(pages), 1), (postings, 2)):
+    for df, passes in ((page_text(pages), 1), (page_fields(pages), 1), (postings, 1)):
         text = plan(df)
         assert len(re.findall(r"regexp_replace\(html#", text)) == passes
         assert exchanges(text) == 0
@@ -105,12 +105,16 @@ def test_scoring_needs_no_shuffle_and_no_join(spark, valid):
         assert "CartesianProduct" not in plan(df)
 
 
-def test_flagship_shuffles_once_and_narrow(spark, stored):
+def test_flagship_shuffles_once(spark, stored):
+    """One shuffle of a row per url and task; narrow if the description may go."""
     text = plan(find_and_score(stored, default_rules(spark)))
     assert exchanges(text) == 1
     above, below = text.split("Exchange hashpartitioning(url")
-    assert "description" not in above
+    assert "description" in above
     assert re.search(r"WindowGroupLimit .*Partial", below)
+    text = plan(find_and_score(stored, default_rules(spark), description=False))
+    assert exchanges(text) == 1
+    assert "description" not in text.split("Exchange hashpartitioning(url")[0]
 
 
 def test_score_from_matches_combines_before_its_shuffle(spark, valid):
@@ -120,12 +124,31 @@ def test_score_from_matches_combines_before_its_shuffle(spark, valid):
         assert "partial_" in plan(df).split("Exchange ")[1]
 
 
-def test_many_rules_meet_by_equality(spark, valid, monkeypatch):
+def test_many_rules_meet_by_equality(spark, valid, settings):
     text = plan(match.match_rules(valid, default_rules(spark), 0))
     assert "BroadcastHashJoin" in text
     assert "NestedLoop" not in text and "Cartesian" not in text
-    monkeypatch.setattr(match, "MOST_BROADCAST_BYTES", 0)
-    assert "_salt" in plan(match.match_rules(valid, default_rules(spark), 0))
+    # Without a broadcast too, phrases are only built at a rule's first word.
+    settings(autoBroadcastJoinThreshold="-1")
+    text = plan(match.match_rules(valid, default_rules(spark), 0, 0))
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Broadcast" not in text
+    first, second = text.index("hashpartitioning(field"), text.rindex("hashpartitioning(field")
+    assert first != second
+
+
+def test_hot_word_is_split_without_a_broadcast(spark, stored, settings):
+    settings(
+        autoBroadcastJoinThreshold="-1",
+        adaptive__advisoryPartitionSizeInBytes="16KB",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="16KB",
+        adaptive__skewJoin__skewedPartitionFactor="1.5",
+        adaptive__coalescePartitions__enabled="false",
+    )
+    hot = stored.withColumn("title", F.lit("Staff"))
+    rules = default_rules(spark)
+    split = match.match_rules(hot, rules, 0, 0)
+    assert "skew=true" in final_plan(split)
+    assert rows(split) == rows(match.match_rules(hot, rules))
 
 
 def test_top_k_does_not_sort_everything(spark, valid):
@@ -219,23 +242,30 @@ def test_growing_outbox_is_not_shuffled(spark, stored, tmp_path):
     assert "BroadcastHashJoin" in text and exchanges(text) == 0
 
 
-def test_hot_url_of_a_stream_is_reduced_before_the_shuffle(spark, stored, tmp_path):
-    landing = stored.inputFiles()[0].rsplit("/", 1)[0]
-    query = (
-        first_seen(scan_stream(spark, landing, POSTING))
-        .writeStream.format("parquet")
-        .option("path", f"{tmp_path}/sink")
-        .option("checkpointLocation", f"{tmp_path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    node = query._jsq.streamingQuery().lastExecution().executedPlan()
+def test_first_seen_is_reduced_before_the_shuffle(stored):
+    df = first_seen(stored)
+    text = final_plan(df)
+    assert "Python" not in text and "Arrow" not in text
     urls = stored.select("url").distinct()
-    files = stored.select("url", F.input_file_name().alias("file")).distinct()
-    assert urls.count() <= shuffled_rows(node) <= files.count()
-    got = spark.read.schema(POSTING).parquet(f"{tmp_path}/sink").select("url")
-    assert rows(got) == rows(urls)
+    per_task = stored.withColumn("_task", F.spark_partition_id()).select("url", "_task").distinct()
+    shuffled = shuffled_rows(df._jdf.queryExecution().executedPlan())
+    assert shuffled <= per_task.count() < stored.count()
+    assert rows(df.select("url")) == rows(urls)
+
+
+def test_questions_to_the_outbox_read_only_some_parts(spark, stored, tmp_path):
+    strong = stored.select("url", F.lit(15).cast("long").alias("score"), F.lit("").alias("matched_rules"))
+    write_outbox(strong, f"{tmp_path}/outbox")
+    few = strong.filter(F.col("url").endswith("/p/1")).limit(1)
+    df = read_outbox(spark, f"{tmp_path}/outbox", few)
+    assert re.search(r"PartitionFilters: \[[^]]*url_part", plan(df))
+    assert df.join(few, "url", "left_semi").count() == strong.join(few, "url", "left_semi").count()
+    assert 0 < df.count() < strong.count()
+
+
+def test_urls_of_a_store_are_shuffled_once(stored, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    assert exchanges(plan(new_postings(stored, stored))) == 2
 
 
 def test_copies_of_a_posting_score_alike_in_both_forms(spark, stored, settings):

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from rolesift.functions.terms import default_rules
 from rolesift.operators.latest import latest
 from rolesift.operators.pending import new_postings, unnotified, unreviewed
-from rolesift.plans.flows import save_and_review
+from rolesift.operators.validate import validate
+from rolesift.plans.flows import find_and_score, save_and_review
 from rolesift.schema import OUTBOX, POSTING, SCORED
 from rolesift.sources.jsonl import read_json, write_json
 from rolesift.sources.outbox import read_outbox, write_outbox
-from rolesift.sources.store import list_postings, save_postings, versions
+from rolesift.sources import store as store_module
+from rolesift.sources.files import size
+from rolesift.sources.store import compact, list_postings, retain, save_postings, versions
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -82,14 +85,78 @@ def test_random_saves(spark, tmp_path, monkeypatch):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_half_written_version_is_ignored(spark, tmp_path):
+def test_half_written_save_is_ignored(spark, tmp_path):
     store = f"{tmp_path}/store"
     save_postings(scored(spark, (1, "a", 1, 5)), store)
-    (tmp_path / "store" / "v00000002").mkdir()
-    (tmp_path / "store" / "v00000002" / "part-0.parquet").write_bytes(b"broken")
+    (tmp_path / "store" / "delta-00000002-x").mkdir()
+    (tmp_path / "store" / "delta-00000002-x" / "part-0.parquet").write_bytes(b"broken")
     assert versions(spark, store) == [1]
-    assert save_postings(scored(spark, (2, "b", 1, 6)), store) == 3
+    assert save_postings(scored(spark, (2, "b", 1, 6)), store) == 2
     assert short(list_postings(spark, store)) == [(1, "a", 1, 5), (2, "b", 1, 6)]
+    retain(spark, store)
+    assert not (tmp_path / "store" / "delta-00000002-x").exists()
+    assert short(list_postings(spark, store)) == [(1, "a", 1, 5), (2, "b", 1, 6)]
+
+
+def test_failed_save_leaves_nothing(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    save_postings(scored(spark, (1, "a", 1, 5)), store)
+    before = sorted(p.name for p in (tmp_path / "store").iterdir())
+    broken = scored(spark, (2, "b", 1, 6)).withColumn("title", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        save_postings(broken, store)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == before
+    assert versions(spark, store) == [1]
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path, monkeypatch):
+    """Both saw version 1; one of them commits 2."""
+    path = f"{tmp_path}/store"
+    save_postings(scored(spark, (1, "a", 1, 5)), path)
+    seen = versions(spark, path)
+    save_postings(scored(spark, (2, "b", 1, 6)), path)
+    monkeypatch.setattr(store_module, "versions", lambda *_: seen)
+    with pytest.raises(Exception, match="(?i)exist"):
+        save_postings(scored(spark, (3, "c", 1, 7)), path)
+    monkeypatch.undo()
+    assert short(list_postings(spark, path)) == [(1, "a", 1, 5), (2, "b", 1, 6)]
+
+
+def test_a_save_costs_what_the_batch_costs(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    many = spark.range(20_000).select(
+        F.col("id").alias("posting_id"), F.concat(F.lit("u"), "id").alias("url"),
+        F.md5(F.col("id").cast("string")).alias("title"), F.lit(DAY).alias("seen_at"),
+    )
+    save_postings(many.coalesce(2), path)
+    first = size(spark, path)
+    save_postings(many.filter("posting_id < 20").coalesce(1), path)
+    assert size(spark, path) - first < first / 20
+    assert list_postings(spark, path).count() == 20_000
+
+
+def test_compaction_and_retention(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    first = [(1, "a", 1, 5), (2, "b", 5, 7)]
+    second = [(3, "a", 3, 1), (2, "b", 5, 8)]
+    third = [(4, "c", 1, 2), (3, "a", 3, 9)]
+    save_postings(scored(spark, *first), path)
+    save_postings(scored(spark, *second), path)
+    want = brute_force(first, second)
+    assert short(list_postings(spark, path)) == want
+    assert compact(spark, path) == 3 == compact(spark, path)
+    assert short(list_postings(spark, path)) == want
+    save_postings(scored(spark, *third), path)
+    want = brute_force(first, second, third)
+    assert short(list_postings(spark, path)) == want
+    assert short(list_postings(spark, path, version=1)) == brute_force(first)
+    retain(spark, path, newest=2)
+    assert versions(spark, path) == [3, 4]
+    assert short(list_postings(spark, path)) == want
+    assert short(list_postings(spark, path, version=3)) == brute_force(first, second)
+    retain(spark, path)
+    assert versions(spark, path) == [4]
+    assert short(list_postings(spark, path)) == want
 
 
 def test_empty_store(spark, tmp_path):
@@ -140,16 +207,39 @@ def test_save_and_review_twice(spark, tmp_path, update):
     assert [r.url for r in listed] == (["a", "e", "c", "d"] if update else ["e", "c", "d", "a"])
 
 
+def test_the_flow_saves_whole_postings(spark, tmp_path):
+    raw = scored(spark, (1, "a", 1, 0), (2, "b", 1, 0)).select(*POSTING.names).withColumns(
+        {"description": F.concat(F.lit("about "), "url"), "location": F.lit("Remote")}
+    )
+    store = f"{tmp_path}/store"
+    save_and_review(find_and_score(raw, default_rules(spark)), store, raw.limit(0))
+    saved = sorted(list_postings(spark, store).collect())
+    assert [(r.url, r.description, r.location, r.score) for r in saved] == [
+        ("a", "about a", "Remote", 5), ("b", "about b", "Remote", 5),
+    ]
+
+
 def test_json_round_trip(spark, tmp_path):
     postings = scored(spark, (1, "a\n\"b\"", 1, 5), (2, "é☃", 2, 6)).select(*POSTING.names)
+    micros = F.unix_micros("seen_at") + F.col("posting_id") * 123_456
+    postings = postings.withColumn("seen_at", F.timestamp_micros(micros))
     write_json(postings, f"{tmp_path}/json")
-    assert rows(read_json(spark, f"{tmp_path}/json")) == rows(postings)
+    got = read_json(spark, f"{tmp_path}/json")
+    assert {r.raw_line for r in got.collect()} == {None}
+    assert rows(got.drop("raw_line")) == rows(postings)
+    assert rows(read_json(spark, f"{tmp_path}/json", raw_line=None)) == rows(postings)
 
 
 def test_broken_json_line(spark, tmp_path):
-    (tmp_path / "x.json").write_text('{"posting_id": 1, "title": "t"}\n{"posting_id": \n')
-    got = read_json(spark, f"{tmp_path}/x.json").collect()
-    assert sorted((r.posting_id or 0, r.title or "") for r in got) == [(0, ""), (1, "t")]
+    """Validation rejects it and keeps what arrived."""
+    good = '{"posting_id": 1, "title": "t", "url": "u", "seen_at": "2024-01-01T00:00:00Z"}'
+    (tmp_path / "x.json").write_text(f'{good}\n{{"posting_id": \n{{"posting_id": 2}}\n')
+    got = read_json(spark, f"{tmp_path}/x.json")
+    valid, rejected = validate(got)
+    assert [(r.posting_id, r.seen_at) for r in valid.collect()] == [(1, DAY)]
+    assert sorted((r.raw_line or "", r.posting_id or 0) for r in rejected.collect()) == [
+        ("", 2), ('{"posting_id": ', 0),
+    ]
 
 
 def test_latest_prefers_time_then_id(spark):

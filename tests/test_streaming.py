@@ -11,9 +11,17 @@ from rolesift.plans.flows import find_and_score
 from rolesift.plans.postings_fx import postings_fx
 from rolesift.schema import OUTBOX, PAGE, POSTING
 from rolesift.sources.outbox import read_outbox
-from rolesift.streaming.first_seen import first_seen
+from rolesift.streaming import first_seen as first_seen_module
+from rolesift.streaming import notify as notify_module
+from rolesift.streaming.first_seen import (
+    first_seen,
+    keep_first_seen,
+    read_first_seen,
+    run_first_seen,
+)
 from rolesift.streaming.notify import notify_batch, notify_stream
 from rolesift.streaming.scan import run_scan, scan_stream
+from rolesift.streaming.watch import watch_pages
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -41,27 +49,25 @@ def test_first_seen_over_overlapping_scans(spark, pages, tmp_path, max_files):
     seen = []
     for step in (pages.filter("page_id < 30"), pages.filter("page_id >= 10"), None):
         if step is not None:
-            step.repartition(3).write.mode("append").parquet(landing)
-        stream = scan_stream(spark, landing, max_files=max_files)
-        run_scan(first_seen(stream), sink, checkpoint)
-        seen.append(spark.read.schema(PAGE).parquet(sink).count())
+            step.repartition(2).write.mode("append").parquet(landing)
+        run_first_seen(scan_stream(spark, landing, max_files=max_files), sink, checkpoint)
+        seen.append(read_first_seen(spark, sink, PAGE).count())
     assert seen == [30, 50, 50]
-    assert rows(spark.read.schema(PAGE).parquet(sink)) == rows(pages)
+    assert rows(read_first_seen(spark, sink, PAGE)) == rows(pages)
 
 
-def test_first_seen_within_forgets(spark, tmp_path):
-    """A url is new again once the watermark is more than the delay past it."""
-    landing, sink, checkpoint = (f"{tmp_path}/{n}" for n in ("landing", "sink", "checkpoint"))
+def sightings(spark, *rows_):
+    df = spark.createDataFrame(list(rows_), "url string, seen_at string")
+    return validate(df.withColumns({"posting_id": F.lit(1), "title": F.lit("t")}))[0]
 
-    def run(*sightings):
-        df = spark.createDataFrame(list(sightings), "url string, seen_at string")
-        validate(df.withColumns({"posting_id": F.lit(1), "title": F.lit("t")}))[0].write.mode(
-            "append"
-        ).parquet(landing)
-        run_scan(
-            first_seen(scan_stream(spark, landing, POSTING), delay="10 days"), sink, checkpoint
-        )
-        got = spark.read.schema(POSTING).parquet(sink).collect()
+
+def test_first_seen_within_a_period(spark, tmp_path):
+    """A url is new once in each period, in whatever order its rows arrive."""
+    sink = f"{tmp_path}/sink"
+
+    def run(*rows_):
+        keep_first_seen(sightings(spark, *rows_), sink, days=10)
+        got = read_first_seen(spark, sink, POSTING).collect()
         return sorted((r.url, str(r.seen_at.date())) for r in got)
 
     first = [("a", "2024-01-01")]
@@ -69,6 +75,81 @@ def test_first_seen_within_forgets(spark, tmp_path):
     assert run(("a", "2024-01-05")) == first
     assert run(("b", "2024-06-01")) == [*first, ("b", "2024-06-01")]
     assert run(("a", "2024-06-02")) == [*first, ("a", "2024-06-02"), ("b", "2024-06-01")]
+    # A row that comes late is not lost, whether its url is new or not.
+    got = run(("c", "2024-01-01"), ("b", "2023-01-01"))
+    assert got == [*first, ("a", "2024-06-02"), ("b", "2023-01-01"), ("b", "2024-06-01"),
+                   ("c", "2024-01-01")]
+    assert run(("c", "2024-01-01"), ("b", "2023-01-01")) == got
+
+
+def test_first_seen_of_a_batch(spark):
+    df = sightings(spark, ("a", "2024-01-02"), ("a", "2024-01-01"), ("b", "2024-01-01"))
+    assert [(r.url, str(r.seen_at.date())) for r in sorted(first_seen(df).collect())] != []
+    got = {r.url: str(r.seen_at.date()) for r in first_seen(df).collect()}
+    assert got == {"a": "2024-01-01", "b": "2024-01-01"}
+    seen = spark.createDataFrame([("a", 0)], "url string, seen_period long")
+    assert [r.url for r in first_seen(df, seen).collect()] == ["b"]
+    assert first_seen(df.limit(0)).count() == 0
+
+
+def test_batches_that_fail_leave_no_staged_rows(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    for module in (first_seen_module, notify_module):
+        monkeypatch.setattr(module, "shared_dir", lambda _, name: f"{shared}/{name}")
+    broken = sightings(spark, ("a", "2024-01-02")).withColumn("title", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        keep_first_seen(broken, f"{tmp_path}/sink")
+    with pytest.raises(Exception, match="no"):
+        notify_batch(broken, default_rules(spark), f"{tmp_path}/outbox")
+    assert not any(shared.rglob("*.parquet")) and not any(shared.glob("*"))
+
+
+def test_late_sighting_is_not_notified(spark, tmp_path):
+    """A strong sighting that lands after a newer weak one."""
+    outbox, known = f"{tmp_path}/outbox", f"{tmp_path}/known"
+
+    def post(title, day, location="Remote"):
+        return spark.createDataFrame(
+            [(1, "u", title, location, None, f"2024-01-{day:02d}")],
+            "posting_id long, url string, title string, location string, description string, "
+            "seen_at string",
+        )
+
+    rules = default_rules(spark)
+    notify_batch(post("Senior Manager", 9), rules, outbox, sightings=known)
+    notify_batch(post("Java Developer", 5), rules, outbox, sightings=known)
+    assert read_outbox(spark, outbox).count() == 0
+    notify_batch(post("Java Developer", 10), rules, outbox, sightings=known)
+    assert read_outbox(spark, outbox).count() == 1
+
+
+def test_watch_pages_from_landing_to_outbox(spark, tmp_path):
+    """Strong fits of pages, found by the default location, each url once."""
+    names = ("landing", "seen", "outbox", "checkpoint")
+    landing, seen, outbox, checkpoint = (f"{tmp_path}/{n}" for n in names)
+
+    def page(number, title, body):
+        html = f"<html><title>x</title><h1>{title}</h1><p>{body}</p></html>"
+        return number, f"https://x.example/{number}", html
+
+    scans = [
+        [page(1, "Java Developer", "Location: Rochester, MN. Join us."),
+         page(2, "Java Developer", "Location: London. Hybrid."),
+         page(3, "Sr. Java Developer", "Remote.")],
+        [page(1, "Java Developer", "Location: Rochester, MN. Join us."),
+         page(4, "Full-Stack Developer", "This job is remote."),
+         page(5, "Unpaid Frontend Developer", "Remote")],
+        None,
+    ]
+    sent = []
+    for scan in scans:
+        if scan:
+            spark.createDataFrame(scan, PAGE).coalesce(1).write.mode("append").parquet(landing)
+        watch_pages(
+            spark, landing, default_rules(spark), seen, outbox, checkpoint
+        ).awaitTermination()
+        sent.append(sorted(r.url[-1] for r in read_outbox(spark, outbox).collect()))
+    assert sent == [["1"], ["1", "4"], ["1", "4"]]
 
 
 def test_notify_adds_each_url_once(spark, tmp_path):
