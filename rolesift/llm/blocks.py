@@ -52,6 +52,30 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.T).reshape(-1).view(dtype)
 
 
+def pack_strings(strings: pa.Array) -> bytes:
+    """An array of strings as bytes; neighbours should be alike."""
+    flat = strings.cast(pa.large_binary())
+    _, at, body = flat.buffers()
+    bounds = np.frombuffer(at, np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(body or b"", np.uint8)[bounds[0] : bounds[-1]]
+    sizes = pack(np.diff(bounds).astype(np.uint32))
+    head = f"{len(sizes)}:{len(data)}:".encode().ljust(32)
+    return head + sizes + pa.Codec("zstd", 3).compress(data.tobytes(), asbytes=True)
+
+
+def unpack_strings(blob: bytes) -> pa.Array:
+    n, size, _ = bytes(blob[:32]).decode().split(":")
+    sizes = unpack(blob[32 : 32 + int(n)])
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    data = b""
+    if int(size):
+        data = pa.Codec("zstd").decompress(
+            blob[32 + int(n) :], decompressed_size=int(size), asbytes=True
+        )
+    buffers = [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
+
+
 def grouped(
     batches: Iterator[pa.RecordBatch], key: str
 ) -> Iterator[tuple[object, list[dict]]]:

@@ -3,8 +3,8 @@
 A tokenizer splits a text into pre-tokens and then works on each by itself, so
 the number of tokens of a document is the sum over its pre-tokens of what each
 comes to. Every block of documents keeps the frequencies of pre-tokens of each
-document, as numbers into the block's list of distinct pre-tokens. The lists meet
-by hash, where every distinct pre-token of the corpus is cut into pieces once;
+document, as numbers into the block's sorted list of distinct pre-tokens. The
+lists meet by hash, where every distinct pre-token of the corpus is cut into pieces once;
 the counts go back to the blocks that asked and are summed up there. Ids are
 never kept, and texts are read once and not shuffled.
 """
@@ -24,7 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm.arrays import span_hashes, text_groups
-from rolesift.llm.blocks import ask, bucket_count, new_block, pack, unpack
+from rolesift.llm.blocks import (
+    ask,
+    bucket_count,
+    new_block,
+    pack,
+    pack_strings,
+    unpack,
+    unpack_strings,
+)
 from rolesift.session import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,8 +42,9 @@ SPECIAL = "<|endoftext|>"
 CHUNK = 1 << 20  # characters split at a time
 BLOCKS = (
     "block string, doc_ids array<bigint>, n_bytes binary, specials binary, sizes binary, "
-    "which binary, times binary, pieces array<string>"
+    "which binary, times binary, pieces binary, held bigint"
 )
+BLOCK_BYTES = 16 << 20
 _cut = regex.compile(r"(?<=\S) (?=\S)")
 _split = regex.compile(PATTERN)
 
@@ -75,7 +84,7 @@ def pre_token_counts(text: str, special: str = SPECIAL) -> tuple[Counter, int]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
-        for texts in text_groups(batch.column("text")):
+        for texts in text_groups(batch.column("text"), BLOCK_BYTES):
             index: dict[str, int] = {}
             which: list[int] = []
             times: list[int] = []
@@ -87,12 +96,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 times += counts.values()
                 sizes.append(len(counts))
                 specials.append(special)
-            numbers = np.array(which, dtype=np.int32)
-            # Frequent pre-tokens get small numbers, which compress better.
-            used = np.argsort(-np.bincount(numbers, minlength=len(index)), kind="stable")
-            rank = np.empty(len(index), dtype=np.int32)
-            rank[used] = np.arange(len(index), dtype=np.int32)
-            pieces = pa.array(list(index), pa.string()).take(pa.array(used))
+            names = sorted(index)
+            rank = np.empty(len(index), dtype=np.int64)
+            rank[[index[p] for p in names]] = np.arange(len(names))
+            # Numbers in order within each document, and their differences.
+            document = np.repeat(np.arange(len(texts)), sizes)
+            keys = (document << 32) | rank[np.array(which, dtype=np.int64)]
+            order = np.argsort(keys)
+            numbers = keys[order] & 0xFFFFFFFF
+            steps = np.diff(numbers, prepend=0)
+            first = np.flatnonzero(np.diff(document, prepend=-1))
+            steps[first] = numbers[first]
+            pieces = pa.array(names, pa.large_string())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([new_block()]),
@@ -100,11 +115,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([pack(np.diff(texts.bounds))], pa.binary()),
                     pa.array([pack(np.array(specials, dtype=np.int64))], pa.binary()),
                     pa.array([pack(np.array(sizes, dtype=np.int64))], pa.binary()),
-                    pa.array([pack(rank[numbers])], pa.binary()),
-                    pa.array([pack(np.array(times, dtype=np.int32))], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces),
+                    pa.array([pack(steps.astype(np.uint32))], pa.binary()),
+                    pa.array([pack(np.array(times, dtype=np.int32)[order])], pa.binary()),
+                    pa.array([pack_strings(pieces)], pa.binary()),
+                    pa.array([pieces.nbytes], pa.int64()),
                 ],
-                names=["block", "doc_ids", "n_bytes", "specials", "sizes", "which", "times", "pieces"],
+                names=[x.split(" ")[0] for x in BLOCKS.split(", ")],
             )
 
 
@@ -121,25 +137,23 @@ def _bucket_of(pieces: pa.Array, buckets: int) -> np.ndarray:
 def _requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("pieces")
             for i, block in enumerate(batch.column("block").to_pylist()):
-                pieces = lists[i].values
-                if pieces is None or not len(pieces):
+                pieces = unpack_strings(batch.column("pieces")[i].as_py())
+                if not len(pieces):
                     continue
                 bucket = _bucket_of(pieces, buckets)
-                order = np.argsort(bucket, kind="stable").astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
                 found, starts = np.unique(bucket[order], return_index=True)
-                dealt = pieces.take(pa.array(order))
+                places = np.split(order, starts[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block] * len(found), pa.string()),
                         pa.array(found, pa.int32()),
                         pa.array(
-                            [pack(x) for x in np.split(order, starts[1:])], pa.binary()
-                        ),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.append(starts, len(order)), pa.int32()), dealt
+                            [pack(np.diff(x, prepend=0).astype(np.uint32)) for x in places],
+                            pa.binary(),
                         ),
+                        pa.array([pack_strings(pieces.take(pa.array(x))) for x in places], pa.binary()),
                     ],
                     names=["block", "bucket", "places", "pieces"],
                 )
@@ -157,20 +171,18 @@ def _count_pieces(vocabulary: str):
         tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        every = pa.concat_arrays([pa.array(r["pieces"], pa.string()) for r in rows])
-        coded = every.dictionary_encode()
+        parts = [unpack_strings(r["pieces"]) for r in rows]
+        coded = pa.concat_arrays(parts).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        counts = np.empty(len(distinct), dtype=np.int32)
+        counts = np.empty(len(distinct), dtype=np.uint32)
         for low in range(0, len(distinct), 10_000):
             part = tokenizer.encode_batch_fast(distinct[low : low + 10_000], add_special_tokens=False)
             counts[low : low + len(part)] = [len(x.ids) for x in part]
         each = counts[coded.indices.to_numpy()]
         at = 0
-        for r in rows:
-            yield pack(
-                np.concatenate([unpack(r["places"]), each[at : at + len(r["pieces"])]])
-            )
-            at += len(r["pieces"])
+        for r, part in zip(rows, parts, strict=True):
+            yield pack(np.concatenate([unpack(r["places"]), each[at : at + len(part)]]))
+            at += len(part)
 
     return answer
 
@@ -179,15 +191,17 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
-            which, times = unpack(row["which"].as_py()), unpack(row["times"].as_py())
+            steps, times = unpack(row["which"].as_py()), unpack(row["times"].as_py())
+            sizes = unpack(row["sizes"].as_py())
+            ends = np.cumsum(sizes)
+            along = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+            which = along[1:] - np.repeat(along[ends - sizes], sizes)
             counts = np.zeros(int(which.max(initial=-1)) + 1, dtype=np.int64)
             for reply in row["replies"].as_py() or []:
                 places, values = np.split(unpack(reply), 2)
-                counts[places] = values
-            sizes = unpack(row["sizes"].as_py())
+                counts[np.cumsum(places, dtype=np.int64)] = values
             sums = np.zeros(len(which) + 1, dtype=np.int64)
             np.cumsum(counts[which] * times, out=sums[1:])
-            ends = np.cumsum(sizes)
             tokens = sums[ends] - sums[ends - sizes] + unpack(row["specials"].as_py())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -209,15 +223,13 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     path = shared_dir(spark, "token-counts")
     docs.select("doc_id", "text").mapInArrow(_blocks, BLOCKS).write.parquet(path)
     blocks = spark.read.parquet(path)
-    held = blocks.agg(
-        F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + 12 + F.length(p)))
-    ).first()[0]
+    held = blocks.agg(F.sum("held")).first()[0]
     buckets = bucket_count(int(held or 0))
     requests = blocks.select("block", "pieces").mapInArrow(
-        _requests(buckets), "block string, bucket int, places binary, pieces array<string>"
+        _requests(buckets), "block string, bucket int, places binary, pieces binary"
     )
     replies = ask(requests, _count_pieces(vocabulary))
-    return blocks.drop("pieces").join(replies, "block", "left").mapInArrow(
+    return blocks.drop("pieces", "held").join(replies, "block", "left").mapInArrow(
         _sum_up, "doc_id bigint, n_bytes bigint, n_tokens bigint"
     )
 

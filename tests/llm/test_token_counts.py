@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -10,6 +12,7 @@ from conftest import rows  # noqa: I001
 from llm_rows import awkward  # noqa: F401
 
 from rolesift.llm import token_counts
+from rolesift.llm.blocks import pack, pack_strings, unpack, unpack_strings
 from rolesift.llm.queries import QUERIES
 from rolesift.llm.token_counts import count_tokens
 
@@ -78,11 +81,18 @@ def test_vocabulary_by_path(spark, awkward):
 def test_a_piece_is_counted_once(spark):
     """A bucket's distinct pre-tokens go through the tokenizer once."""
     answer = token_counts._count_pieces("byte_bpe_50k.json")
-    from rolesift.llm.blocks import pack, unpack
-    import numpy as np
+    def asked(places, pieces):
+        return {"places": pack(np.array(places, dtype=np.uint32)),
+                "pieces": pack_strings(pa.array(pieces, pa.large_string()))}
 
-    rows_ = [{"places": pack(np.array([2, 0], dtype=np.int32)), "pieces": [" the", "zzzzqqq"]},
-             {"places": pack(np.array([1], dtype=np.int32)), "pieces": [" the"]}]
-    first, second = (unpack(x) for x in answer(rows_))
-    assert first[:2].tolist() == [2, 0] and second[0] == 1
+    answered = list(answer([asked([2, 5], [" the", "zzzzqqq"]), asked([1], [" the"])]))
+    first, second = (unpack(x) for x in answered)
+    assert first[:2].tolist() == [2, 5] and second[0] == 1
     assert first[2] == second[1] == 1 and first[3] > 1
+
+
+def test_packed_strings():
+    for strings in ([], ["", "é", "a" * 300, ""], [f"w{i}" for i in range(1000)]):
+        array = pa.array(strings, pa.large_string())
+        assert unpack_strings(pack_strings(array)).to_pylist() == strings
+        assert unpack_strings(pack_strings(array[1:])).to_pylist() == strings[1:]
