@@ -15,7 +15,8 @@ by hash), with sequences spliced from two languages, so that transitions are
 learned from switches at known places. It has a fixed size, some two megabytes,
 and goes to the tasks with the function. Prediction covers whole texts in one
 pass, without a shuffle; scores are computed once for each distinct word of some
-megabytes of text, and the recursions run over all its positions in blocks.
+megabytes of text, and the recursions run over all its positions in blocks. (A
+text of more than ``MOST_WORDS`` words is cut into chains of so many.)
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ STEPS = 60
 RATE = 0.15
 DECAY = 1e-4
 BLOCK = 256
+GROUP_BYTES = 3 << 20  # text handled at a time
+MOST_WORDS = 1 << 20  # words of a chain; a longer text is several
 UNKNOWN = "und"
 
 #: Bytes that are not part of a word: ASCII but for letters.
@@ -335,7 +338,12 @@ def label_words(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     scores = word_scores(model, texts.data, words.starts[where], words.ends[where], hashes)
     first = np.zeros(len(word), dtype=bool)
     first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
-    return marginals(scores[word], first, model.transitions, model.starts), words.bounds
+    p = np.empty((len(word), len(model.languages)))
+    for low in range(0, len(word), MOST_WORDS):
+        part = slice(low, low + MOST_WORDS)
+        first[low] = True
+        p[part] = marginals(scores[word[part]], first[part], model.transitions, model.starts)
+    return p, words.bounds
 
 
 def predict(model: Model, texts: Texts) -> dict[str, np.ndarray]:
@@ -374,7 +382,7 @@ def _predictions(model: Model):
         for batch in batches:
             ids, held = batch.column("doc_id"), batch.column("held_out")
             letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
-            for texts in text_groups(batch.column("text")):
+            for texts in text_groups(batch.column("text"), GROUP_BYTES):
                 rows = slice(texts.first, texts.first + len(texts))
                 found = predict(model, texts)
                 known = letter[rows] & (found["lang"] >= 0)
@@ -424,7 +432,7 @@ def _identified(model: Model, text: str, letter: str, least_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = batch.column(letter).to_numpy(zero_copy_only=False).astype(bool)
-            for texts in text_groups(batch.column(text)):
+            for texts in text_groups(batch.column(text), GROUP_BYTES):
                 rows = slice(texts.first, texts.first + len(texts))
                 found = predict(model, texts)
                 keep[rows] &= (found["lang"] >= 0) & (found["score"] >= least_score)
