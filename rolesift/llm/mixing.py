@@ -6,7 +6,9 @@ replacement. Each document draws an exponential key, ``-ln(u) / quality``, from
 a hash of its id and the seed; documents are taken in order of their keys while
 the budget lasts, and the document at the border is taken in part.
 
-Only a narrow table (row, source, size, key) is sorted, and never a whole source
+Budgets are found from sums over sources and bins; they are broadcast to the rows
+while the sources are few enough, which is checked. Only a narrow table (row,
+source, size, key) is sorted, and never a whole source
 in one task: keys are put into ``BINS`` ordered bins, the bins' sums are summed
 up along each source, and only the one bin that holds the border is put in order
 by key. So a source with a third of all rows is spread over all tasks.
@@ -25,6 +27,7 @@ BINS = 1024
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
+MOST_BROADCAST_ROWS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -161,10 +164,11 @@ def mix(
         _same(F.col("source"), F.col("_source")),
         "left",
     ).drop("_source")
-    rows = drawn.join(
-        sources.withColumnRenamed("source", "_source"),
-        _same(F.col("source"), F.col("_source")),
-    ).drop("_source")
+    sources.withColumnRenamed("source", "_source").write.parquet(f"{path}-sources")
+    sources = spark.read.parquet(f"{path}-sources")
+    if sources.count() <= MOST_BROADCAST_ROWS:
+        sources = F.broadcast(sources)
+    rows = drawn.join(sources, _same(F.col("source"), F.col("_source"))).drop("_source")
     in_border = _same(F.col("_bin"), F.col("_border"))
     whole = rows.filter(~in_border).withColumn(
         "part", F.when(F.col("_bin") < F.col("_border"), F.col("size")).otherwise(0).cast("long")
