@@ -11,16 +11,16 @@ so often that at the threshold a pair meets again in one child on average;
 members go to the child of their token there. Nodes of one member are dropped.
 A node that is small (``MOST_MEMBERS`` members and ``MOST_SHINGLES`` shingles) is
 a leaf: its members are compared exhaustively. A larger one compares everybody
-with one member and branches again. A node whose members have all tokens alike is
-done with that comparison. Trees are repeated until a pair at the threshold is
-missed by all with a chance below ``MISS``.
+with one member, and branches again unless its members already hang together, so
+a mass of near copies ends with that one comparison. Trees are repeated until a
+pair at the threshold is missed by all with a chance below ``MISS``.
 
-*Clusters.* In the leaves tokens are compared, and what is needed is only which
+*Clusters.* In a first round tokens are compared, and what is needed is only which
 members hang together; so a leaf gives a forest, fewer links than members, never
 all pairs. The clusters that come out are some percent of the corpus. Their full
 sets are gathered, each once, and compared exactly, in one task for a cluster as
-small as a leaf. A larger cluster is taken leaf by leaf, and its exact links are
-put together by an iterated join.
+small as a leaf. The members of larger clusters go through trees once more, whose
+leaves and single comparisons are then exact.
 
 What is grouped is bounded by the leaf's size; hot nodes are counted with partial
 sums and joined, where adaptive execution splits them.
@@ -30,7 +30,8 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ MISS = 1e-6
 SURE = 4.2  # standard deviations by which a linked pair's tokens may fall short
 MOST_MEMBERS = 2048
 MOST_SHINGLES = 4 << 20
+MOST_LEVELS = 64  # a pair that is still together then has agreed that often
 MOST_BROADCAST_BYTES = 32 << 20
 MULTIPLIERS = np.random.default_rng(64).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(
     2
@@ -222,7 +224,7 @@ def _compare_leaves(percent: int):
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "node"):
+        for _, rows in grouped(batches, "group"):
             sketch = np.stack([np.frombuffer(r["tokens"], np.uint32) for r in rows]).astype(np.uint8)
             n = np.array([r["n"] for r in rows])
 
@@ -269,56 +271,6 @@ def _nodes(children: DataFrame, path: str) -> DataFrame:
     return children.sparkSession.read.parquet(path)
 
 
-def grow(members: DataFrame, percent: int, path: str) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) between members (member, n, tokens) that the trees find
-    alike, and the nodes of each level."""
-    spark = members.sparkSession
-    children = members.select("member", "n", "tokens").mapInArrow(
-        _children(percent, n_trees(percent)), NODES
-    )
-    links, levels = [], []
-    while True:
-        at = f"{path}/level-{len(levels)}"
-        nodes = _nodes(children, f"{at}-nodes")
-        levels.append(nodes)
-        tokens = members.select("member", "n", "tokens")
-        leaves = (
-            nodes.filter("small")
-            .select("node", "member")
-            .join(tokens, "member")
-            .repartition("node")
-            .sortWithinPartitions("node", "member")
-            .mapInArrow(_compare_leaves(percent), LINKS)
-        )
-        leaves.write.parquet(f"{at}-leaves")
-        links.append(spark.read.parquet(f"{at}-leaves"))
-        large = nodes.filter("not small")
-        if large.isEmpty():
-            break
-        with_one = (
-            large.select("node", "member", "one", "same")
-            .join(tokens, "member")
-            .join(
-                tokens.select(F.col("member").alias("one"), F.col("tokens").alias("one_tokens")),
-                "one",
-            )
-        )
-        with_one.select("member", "one", "tokens", "one_tokens").mapInArrow(
-            _compare_with_one(percent), LINKS
-        ).write.parquet(f"{at}-stars")
-        links.append(spark.read.parquet(f"{at}-stars"))
-        children = (
-            large.filter("not same")
-            .select("node", "member")
-            .join(tokens, "member")
-            .mapInArrow(_children(percent, None), NODES)
-        )
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return every, levels
-
-
 # Connected components
 
 
@@ -370,6 +322,79 @@ def components(links: DataFrame, path: str) -> DataFrame:
             return labels
 
 
+# Trees over tables
+
+Compare = Callable[[DataFrame], DataFrame]
+
+
+def grow(
+    members: DataFrame, percent: int, leaves: Compare, with_one: Compare, path: str
+) -> DataFrame:
+    """Links (a, b) between members (member, n, tokens) found in all trees.
+    ``leaves`` links the members of small nodes (group, member); ``with_one``
+    those of a row (member, one)."""
+    spark = members.sparkSession
+    tokens = members.select("member", "n", "tokens")
+    children = tokens.mapInArrow(_children(percent, n_trees(percent)), NODES)
+    links: list[DataFrame] = []
+
+    def keep(found: DataFrame, name: str) -> None:
+        found.write.parquet(f"{path}/{name}")
+        links.append(spark.read.parquet(f"{path}/{name}"))
+
+    for level in range(MOST_LEVELS):
+        nodes = _nodes(children, f"{path}/nodes-{level}")
+        keep(
+            leaves(nodes.filter("small").select(F.col("node").alias("group"), "member")),
+            f"leaves-{level}",
+        )
+        large = nodes.filter("not small")
+        if large.isEmpty():
+            break
+        keep(
+            with_one(large.filter("member <> one").select("member", "one").distinct()),
+            f"stars-{level}",
+        )
+        every = reduce(DataFrame.unionByName, links)
+        labels = components(every, f"{path}/together-{level}")
+        apart = (
+            large.filter("not same")
+            .join(labels, "member", "left")
+            .groupBy("node")
+            .agg(
+                F.min(F.coalesce("label", "member")).alias("low"),
+                F.max(F.coalesce("label", "member")).alias("high"),
+            )
+            .filter("low <> high")
+            .select("node")
+        )
+        children = (
+            large.select("node", "member")
+            .join(apart, "node")
+            .join(tokens, "member")
+            .mapInArrow(_children(percent, None), NODES)
+        )
+    return reduce(DataFrame.unionByName, links)
+
+
+def _grouped(groups: DataFrame, values: DataFrame) -> DataFrame:
+    """The groups' members (group, member) with what is known of each, all rows
+    of a group together. A member may be in a group twice."""
+    return (
+        groups.distinct()
+        .join(values, "member")
+        .repartition("group")
+        .sortWithinPartitions("group", "member")
+    )
+
+
+def _paired(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    other = values.select(F.col("member").alias("one"), F.col(column).alias(f"one_{column}"))
+    return pairs.join(values.select("member", column), "member").join(other, "one").select(
+        "member", "one", column, f"one_{column}"
+    )
+
+
 # Exact comparison
 
 
@@ -443,9 +468,15 @@ def link_members(
 ) -> DataFrame:
     """Exact links (a, b) that connect all members with linked sets."""
     spark = members.sparkSession
-    alike, levels = grow(members, percent, f"{path}/trees")
-    clusters = components(alike, f"{path}/clusters")
-    clusters = clusters.join(members.drop("tokens"), "member")
+    tokens = members.select("member", "n", "tokens")
+    alike = grow(
+        members,
+        percent,
+        lambda groups: _grouped(groups, tokens).mapInArrow(_compare_leaves(percent), LINKS),
+        lambda pairs: _paired(pairs, tokens, "tokens").mapInArrow(_compare_with_one(percent), LINKS),
+        f"{path}/trees",
+    )
+    clusters = components(alike, f"{path}/clusters").join(members, "member")
     sizes = clusters.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
     clusters = clusters.join(
         sizes.select("label", _is_small(F.col("k"), F.col("shingles")).alias("small")), "label"
@@ -466,31 +497,22 @@ def link_members(
     full = spark.read.parquet(f"{path}/sets")
 
     def in_groups(groups: DataFrame) -> DataFrame:
-        return (
-            groups.join(full, "member")
-            .repartition("group")
-            .sortWithinPartitions("group", "member")
-            .mapInArrow(_link_groups(percent), LINKS)
-        )
+        return _grouped(groups, full).mapInArrow(_link_groups(percent), LINKS)
 
-    links = in_groups(clusters.filter("small").select(F.col("label").alias("group"), "member"))
-    links.write.parquet(f"{path}/links")
+    small = clusters.filter("small").select(F.col("label").alias("group"), "member")
+    in_groups(small).write.parquet(f"{path}/links")
     links = spark.read.parquet(f"{path}/links")
-    large = clusters.filter("not small").select("member")
+    large = clusters.filter("not small")
     if large.isEmpty():
         return links
-    for level, nodes in enumerate(levels):
-        nodes = nodes.join(large, "member", "left_semi")
-        leaves = nodes.filter("small").select(F.col("node").alias("group"), "member")
-        in_groups(leaves).write.parquet(f"{path}/links-{level}")
-        stars = nodes.filter("not small").select("member", "one").filter("member <> one")
-        stars.distinct().join(full, "member").join(
-            full.select(F.col("member").alias("one"), F.col("shingles").alias("one_shingles")),
-            "one",
-        ).mapInArrow(_link_pairs(percent), LINKS).write.parquet(f"{path}/stars-{level}")
-        for more in ("links", "stars"):
-            links = links.unionByName(spark.read.parquet(f"{path}/{more}-{level}"))
-    return links
+    exact = grow(
+        large,
+        percent,
+        in_groups,
+        lambda pairs: _paired(pairs, full, "shingles").mapInArrow(_link_pairs(percent), LINKS),
+        f"{path}/large",
+    )
+    return links.unionByName(exact)
 
 
 def find_near_duplicates(
