@@ -9,8 +9,8 @@ a token with a chance equal to their Jaccard similarity.
 chooses one token place, by a hash of the path that leads to it, and a second one
 so often that at the threshold a pair meets again in one child on average;
 members go to the child of their token there. Nodes of one member are dropped.
-A node that is small (``MOST_MEMBERS`` members and ``MOST_SHINGLES`` shingles) is
-a leaf: its members are compared exhaustively. A larger one compares everybody
+A node of at most ``MOST_MEMBERS`` members (and ``MOST_SHINGLES`` shingles, where
+sets are compared) is a leaf: its members are compared exhaustively. A larger one compares everybody
 with one member, and branches again unless its members already hang together, so
 a mass of near copies ends with that one comparison. Trees are repeated until a
 pair at the threshold is missed by all with a chance below ``MISS``.
@@ -48,7 +48,7 @@ PERCENT = 80
 TOKENS = 64
 MISS = 1e-6
 SURE = 4.2  # standard deviations by which a linked pair's tokens may fall short
-MOST_MEMBERS = 2048
+MOST_MEMBERS = 8192
 MOST_SHINGLES = 4 << 20
 MOST_LEVELS = 64  # a pair that is still together then has agreed that often
 MOST_BROADCAST_BYTES = 32 << 20
@@ -254,7 +254,7 @@ def _compare_with_one(percent: int):
     return run
 
 
-def _nodes(children: DataFrame, path: str) -> DataFrame:
+def _nodes(children: DataFrame, exact: bool, path: str) -> DataFrame:
     """Nodes of two members or more, written: a row for each member, with the
     node's size and its smallest member."""
     sizes = children.groupBy("node").agg(
@@ -264,7 +264,8 @@ def _nodes(children: DataFrame, path: str) -> DataFrame:
         (F.min("alike") == F.max("alike")).alias("same"),
     )
     sizes = sizes.filter(F.col("members") > 1).withColumn(
-        "small", _is_small(F.col("members"), F.col("shingles"))
+        "small",
+        _is_small(F.col("members"), F.col("shingles") if exact else F.lit(0)),
     )
     # A member is at most twice in a node; leaves take it once.
     children.select("node", "member").join(sizes.drop("shingles"), "node").write.parquet(path)
@@ -328,11 +329,11 @@ Compare = Callable[[DataFrame], DataFrame]
 
 
 def grow(
-    members: DataFrame, percent: int, leaves: Compare, with_one: Compare, path: str
+    members: DataFrame, percent: int, leaves: Compare, with_one: Compare, exact: bool, path: str
 ) -> DataFrame:
     """Links (a, b) between members (member, n, tokens) found in all trees.
     ``leaves`` links the members of small nodes (group, member); ``with_one``
-    those of a row (member, one)."""
+    those of a row (member, one). ``exact`` tells that they read full sets."""
     spark = members.sparkSession
     tokens = members.select("member", "n", "tokens")
     children = tokens.mapInArrow(_children(percent, n_trees(percent)), NODES)
@@ -343,7 +344,7 @@ def grow(
         links.append(spark.read.parquet(f"{path}/{name}"))
 
     for level in range(MOST_LEVELS):
-        nodes = _nodes(children, f"{path}/nodes-{level}")
+        nodes = _nodes(children, exact, f"{path}/nodes-{level}")
         keep(
             leaves(nodes.filter("small").select(F.col("node").alias("group"), "member")),
             f"leaves-{level}",
@@ -474,6 +475,7 @@ def link_members(
         percent,
         lambda groups: _grouped(groups, tokens).mapInArrow(_compare_leaves(percent), LINKS),
         lambda pairs: _paired(pairs, tokens, "tokens").mapInArrow(_compare_with_one(percent), LINKS),
+        False,
         f"{path}/trees",
     )
     clusters = components(alike, f"{path}/clusters").join(members, "member")
@@ -510,6 +512,7 @@ def link_members(
         percent,
         in_groups,
         lambda pairs: _paired(pairs, full, "shingles").mapInArrow(_link_pairs(percent), LINKS),
+        True,
         f"{path}/large",
     )
     return links.unionByName(exact)
@@ -568,21 +571,23 @@ def find_near_duplicates(
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: one of each component,
     and each row without words. Of rows that repeat both id and text one stays."""
-    names = docs.columns
     kept = find_near_duplicates(docs, percent).filter("kept")
     kept = kept.select(F.col("doc_id").alias("__id"), *KEY).distinct()
     path = shared_dir(docs.sparkSession, "kept")
     kept.write.parquet(path)
     kept = docs.sparkSession.read.parquet(path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn(KEY[0], F.xxhash64(text)).withColumn(KEY[1], F.xxhash64(F.lit(7), text))
-    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # The rows travel as structs, so that none of their names is in the way.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        *text_key(F.col("text")),
+        F.col("doc_id").alias("__own"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id_key"),
+    )
     return (
-        keyed.withColumn("__id_key", id_key)
-        .join(_small_or_not(kept, 32), KEY)
-        .filter(F.col("doc_id").eqNullSafe(F.col("__id")))
+        rows.join(_small_or_not(kept, 32), KEY)
+        .filter(F.col("__own").eqNullSafe(F.col("__id")))
         .dropDuplicates(["__id_key", *KEY])
-        .select(*[F.col(f"`{c}`") for c in names])
+        .select("row.*")
     )
 
 
