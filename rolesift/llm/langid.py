@@ -445,7 +445,9 @@ def _identified(model: Model, text: str, letter: str, least_score: float):
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with at least
     that mean probability. Nothing is rejected for the language it is in."""
-    flag = "__has_letter"
+    flag = "has_letter"
+    while flag in docs.columns:
+        flag += "_"
     return docs.withColumn(flag, has_letter(F.col("text"))).mapInArrow(
         _identified(model, "text", flag, least_score), docs.schema
     )

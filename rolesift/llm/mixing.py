@@ -198,16 +198,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     of it is in the budget. Documents without words stay, once. Repeated rows are
     taken equally often, rounded up. The texts are not shuffled while the
     decisions are few enough for Spark to broadcast."""
-    names = docs.columns
-    row = F.xxhash64("text", "source")
-    tagged = docs.withColumn("__mix_row", row)
+    tie = F.xxhash64("text", "source").alias("__tie")
     picks = mix(
-        docs.select("doc_id", "text", "source", row.alias("__mix_row")),
-        seed,
-        keep=("doc_id", "__mix_row"),
+        docs.select("doc_id", "text", "source", tie), seed, keep=("doc_id", "__tie")
     ).select(
         F.col("doc_id").alias("__pick_id"),
-        F.col("__mix_row").alias("__pick_row"),
+        F.col("__tie").alias("__pick_tie"),
         F.when(F.col("size") == 0, F.lit(1))
         .otherwise(F.col("epochs") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0))
         .cast("int")
@@ -215,16 +211,20 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     )
     # Equal rows share one pick: they draw the same key, and the border may lie
     # between them.
-    picks = picks.groupBy("__pick_id", "__pick_row").agg(
+    picks = picks.groupBy("__pick_id", "__pick_tie").agg(
         F.ceil(F.sum("__times") / F.count("*")).cast("int").alias("__times")
     )
-    picks = picks.filter(F.col("__times") > 0)
+    # The rows travel as structs, so that none of their names is in the way.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("__id"),
+        tie,
+    )
     return (
-        tagged.join(
-            picks,
-            _same(F.col("doc_id"), F.col("__pick_id"))
-            & (F.col("__mix_row") == F.col("__pick_row")),
+        rows.join(
+            picks.filter(F.col("__times") > 0),
+            _same(F.col("__id"), F.col("__pick_id")) & (F.col("__tie") == F.col("__pick_tie")),
         )
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*[F.col(f"`{c}`") for c in names])
+        .select("row.*")
     )

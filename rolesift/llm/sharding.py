@@ -90,17 +90,13 @@ def place(
     kept = df.drop(slot_col, shard_col)
     # slots rows of some 20 bytes: a parameter, whatever the data.
     table = F.broadcast(table_frame(df.sparkSession, shards, slots))
-    table = table.select(
-        F.col("_slot").alias("__slot"), F.col("_shard").alias("__shard")
+    # The rows travel as structs, so that none of their names is in the way.
+    rows = kept.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"),
+        slot_of(F.col(key), slots).alias("__slot_of_key"),
     )
-    placed = kept.withColumn("__key_slot", slot_of(F.col(key), slots))
-    return (
-        placed.join(table, F.col("__key_slot") == F.col("__slot"), "left")
-        .select(
-            *[F.col(f"`{c}`") for c in kept.columns],
-            F.col("__slot").alias(slot_col),
-            F.col("__shard").alias(shard_col),
-        )
+    return rows.join(table, F.col("__slot_of_key") == F.col("_slot"), "left").select(
+        "row.*", F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col)
     )
 
 
