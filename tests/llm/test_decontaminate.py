@@ -88,14 +88,17 @@ def test_blocks_and_no_broadcast(spark, tables, monkeypatch, block):
     docs = [*DOCS, (20, " ".join(t or "" for _, t in DOCS) * 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert found(df, tables[1]) == plain(docs, ITEMS)
-    few = decontaminate.text_hits(df, tables[1], most_broadcast_bytes=0)
-    assert rows(few) == rows(decontaminate.text_hits(df, tables[1]))
+    want = rows(decontaminate.text_hits(df, tables[1]))
+    assert rows(decontaminate.text_hits(df, tables[1], most_broadcast_bytes=0)) == want
+    monkeypatch.setattr(decontaminate, "MOST_KNOWN", 0)
+    assert rows(decontaminate.text_hits(df, tables[1])) == want
 
 
 def test_awkward_rows(spark, awkward, tables):
     docs = [(r.doc_id, r.text) for r in awkward.collect()]
     assert found(awkward, tables[1]) == plain(docs, ITEMS)
     kept = drop_contaminated(awkward, tables[1])
+    assert kept.select("_key", "__text_a", "size", "label").distinct().collect() == [("x",) * 4]
     assert kept.columns == awkward.columns
     clean = sorted(repr((d[0],)) for d in plain(docs, ITEMS) if not d[-1])
     assert sorted(repr((r.doc_id,)) for r in kept.collect()) == clean

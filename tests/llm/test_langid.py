@@ -104,6 +104,7 @@ def test_awkward_rows(spark, awkward, model):
         assert by_id[i].lang_pred in model.languages and 0 < by_id[i].score <= 1
     assert not any(r.held_out for r in got if r.doc_id is None)
     kept = langid.keep_identified(awkward, model, least_score=0.0)
+    assert kept.select("_key", "__text_a", "size", "label").distinct().collect() == [("x",) * 4]
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-3, 4, 5, 5, 8, 9, 10]
 

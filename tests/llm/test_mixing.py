@@ -121,6 +121,7 @@ def test_awkward_rows(spark, awkward):
         assert r.taken <= 2 * r["size"]
     assert rows(mix(awkward)) == rows(mix(awkward))
     out = mixed_documents(awkward)
+    assert out.select("_key", "__text_a", "size", "label").distinct().collect() == [("x",) * 4]
     assert out.columns == awkward.columns and out.count() >= 3
     assert mix(awkward.limit(0)).count() == 0 == mixed_documents(awkward.limit(0)).count()
 

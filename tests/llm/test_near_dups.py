@@ -90,9 +90,9 @@ def test_against_brute_force(spark, percent):
 
 
 def test_large_nodes_and_clusters(spark, monkeypatch):
-    """With leaves of four members, trees branch and clusters are taken apart."""
-    docs = corpus(2, base=12, copies=30, changes=5)
-    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 4)
+    """With leaves of eight members, trees branch and clusters are taken apart."""
+    docs = corpus(2, base=4, copies=24, changes=4)
+    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 8)
     monkeypatch.setattr(near_dups, "MOST_BROADCAST_BYTES", 0)
     assert found(spark, docs, 85) == brute_force(docs, 85)
 
@@ -117,6 +117,7 @@ def test_awkward_rows(spark, awkward):
     got = find_near_duplicates(awkward).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_force(docs, 80)
     kept = near_dups.drop_near_duplicates(awkward)
+    assert kept.select("_key", "__text_a", "size", "label").distinct().collect() == [("x",) * 4]
     assert kept.columns == awkward.columns
     # One of the equal rows; all rows without words, once if id and text repeat.
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(

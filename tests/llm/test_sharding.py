@@ -71,6 +71,7 @@ def test_nothing_is_shuffled(spark):
 
 def test_awkward_rows(spark, awkward):
     got = place(awkward, shard_names(5), slots=101)
+    assert got.select("_key", "__text_a", "size", "label").distinct().collect() == [("x",) * 4]
     assert got.columns == [*[c for c in awkward.columns if c not in ("slot", "shard")], "slot", "shard"]
     assert got.count() == awkward.count()
     by_id = {}
