@@ -6,6 +6,10 @@ bytes have been checked, and every window of every document is looked up by hash
 and verified on its words. What is left are the hits, few against the input; they
 are gathered for each text. Only hits and narrow rows are shuffled.
 
+A window can only occur where the words of benchmark texts do. Where those words
+are few enough to write into the plan, a window is only built if its first,
+middle and last word are among them.
+
 Texts are cut into words once, in blocks of ``BLOCK`` words that overlap by one
 window, so that a very long text never stands in memory as all of its windows.
 Copies of a text share their hits: a hit is keyed by 128 bits of hash of its
@@ -15,6 +19,8 @@ text, and repeats are dropped before they are shuffled.
 from __future__ import annotations
 
 import string
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +28,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 BLOCK = 2048
 MOST_BROADCAST_BYTES = 64 << 20
+MOST_KNOWN = 20_000  # words written into the plan
 #: Everything that stands between words: ASCII but for digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -85,6 +92,8 @@ def text_hits(
         F.sort_array(F.collect_set("_length")).alias("lengths"),  # at most ``window`` numbers
     ).first()
     lengths = [int(n) for n in sizes["lengths"]] or [window]
+    known = tests.select(F.explode(F.split("_window", " ")).alias("word")).distinct()
+    known = [r["word"] for r in known.limit(MOST_KNOWN + 1).collect()]
     if sizes["bytes"] <= most_broadcast_bytes:
         tests = F.broadcast(tests)
     longest = max(lengths)
@@ -98,6 +107,12 @@ def text_hits(
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
             F.array().cast("array<int>")
         )
+        if len(known) <= MOST_KNOWN:
+            places = sorted({0, n // 2, n - 1})
+            starts = F.filter(
+                starts,
+                lambda i: reduce(and_, [F.get(block, i + k).isin(known) for k in places]),
+            )
         return F.transform(
             starts,
             lambda i: F.struct(
@@ -187,11 +202,9 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark window."""
-    names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn(KEY[0], F.xxhash64(text)).withColumn(
-        KEY[1], F.xxhash64(F.lit(7), text)
-    )
-    return keyed.join(text_hits(docs, benchmark, window).select(*KEY), KEY, "left_anti").select(
-        *[F.col(f"`{c}`") for c in names]
+    # The rows travel as structs, so that none of their names is in the way.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_key()
     )
+    hits = text_hits(docs, benchmark, window).select(*KEY)
+    return rows.join(hits, KEY, "left_anti").select("row.*")
