@@ -9,8 +9,9 @@ a token with a chance equal to their Jaccard similarity.
 chooses one token place, by a hash of the path that leads to it, and a second one
 so often that at the threshold a pair meets again in one child on average;
 members go to the child of their token there. Nodes of one member are dropped.
-A node of at most ``MOST_MEMBERS`` members (and ``MOST_SHINGLES`` shingles, where
-sets are compared) is a leaf: its members are compared exhaustively. A larger one compares everybody
+A node of at most ``MOST_ALIKE`` members (``MOST_MEMBERS`` members and
+``MOST_SHINGLES`` shingles, where sets are compared) is a leaf: its members are
+compared exhaustively. A larger one compares everybody
 with one member, and branches again unless its members already hang together, so
 a mass of near copies ends with that one comparison. Trees are repeated until a
 pair at the threshold is missed by all with a chance below ``MISS``.
@@ -48,7 +49,8 @@ PERCENT = 80
 TOKENS = 64
 MISS = 1e-6
 SURE = 4.2  # standard deviations by which a linked pair's tokens may fall short
-MOST_MEMBERS = 8192
+MOST_ALIKE = 32768  # members of a leaf where tokens are compared
+MOST_MEMBERS = 2048  # and where sets are
 MOST_SHINGLES = 4 << 20
 MOST_LEVELS = 64  # a pair that is still together then has agreed that often
 MOST_BROADCAST_BYTES = 32 << 20
@@ -187,7 +189,9 @@ def _children(percent: int, trees: int | None):
     return run
 
 
-def _is_small(members: Column, shingles: Column) -> Column:
+def _is_small(members: Column, shingles: Column, exact: bool) -> Column:
+    if not exact:
+        return members <= MOST_ALIKE
     return (members <= 2) | ((members <= MOST_MEMBERS) & (shingles <= MOST_SHINGLES))
 
 
@@ -264,8 +268,7 @@ def _nodes(children: DataFrame, exact: bool, path: str) -> DataFrame:
         (F.min("alike") == F.max("alike")).alias("same"),
     )
     sizes = sizes.filter(F.col("members") > 1).withColumn(
-        "small",
-        _is_small(F.col("members"), F.col("shingles") if exact else F.lit(0)),
+        "small", _is_small(F.col("members"), F.col("shingles"), exact)
     )
     # A member is at most twice in a node; leaves take it once.
     children.select("node", "member").join(sizes.drop("shingles"), "node").write.parquet(path)
@@ -481,7 +484,7 @@ def link_members(
     clusters = components(alike, f"{path}/clusters").join(members, "member")
     sizes = clusters.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
     clusters = clusters.join(
-        sizes.select("label", _is_small(F.col("k"), F.col("shingles")).alias("small")), "label"
+        sizes.select("label", _is_small(F.col("k"), F.col("shingles"), True).alias("small")), "label"
     )
     clusters.write.parquet(f"{path}/clustered")
     clusters = spark.read.parquet(f"{path}/clustered")

@@ -93,6 +93,7 @@ def test_large_nodes_and_clusters(spark, monkeypatch):
     """With leaves of eight members, trees branch and clusters are taken apart."""
     docs = corpus(2, base=4, copies=24, changes=4)
     monkeypatch.setattr(near_dups, "MOST_MEMBERS", 8)
+    monkeypatch.setattr(near_dups, "MOST_ALIKE", 8)
     monkeypatch.setattr(near_dups, "MOST_BROADCAST_BYTES", 0)
     assert found(spark, docs, 85) == brute_force(docs, 85)
 
