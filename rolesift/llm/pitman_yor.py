@@ -2,10 +2,9 @@
 
 A word is drawn in the restaurant of its context; contexts share one parent, the
 restaurant of words without context, and that one draws from a base over the
-known words and one outcome for all others. The context is the word before,
-hashed into ``CONTEXTS`` restaurants (the start of a text has its own): a fixed
-number, so what is known of a restaurant as a whole is a small table, while
-customers, dishes and tables grow with the corpus.
+known words and one outcome for all others. The context is the word before, by
+its 64-bit hash (the start of a text has its own): every word has a restaurant,
+and restaurants, customers, dishes and tables all grow with the corpus.
 
 Seating is sampled by Gibbs: the customers of one dish in one restaurant leave
 and are seated again one after another (in groups beyond ``ONE_BY_ONE`` of
@@ -16,18 +15,20 @@ the dish's customers are seated in the same way. Probabilities are averaged over
 How it is spread out. Blocks of documents keep their tokens as numbers into the
 block's distinct (context, word) pairs, and ask about each pair once. All that
 is asked about a word meets in one bucket: the counts of its pairs, so its
-dishes in every restaurant and in the parent. Buckets are sampled side by side;
-the restaurants' totals are exact before the first sweep and after each sample,
-and follow the bucket's own growth in between. Probabilities go back to the
-blocks, pair by pair. A word that holds a third of all tokens is one entry for
-each block and context.
+dishes in every restaurant and in the parent. Buckets number the contexts they
+hold and ask for their restaurants' totals, which are summed in buckets of
+contexts. Buckets are sampled side by side; the restaurants' totals are exact
+before the first sweep and after each sample, and follow the bucket's own growth
+in between. Probabilities go back to the blocks, pair by pair. A word that holds
+a third of all tokens is one entry for each block and context, and as a context
+one for each bucket of words.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +36,19 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.llm.arrays import mix, text_groups, words_of
-from rolesift.llm.blocks import bucket_count, grouped, new_block, pack, unpack
+from rolesift.llm.arrays import text_groups, words_of
+from rolesift.llm.blocks import ask, bucket_count, grouped, new_block, pack, unpack
 from rolesift.session import shared_dir
 
-CONTEXTS = 4096
+CONTEXTS = 4096  # only sizes a Corpus made by hand; score_documents has no such bound
 SAMPLES = 3
 BURN_IN = 3
 STRENGTH = 1.0
 ONE_BY_ONE = 64
-END = np.uint64(0x2545F4914F6CDD1D)  # stands for the end of a text
+END = np.uint64(0x2545F4914F6CDD1D)  # stands for the end of a text, and as a context for its start
 BLOCKS = (
     "block string, doc_ids array<bigint>, held binary, sizes binary, tokens binary, "
-    "words binary, spread binary, contexts binary, counts binary, by_context array<bigint>, "
-    "n_pairs bigint"
+    "words binary, spread binary, contexts binary, counts binary, n_pairs bigint"
 )
 
 
@@ -57,6 +57,15 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    steps = unpack(blob)
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
 # Blocks of documents
 
 
@@ -75,15 +84,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             is_end = np.zeros(len(token), dtype=bool)
             is_end[ends] = True
             token[is_end], token[~is_end] = END, found.hashes
-            context = np.empty(len(token), dtype=np.int64)
-            context[1:] = mix(token[:-1]) % np.uint64(CONTEXTS)
-            context[ends[:-1] + 1] = CONTEXTS
-            context[0] = CONTEXTS
             words, word = np.unique(token, return_inverse=True)
-            pairs, place = np.unique(word * (CONTEXTS + 1) + context, return_inverse=True)
+            context = np.roll(word, 1)  # before a text is the end of another
+            pairs, place = np.unique(word * len(words) + context, return_inverse=True)
             learns = np.repeat(~out, sizes)
             counts = np.bincount(place[learns], minlength=len(pairs))
-            by_context = np.bincount(context[learns], minlength=CONTEXTS + 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([new_block()]),
@@ -91,13 +96,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([pack(out.astype(np.uint8))], pa.binary()),
                     pa.array([pack(sizes.astype(np.int64))], pa.binary()),
                     pa.array([pack(place.astype(np.int32))], pa.binary()),
-                    pa.array([pack(words)], pa.binary()),
-                    pa.array(
-                        [pack(np.bincount(pairs // (CONTEXTS + 1)).astype(np.uint16))], pa.binary()
-                    ),
-                    pa.array([pack((pairs % (CONTEXTS + 1)).astype(np.uint16))], pa.binary()),
+                    pa.array([_pack_sorted(words)], pa.binary()),
+                    pa.array([pack(np.bincount(pairs // len(words)).astype(np.int32))], pa.binary()),
+                    pa.array([pack((pairs % len(words)).astype(np.int32))], pa.binary()),
                     pa.array([pack(counts.astype(np.int32))], pa.binary()),
-                    pa.array([by_context.tolist()], pa.list_(pa.int64())),
                     pa.array([len(pairs)], pa.int64()),
                 ],
                 names=[x.split(" ")[0] for x in BLOCKS.split(", ")],
@@ -114,13 +116,13 @@ def _requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, block in enumerate(batch.column("block").to_pylist()):
-                words, spread, contexts, counts = (
-                    unpack(batch.column(c)[i].as_py())
-                    for c in ("words", "spread", "contexts", "counts")
+                words = _unpack_sorted(batch.column("words")[i].as_py())
+                spread, contexts, counts = (
+                    unpack(batch.column(c)[i].as_py()) for c in ("spread", "contexts", "counts")
                 )
                 at = _slices(words, buckets)
                 pair_at = np.concatenate([[0], np.cumsum(spread, dtype=np.int64)])
-                made: list[list] = [[] for _ in range(4)]
+                made: list[list] = [[] for _ in range(5)]
                 numbers = []
                 for b in range(buckets):
                     if at[b] == at[b + 1]:
@@ -128,22 +130,34 @@ def _requests(buckets: int):
                     w = slice(at[b], at[b + 1])
                     p = slice(pair_at[at[b]], pair_at[at[b + 1]])
                     numbers.append(b)
-                    for column, part in zip(
-                        made, (words[w], spread[w], contexts[p], counts[p]), strict=True
-                    ):
-                        column.append(pack(part))
+                    own, context = np.unique(contexts[p], return_inverse=True)
+                    parts = (
+                        _pack_sorted(words[w]),
+                        pack(spread[w]),
+                        _pack_sorted(words[own]),
+                        pack(context.astype(np.int32)),
+                        pack(counts[p]),
+                    )
+                    for column, part in zip(made, parts, strict=True):
+                        column.append(part)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block] * len(numbers), pa.string()),
                         pa.array(numbers, pa.int32()),
                         *[pa.array(column, pa.binary()) for column in made],
                     ],
-                    names=["block", "bucket", "words", "spread", "contexts", "counts"],
+                    names=[x.split(" ")[0] for x in REQUESTS.split(", ")],
                 )
 
     return run
 
 
+REQUESTS = (
+    "block string, bucket int, words binary, spread binary, heads binary, contexts binary, "
+    "counts binary"
+)
+
+
 # Buckets of words
 
 
@@ -151,32 +165,40 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All requests of a bucket as one table of pairs, and for each block the
     places of its pairs and words in it."""
     for bucket, rows in grouped(batches, "bucket"):
-        words = [unpack(r["words"]) for r in rows]
+        words = [_unpack_sorted(r["words"]) for r in rows]
         every = np.unique(np.concatenate(words))
+        own = [_unpack_sorted(r["heads"]) for r in rows]
+        heads = np.unique(np.concatenate(own))
         keys, counts = [], []
-        for r, w in zip(rows, words, strict=True):
+        for r, w, h in zip(rows, words, own, strict=True):
             word = np.repeat(np.searchsorted(every, w), unpack(r["spread"]))
-            keys.append(word * (CONTEXTS + 1) + unpack(r["contexts"]))
+            context = np.searchsorted(heads, h)[unpack(r["contexts"])]
+            keys.append(word * len(heads) + context)
             counts.append(unpack(r["counts"]))
         pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        word, context = pairs // (CONTEXTS + 1), pairs % (CONTEXTS + 1)
+        word, context = pairs // len(heads), pairs % len(heads)
         per_word = np.bincount(word, total, len(every)).astype(np.int64)
         taught = total > 0
-        tables = np.bincount(context[taught], minlength=CONTEXTS + 1)
+        customers = np.bincount(context, total, len(heads)).astype(np.int64)
+        tables = np.bincount(context[taught], minlength=len(heads))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([bucket], pa.int32()),
                 pa.array([pack(word.astype(np.int32))], pa.binary()),
-                pa.array([pack(context.astype(np.uint16))], pa.binary()),
+                pa.array([pack(context.astype(np.int32))], pa.binary()),
                 pa.array([pack(total)], pa.binary()),
                 pa.array([[r["block"] for r in rows]], pa.list_(pa.string())),
                 pa.array(
                     [[pack(place[a:b].astype(np.int32)) for a, b in zip(at, at[1:], strict=False)]],
                     pa.list_(pa.binary()),
                 ),
-                pa.array([tables.tolist()], pa.list_(pa.int64())),
+                pa.array([_pack_sorted(heads)], pa.binary()),
+                pa.array([[pack(customers), pack(tables)]], pa.list_(pa.binary())),
+                pa.array([len(heads)], pa.int64()),
+                pa.array([int(total.sum())], pa.int64()),
+                pa.array([int(taught.sum())], pa.int64()),
                 pa.array([int((per_word > 0).sum())], pa.int64()),
                 pa.array([int((per_word == 1).sum())], pa.int64()),
                 pa.array([int((total == 1).sum())], pa.int64()),
@@ -188,26 +210,94 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 MERGED = (
     "bucket int, word binary, context binary, counts binary, blocks array<string>, "
-    "places array<binary>, tables array<bigint>, n_words bigint, once bigint, "
-    "pairs_once bigint, pairs_twice bigint"
+    "places array<binary>, heads binary, own array<binary>, n_heads bigint, n_tokens bigint, "
+    "n_tables bigint, n_words bigint, once bigint, pairs_once bigint, pairs_twice bigint"
 )
 
 
+# Totals of restaurants
+
+
+def _parts(contexts: int, numbered: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                heads = _unpack_sorted(batch.column("heads")[i].as_py())
+                own = np.stack([unpack(x) for x in batch.column("own")[i].as_py()])
+                if numbered:
+                    at = np.append(np.searchsorted(heads, np.arange(contexts) << 32), len(heads))
+                else:
+                    at = _slices(heads, contexts)
+                parts = [(b, slice(at[b], at[b + 1])) for b in range(contexts) if at[b] < at[b + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(parts), pa.string()),
+                        pa.array([b for b, _ in parts], pa.int32()),
+                        pa.array([_pack_sorted(heads[p]) for _, p in parts], pa.binary()),
+                        pa.array([pack(own[:, p].ravel()) for _, p in parts], pa.binary()),
+                    ],
+                    names=["block", "bucket", "heads", "own"],
+                )
+
+    return run
+
+
+def _totals(numbered: bool):
+    def answer(rows: list[dict]) -> Iterator[bytes]:
+        heads = [_unpack_sorted(r["heads"]) for r in rows]
+        own = [unpack(r["own"]).reshape(-1, len(h)) for r, h in zip(rows, heads, strict=True)]
+        every, place = np.unique(np.concatenate(heads), return_inverse=True)
+        sums = np.zeros((len(own[0]), len(every)), dtype=np.int64)
+        for total, values in zip(sums, np.concatenate(own, axis=1), strict=True):
+            np.add.at(total, place, values)
+        at = 0
+        for h in heads:
+            mine = place[at : at + len(h)]
+            numbers = [] if numbered else [np.diff(mine + (rows[0]["bucket"] << 32), prepend=0)]
+            yield pack(np.concatenate([*numbers, sums[:, mine].ravel()]))
+            at += len(h)
+
+    return answer
+
+
+def of_all_buckets(buckets: DataFrame, contexts: int, numbered: bool) -> DataFrame:
+    """(bucket, totals) for rows (bucket, heads, own): the sums of ``own``, which
+    are arrays over ``heads``, with those of all other buckets that hold the
+    same contexts. Contexts meet in as many buckets as ``contexts`` tells. Heads
+    are hashes, and each gets a number that goes before its sums; or if
+    ``numbered``, those numbers."""
+    parts = buckets.select(F.col("bucket").cast("string").alias("block"), "heads", "own").mapInArrow(
+        _parts(contexts, numbered), "block string, bucket int, heads binary, own binary"
+    )
+    return ask(parts, _totals(numbered)).select(
+        F.col("block").cast("int").alias("bucket"), F.col("replies").alias("totals")
+    )
+
+
+def _read_totals(replies: list[bytes], rows: int) -> list[np.ndarray]:
+    return [unpack(x).reshape(rows, -1) for x in replies]
+
+
 @dataclass
 class Corpus:
-    """What is known of the whole corpus before sampling."""
+    """What is known of the whole corpus before sampling, and of those of its
+    restaurants that are at hand."""
 
-    by_context: np.ndarray  # customers of each restaurant
+    by_context: np.ndarray  # customers of each restaurant at hand
     tables: np.ndarray  # its tables, one for each dish at first
     n_words: int  # distinct training tokens
     unseen: float  # base mass of the outcome for all other words
     discount: float  # of the contexts' restaurants
     root_discount: float
     buckets: int
+    n_tokens: int | None = None  # customers of all restaurants
+    n_tables: int | None = None  # and their tables
 
-    @property
-    def n_tokens(self) -> int:
-        return int(self.by_context.sum())
+    def __post_init__(self) -> None:
+        if self.n_tokens is None:
+            self.n_tokens = int(self.by_context.sum())
+        if self.n_tables is None:
+            self.n_tables = int(self.tables.sum())
 
 
 def _discount(once: int, twice: int) -> float:
@@ -244,7 +334,9 @@ def seat(
 
 
 def _sampled(corpus: Corpus, seed: int):
-    """Gibbs sweeps over the dishes of a bucket."""
+    """Gibbs sweeps over the dishes of a bucket. With ``totals`` (numbers,
+    customers, tables) the restaurants at hand are the bucket's, otherwise the corpus has
+    them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +345,12 @@ def _sampled(corpus: Corpus, seed: int):
                 word, context, counts = (
                     unpack(batch.column(c)[i].as_py()) for c in ("word", "context", "counts")
                 )
+                own, asks = corpus, "totals" in batch.schema.names
+                if asks:
+                    known = _read_totals(batch.column("totals")[i].as_py(), 3)
+                    numbers = np.concatenate([np.cumsum(x[0]) for x in known])
+                    customers, tables = np.concatenate([x[1:] for x in known], axis=1)
+                    own = replace(corpus, by_context=customers, tables=tables)
                 rng = np.random.default_rng([seed, bucket])
                 size = int(word.max(initial=-1)) + 1
                 taught = np.flatnonzero(counts > 0)
@@ -265,8 +363,8 @@ def _sampled(corpus: Corpus, seed: int):
                 samples = []
                 for sweep in range(BURN_IN + SAMPLES):
                     growth = t.sum() / first
-                    tables = corpus.tables * growth
-                    root_all = max(float(tables.sum()), 1.0)
+                    tables = own.tables * growth
+                    root_all = max(corpus.n_tables * growth, 1.0)
                     root_tables = float(root_t.sum()) * corpus.buckets
                     more = STRENGTH + corpus.root_discount * root_tables
                     parent = (
@@ -277,29 +375,40 @@ def _sampled(corpus: Corpus, seed: int):
                     root_t = seat(root, np.full(size, more * base), corpus.root_discount, rng)
                     if sweep >= BURN_IN:
                         samples.append((t, root_t))
-                sums = [
-                    np.bincount(u, t, CONTEXTS + 1).astype(np.int64).tolist() + [int(r.sum())]
-                    for t, r in samples
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("bucket").slice(i, 1),
-                        pa.array([[pack(t.astype(np.uint32)) for t, _ in samples]], pa.list_(pa.binary())),
-                        pa.array([[pack(r.astype(np.uint32)) for _, r in samples]], pa.list_(pa.binary())),
-                        pa.array([sums], pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=["bucket", "seats", "root_seats", "sums"],
-                )
+                sums = [np.bincount(u, t, len(own.tables)).astype(np.int64) for t, _ in samples]
+                roots = [int(r.sum()) for _, r in samples]
+                columns = {
+                    "bucket": batch.column("bucket").slice(i, 1),
+                    "seats": pa.array([[pack(t.astype(np.uint32)) for t, _ in samples]], pa.list_(pa.binary())),
+                    "root_seats": pa.array([[pack(r.astype(np.uint32)) for _, r in samples]], pa.list_(pa.binary())),
+                }
+                if asks:
+                    columns |= {
+                        "heads": pa.array([_pack_sorted(numbers)], pa.binary()),
+                        "customers": pa.array([pack(customers)], pa.binary()),
+                        "own": pa.array([[pack(x) for x in sums]], pa.list_(pa.binary())),
+                        "n_tables": pa.array([[int(x.sum()) for x in sums]], pa.list_(pa.int64())),
+                        "n_root": pa.array([roots], pa.list_(pa.int64())),
+                    }
+                else:
+                    every = [[*x.tolist(), r] for x, r in zip(sums, roots, strict=True)]
+                    columns["sums"] = pa.array([every], pa.list_(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
     return run
 
 
-SEATED = "bucket int, seats array<binary>, root_seats array<binary>, sums array<array<bigint>>"
+SEATED = (
+    "bucket int, seats array<binary>, root_seats array<binary>, heads binary, customers binary, "
+    "own array<binary>, n_tables array<bigint>, n_root array<bigint>"
+)
 
 
 def _answers(corpus: Corpus, totals: np.ndarray):
     """Replies to each block: log10 probabilities of its pairs, and the training
-    counts of their words."""
+    counts of their words. ``totals`` are each sample's tables of the restaurants
+    at hand, and of the parent; if the buckets bring theirs, of all restaurants
+    together, and of the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,6 +417,12 @@ def _answers(corpus: Corpus, totals: np.ndarray):
                     unpack(batch.column(c)[i].as_py()) for c in ("word", "context", "counts")
                 )
                 context = context.astype(np.int64)
+                customers, tables = corpus.by_context, totals[:, :-1]
+                if "totals" in batch.schema.names:
+                    customers = unpack(batch.column("customers")[i].as_py())
+                    tables = np.concatenate(
+                        _read_totals(batch.column("totals")[i].as_py(), len(totals)), axis=1
+                    )
                 size = int(word.max(initial=-1)) + 1
                 per_word = np.bincount(word, counts, size).astype(np.int64)
                 taught = counts > 0
@@ -321,17 +436,16 @@ def _answers(corpus: Corpus, totals: np.ndarray):
                     t[taught] = unpack(seats[k])
                     root_t = unpack(roots[k]).astype(np.float64)
                     root = np.bincount(word, t, size)
-                    tables, root_tables = totals[k][:-1], totals[k][-1]
                     parent = (
                         root
                         - corpus.root_discount * root_t
-                        + (STRENGTH + corpus.root_discount * root_tables) * base
-                    ) / (STRENGTH + tables.sum())
+                        + (STRENGTH + corpus.root_discount * totals[k, -1]) * base
+                    ) / (STRENGTH + totals[k, :-1].sum())
                     p += (
                         counts
                         - corpus.discount * t
-                        + (STRENGTH + corpus.discount * tables[context]) * parent[word]
-                    ) / (STRENGTH + corpus.by_context[context])
+                        + (STRENGTH + corpus.discount * tables[k, context]) * parent[word]
+                    ) / (STRENGTH + customers[context])
                 score = np.log10(p / max(len(seats), 1)).astype(np.float32)
                 blocks = batch.column("blocks")[i].as_py()
                 replies = []
@@ -385,15 +499,6 @@ def _sum_up(n_tokens: int, n_words: int):
     return run
 
 
-def _sum_of_arrays(df: DataFrame, column: str, size: int) -> np.ndarray:
-    """Place by place sums of an array column: ``size`` rows come to the driver."""
-    sums = np.zeros(size, dtype=np.float64)
-    rows = df.select(F.posexplode(column).alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"))
-    for r in rows.collect():
-        sums[r["p"]] = r["x"]
-    return sums
-
-
 def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): its tokens (words, A-Z as a-z,
     and one end), those the training rows have, the training rows' number of
@@ -414,10 +519,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
     buckets = bucket_count(6 * n_pairs)
     (
         blocks.select("block", "words", "spread", "contexts", "counts")
-        .mapInArrow(
-            _requests(buckets),
-            "block string, bucket int, words binary, spread binary, contexts binary, counts binary",
-        )
+        .mapInArrow(_requests(buckets), REQUESTS)
         .repartition("bucket")
         .sortWithinPartitions("bucket", "block")
         .mapInArrow(_merge, MERGED)
@@ -425,32 +527,47 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
     )
     merged = spark.read.parquet(f"{path}/pairs")
     known = merged.agg(
-        *[F.sum(c).alias(c) for c in ("n_words", "once", "pairs_once", "pairs_twice")]
+        *[
+            F.sum(c).alias(c)
+            for c in (
+                "n_heads", "n_tokens", "n_tables", "n_words", "once", "pairs_once", "pairs_twice"
+            )
+        ]
     ).first()
     n_words, once = int(known["n_words"] or 0), int(known["once"] or 0)
+    contexts = bucket_count(24 * int(known["n_heads"] or 0))
+    none = np.zeros(0, dtype=np.int64)
     corpus = Corpus(
-        by_context=_sum_of_arrays(blocks, "by_context", CONTEXTS + 1),
-        tables=_sum_of_arrays(merged, "tables", CONTEXTS + 1),
+        by_context=none,  # each bucket has its own
+        tables=none,
         n_words=n_words,
         # How likely a word is to be met for the first time, word by word.
         unseen=(once + 1) / (n_words + 2),
         discount=_discount(int(known["pairs_once"] or 0), int(known["pairs_twice"] or 0)),
         root_discount=_discount(once, max(n_words - once, 1)),
         buckets=max(buckets, 1),
+        n_tokens=int(known["n_tokens"] or 0),
+        n_tables=int(known["n_tables"] or 0),
     )
-    merged.select("bucket", "word", "context", "counts").mapInArrow(
-        _sampled(corpus, seed), SEATED
-    ).write.parquet(f"{path}/seats")
-    seated = spark.read.parquet(f"{path}/seats")
-    totals = np.zeros((SAMPLES, CONTEXTS + 2))
-    sums = seated.select(F.posexplode("sums").alias("k", "x")).select(
-        "k", F.posexplode("x").alias("p", "x")
+    (
+        merged.select("bucket", "word", "context", "counts")
+        .join(of_all_buckets(merged, contexts, False), "bucket")
+        .mapInArrow(_sampled(corpus, seed), SEATED)
+        .write.parquet(f"{path}/seats")
     )
-    for r in sums.groupBy("k", "p").agg(F.sum("x").alias("x")).collect():  # SAMPLES * CONTEXTS
-        totals[r["k"], r["p"]] = r["x"]
+    seated = spark.read.parquet(f"{path}/seats")
+    totals = np.zeros((SAMPLES, 2))
+    for r in (
+        seated.select(F.posexplode(F.arrays_zip("n_tables", "n_root")).alias("k", "x"))
+        .groupBy("k")
+        .agg(F.sum("x.n_tables").alias("tables"), F.sum("x.n_root").alias("root"))
+        .collect()
+    ):
+        totals[r["k"]] = r["tables"], r["root"]
     replies = (
         merged.select("bucket", "word", "context", "counts", "blocks", "places")
-        .join(seated.drop("sums"), "bucket")
+        .join(seated.select("bucket", "seats", "root_seats", "customers"), "bucket")
+        .join(of_all_buckets(seated, contexts, True), "bucket")
         .mapInArrow(
             _answers(corpus, totals), "block string, bucket int, scores binary, counts binary"
         )

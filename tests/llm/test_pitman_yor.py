@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from llm_rows import awkward  # noqa: F401
 
 from rolesift.llm import pitman_yor
+from rolesift.llm.arrays import mix, text_groups, words_of
 from rolesift.llm.blocks import pack, unpack
 from rolesift.llm.pitman_yor import perplexity, score_documents, seat
 from rolesift.llm.queries import QUERIES
@@ -134,3 +135,24 @@ def test_a_word_that_holds_a_third_of_all_tokens(spark):
     got = score_documents(df).collect()
     check(got, docs)
     assert all(r.score > r.base_score for r in got)
+
+
+def test_every_context_has_its_own_followers(spark):
+    """Words that were hashed to one of 4096 restaurants do not share followers,
+    and what is known of a context comes from all buckets of words."""
+    names = [f"c{i}" for i in range(400)]
+    hashes = words_of(next(text_groups(pa.array([" ".join(names)]))), lower=True).hashes
+    places = mix(hashes) % np.uint64(4096)
+    first = {}
+    rare, often = next((name, first[p]) for name, p in zip(names, places.tolist(), strict=True)
+                       if first.setdefault(p, name) != name)
+    other = next(n for n, p in zip(names, places.tolist(), strict=True)
+                 if p != places[names.index(rare)])
+    texts = [f"{often} likely"] * 300 + [f"z {rare} y z {other} y"]
+    asked = [f"z {rare} likely", f"z {other} likely", f"z {rare}", f"z {other}"]
+    docs = spark.createDataFrame(list(enumerate(texts + asked)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in
+           score_documents(docs, held=F.col("doc_id") >= len(texts)).collect()}
+    scores = [got[len(texts) + k] for k in range(len(asked))]
+    assert scores[0] == pytest.approx(scores[1], abs=0.05)
+    assert scores[2] == pytest.approx(scores[3], abs=0.05)
