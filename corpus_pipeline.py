@@ -12,7 +12,7 @@ SHARDS = 64
 
 
 def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told."""
+    """Drops documents whose words' languages cannot be told."""
     return langid.keep_identified(docs, langid.fit_on(docs))
 
 

@@ -348,17 +348,21 @@ def label_words(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(model: Model, texts: Texts) -> dict[str, np.ndarray]:
     """For each text the language its words expect most, its mean probability
-    over them, the number of words, and how often the most probable language
+    over them, how sure the words' own labels are (the mean of each word's largest
+    probability, whichever languages they are), the number of words, and how often the most probable language
     changes from one word to the next. Languages are numbers, -1 for none."""
     rows = len(texts)
     if not model.languages:
         none = np.zeros(rows, dtype=np.int64)
-        return {"lang": none - 1, "score": np.zeros(rows), "words": none, "switches": none}
+        zero = np.zeros(rows)
+        return {"lang": none - 1, "score": zero, "sure": zero, "words": none, "switches": none}
     p, bounds = label_words(model, texts)
     n = np.diff(bounds)
     sums = np.zeros((rows, len(model.languages)))
+    sure = np.zeros(rows)
     filled = n > 0
     if filled.any():
+        sure[filled] = np.add.reduceat(p.max(axis=1), bounds[:-1][filled]) / n[filled]
         sums[filled] = np.add.reduceat(p, bounds[:-1][filled], axis=0)
     best = p.argmax(axis=1)
     turn = np.zeros(len(best) + 1, dtype=np.int64)
@@ -370,6 +374,7 @@ def predict(model: Model, texts: Texts) -> dict[str, np.ndarray]:
     return {
         "lang": lang,
         "score": np.clip(score, 0.0, 1.0),
+        "sure": np.clip(sure, 0.0, 1.0),
         "words": n,
         "switches": before[bounds[1:]] - before[bounds[:-1]],
     }
@@ -435,7 +440,7 @@ def _identified(model: Model, text: str, letter: str, least_score: float):
             for texts in text_groups(batch.column(text), GROUP_BYTES):
                 rows = slice(texts.first, texts.first + len(texts))
                 found = predict(model, texts)
-                keep[rows] &= (found["lang"] >= 0) & (found["score"] >= least_score)
+                keep[rows] &= (found["lang"] >= 0) & (found["sure"] >= least_score)
             kept = batch.filter(pa.array(keep))
             yield kept.select([n for n in kept.schema.names if n != letter])
 
@@ -443,8 +448,9 @@ def _identified(model: Model, text: str, letter: str, least_score: float):
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least
-    that mean probability. Nothing is rejected for the language it is in."""
+    """The rows of ``docs``, all columns, whose words' languages are known with at
+    least that mean probability. Nothing is rejected for the language it is in, nor
+    for changing between languages."""
     flag = "has_letter"
     while flag in docs.columns:
         flag += "_"

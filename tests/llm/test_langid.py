@@ -94,6 +94,18 @@ def test_words_of_mixed_text(spark, model):
         assert inner.count(lang) >= 0.8 * len(inner)
 
 
+def test_evenly_mixed_text_is_kept(spark, model):
+    """No language has 0.4 of the words, and each word's label is sure."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id")
+    some = {r.lang: " ".join(r.text.split()[:40]) for r in
+            docs.filter(~F.col("text").rlike("[0-9#|!]")).select("lang", "text").collect()}
+    mixed = spark.createDataFrame(
+        [(1, " ".join(some[lang] for lang in ("fr", "en", "de")))], "doc_id long, text string"
+    )
+    assert langid.identify(mixed, model).first().score < 0.4
+    assert langid.keep_identified(mixed, model).count() == 1
+
+
 def test_awkward_rows(spark, awkward, model):
     got = langid.identify(awkward, model).collect()
     assert len(got) == awkward.count()
