@@ -27,6 +27,14 @@ _INVISIBLE = rf"!--(?s:.*?)(?:-->|\z)|{_block('script')}|{_block('style')}"
 INVISIBLE = f"<(?:{_INVISIBLE})"
 MARKUP = rf"<(?:{_INVISIBLE}|[/!?]?[A-Za-z][^>]*(?:>|\z))"
 BLANK = " \\t\\r\\n\\f\u00a0"
+# Elements that begin a line of their own, and the mark put where they do.
+_LINES = (
+    "address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|"
+    "form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|"
+    "title|tr|ul"
+)
+LINE_TAG = rf"</?(?i:{_LINES})(?=[\s/>])[^>]*(?:>|\z)"
+LINE_END = "\u001e"
 
 # Looked up before the full table of names.
 COMMON_ENTITIES = {"amp": "&", "nbsp": "\u00a0", "quot": '"', "#39": "'", "lt": "<", "gt": ">"}
@@ -192,6 +200,14 @@ def decode_entities(text: Column) -> Column:
     return F.array_join(joined, "")
 
 
+def text_lines(visible: Column) -> Column:
+    """The text of a page without its invisible parts, with ``LINE_END`` wherever
+    an element begins or ends a line, once however many do; blanks are collapsed,
+    and none is left beside the mark."""
+    text = plain_text(F.regexp_replace(visible, LINE_TAG, LINE_END))
+    return F.regexp_replace(text, f" ?{LINE_END}[ {LINE_END}]*+", LINE_END)
+
+
 def plain_text(html: Column) -> Column:
     """The text between the markup, blanks collapsed. A lone blank is the usual
     case, so only runs and the rarer kinds are replaced."""

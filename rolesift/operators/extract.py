@@ -44,23 +44,51 @@ def page_fields(pages: DataFrame) -> DataFrame:
     return visible.withColumns(_fields()).drop(VISIBLE)
 
 
-def page_location(text: Column) -> Column:
-    """Where a job is, from the text of its page: what follows a label such as
-    "Location:", or else the names of the preferred locations that the text
-    mentions; null if there is neither."""
-    label = F.regexp_extract(
-        text, rf"(?i)(?<!{X.WORD})(?:location|based in|work ?place) ?[:–-] ?([^.;|•·:]{{1,60}})", 1
-    )
+# A label and its mark, or a label that is an element of its own; then, perhaps in
+# the next element, the place, up to a delimiter or the end of its element. The
+# full stop of "St." is none.
+_NAME = r"(?:location|based in|work ?place)"
+_PLACE = rf"((?:[^.;|•·:{X.LINE_END}]++|(?<=(?<!{X.WORD})(?i:st))[.])++)"
+_LABEL = (
+    rf"(?:(?<!{X.WORD})(?i:{_NAME}) ?{X.LINE_END}?[:–-]"
+    rf"|(?<![^{X.LINE_END}])(?i:(?:job |work )?{_NAME}){X.LINE_END})"
+    rf"[ {X.LINE_END}]*+{_PLACE}"
+)
+
+
+def _named_places(text: Column) -> Column:
+    """The classes of the preferred places that a text mentions; empty if none."""
     low = X.lowered(text)
     named = []
     for name, rules in terms.of_class("location").items():
         for _, _, _, term, _, unless, requires in rules:
             parts = [[x for x in (p or "").split("|") if x] for p in (term, unless, requires)]
             named.append(F.when(X.rule_holds(low, *parts), name))
-    return F.coalesce(
-        F.nullif(F.trim(label), F.lit("")), F.nullif(F.concat_ws(", ", *named), F.lit(""))
+    return F.concat_ws(", ", *named)
+
+
+def page_location(html: Column, text: Column | None = None) -> Column:
+    """Where a job is, from its page (``html``, best without what is invisible)
+    and the page's ``text``: what follows a label such as "Location:", however
+    long, up to a full stop or another delimiter or to the end of the element,
+    then, unless a preferred place is among that, the preferred places that the
+    rest of the page mentions; null if there is neither. The place may stand in
+    the element after its label."""
+    text = X.plain_text(html) if text is None else text
+    label = F.when(
+        X.lowered(html).rlike("location|based|work ?place"),
+        F.nullif(F.trim(F.regexp_extract(X.text_lines(html), _LABEL, 1)), F.lit("")),
     )
 
+    def joined(label: Column, text: Column) -> Column:
+        places = F.nullif(_named_places(text), F.lit(""))
+        both = F.nullif(F.concat_ws(", ", label, places), F.lit(""))
+        return F.when(_named_places(label) != "", label).otherwise(both)
+
+    # Bound to names, as each is looked at once for each rule.
+    found = F.array(F.struct(label.alias("label"), text.alias("text")))
+    return F.get(F.transform(found, lambda x: joined(x["label"], x["text"])), 0)
+
 
 def postings_from_pages(
     pages: DataFrame, seen_at: Column | None = None, location: Column | None = None
@@ -73,7 +101,7 @@ def postings_from_pages(
     if seen_at is None:
         seen_at = F.col("_metadata.file_modification_time")
     if location is None:
-        location = page_location(F.col("text"))
+        location = page_location(F.col(VISIBLE), F.col("text"))
     page = pages.withColumn("seen_at", seen_at).withColumn(
         VISIBLE, X.without_invisible(F.col("html"))
     )

@@ -50,6 +50,18 @@ PAGE_RULES = [
     ("page_in_the", "penalty", "description", "in the", -7),
     ("page_que_de", "penalty", "description", "que de", -3),
 ]
+# What each page says of its place, by hand: place, rules.
+PAGE_PLACES = [
+    ("the engineering campus of our partner at the western riverside office park in Rochester,"
+     " Minnesota", "loc_mn,loc_roc"),
+    ("St. Paul, Minnesota", "loc_mn,loc_tc"),
+    ("Austin, Texas, remote", "loc_remote"),
+    ("Boston", ""),
+    ("twin cities", "loc_tc"),
+    (None, ""),
+    ("Rémote village, remote", "loc_remote"),
+    ("Hybrid - Minneapolis, MN", "loc_hybrid,loc_mn,loc_tc"),
+]
 # What each wording stands for, by hand. Titles: class, senior, unpaid,
 # contract only, rules of the title; places: class, rules; descriptions: years,
 # unpaid, contract only.
@@ -385,6 +397,13 @@ FROM body""",
 SELECT t.url, t.shown AS title, CAST(coalesce(s.score, 0) AS BIGINT) AS score,
        coalesce(s.matched_rules, '') AS matched_rules
 FROM page_texts t LEFT JOIN page_scores s USING (url)""",
+    "page_locations": f"""
+SELECT page_id AS posting_id, p.location, CAST(CASE WHEN p.rules = '' THEN 0 ELSE 5 END AS BIGINT) AS score,
+       p.rules AS matched_rules
+FROM pages JOIN (VALUES {', '.join(
+    f"({n}, {'NULL' if place is None else repr(place)}, '{rules}')"
+    for n, (place, rules) in enumerate(PAGE_PLACES)
+)}) AS p (n, location, rules) ON page_id % {len(PAGE_PLACES)} = p.n""",
     "valid_postings": f"WITH {VALID} SELECT {POSTING} FROM valid",
     "rejected_postings": f"""WITH {RAW}
 SELECT {POSTING}, concat_ws(',', CASE WHEN coalesce(title, '') = '' THEN 'no_title' END,

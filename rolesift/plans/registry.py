@@ -12,6 +12,7 @@ from rolesift.operators import classify, extract, match, pending, review
 from rolesift.operators.latest import latest as newest
 from rolesift.operators.validate import validate
 from rolesift.plans import flows
+from rolesift.plans.pages_fx import located
 from rolesift.plans.postings_fx import ORDERS, postings_fx, sightings
 from rolesift.plans.wordings_fx import swapped, worded
 from rolesift.schema import PAGE, POSTING
@@ -171,6 +172,14 @@ def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.find_and_score(raw, rules).select("url", "title", "score", "matched_rules")
 
 
+@query
+def page_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to postings whose places the pages themselves name, scored."""
+    raw = extract.postings_from_pages(located(spark, sf_dir), F.timestamp_seconds(F.col("page_id")))
+    df = match.score_postings(raw, default_rules(spark))
+    return df.select("posting_id", "location", "score", "matched_rules")
+
+
 # Validation, classes, flags and filters
 
 

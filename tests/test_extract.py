@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import decode_entities
-from rolesift.operators.extract import page_fields, page_text, postings_from_pages
+from rolesift.operators.extract import page_fields, page_location, page_text, postings_from_pages
 from rolesift.operators.validate import validate
 from rolesift.schema import PAGE
 
@@ -92,6 +92,39 @@ def test_postings_from_pages(pages):
     assert [r.reject_reason for r in rejected.collect()] == ["no_title,no_url"]
 
 
+PLACES = [
+    ("<p>Location: " + "a long way down the river " * 20 + "in Rochester, Minnesota. More.</p>",
+     "a long way down the river " * 20 + "in Rochester, Minnesota"),
+    ("<p>Location: St. Paul. Remote.</p>", "St. Paul"),
+    ("<p>Location: Boston</p><p>Remote is fine</p>", "Boston, remote"),
+    ("<p>LOCATION: Boston</p><p>Dallas</p>", "Boston"),
+    ("<td>Location</td>\n<td> Twin\nCities </td><td>Java</td>", "Twin Cities"),
+    ("<b>Location</b>: <a>Roch&eacute;</a> (north) | x", "Roché (north)"),
+    ("<p>Location:</p>", None),
+    ("<p>Our location in Minnesota</p>", "minnesota"),
+    ("<p>Relocation: paid</p>", None),
+    ("<p>Hybrid, near Rochester, New York</p>", None),
+    ("", None),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize("case", range(len(PLACES)))
+def test_page_location(spark, case):
+    html, want = PLACES[case]
+    page = spark.createDataFrame([(1, "u", html)], PAGE)
+    assert page.select(page_location(F.col("html")).alias("p")).first().p == want
+    assert postings_from_pages(page, F.current_timestamp()).first().location == want
+
+
+def test_page_location_of_long_pages(spark):
+    """Time is linear in the text, and nothing recurses into it."""
+    for body in ("Location " * 100_000, "Location: St. " * 100_000, "<p>Location</p>" * 100_000,
+                 "Location: " + "x, " * 500_000):
+        page = spark.createDataFrame([(1, "u", f"<p>{body}</p>")], PAGE)
+        assert page.select(F.length(page_location(F.col("html"))).alias("n")).collect()
+
+
 def test_landing_time(spark, pages, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages")
     landed = spark.read.schema(PAGE).parquet(f"{tmp_path}/pages")
