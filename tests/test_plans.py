@@ -18,7 +18,7 @@ from rolesift.plans.flows import find_and_score
 from rolesift.plans.postings_fx import postings_fx
 from rolesift.schema import OUTBOX, POSTING, SCORED
 from rolesift.session import shared_dir
-from rolesift.sources.outbox import read_outbox, write_outbox
+from rolesift.sources.keyed import append_keyed, read_keyed, runs
 from rolesift.sources.pages import scan_pages
 from rolesift.sources.store import merge_newest
 from rolesift.streaming.first_seen import first_seen
@@ -253,14 +253,27 @@ def test_first_seen_is_reduced_before_the_shuffle(stored):
     assert rows(df.select("url")) == rows(urls)
 
 
-def test_questions_to_the_outbox_read_only_some_parts(spark, stored, tmp_path):
-    strong = stored.select("url", F.lit(15).cast("long").alias("score"), F.lit("").alias("matched_rules"))
-    write_outbox(strong, f"{tmp_path}/outbox")
-    few = strong.filter(F.col("url").endswith("/p/1")).limit(1)
-    df = read_outbox(spark, f"{tmp_path}/outbox", few)
-    assert re.search(r"PartitionFilters: \[[^]]*url_part", plan(df))
-    assert df.join(few, "url", "left_semi").count() == strong.join(few, "url", "left_semi").count()
-    assert 0 < df.count() < strong.count()
+def many_urls(spark, n):
+    return spark.range(n).select(
+        F.concat(F.lit("https://jobs.example/"), F.sha2(F.col("id").cast("string"), 256)).alias("url"),
+        F.lit(15).cast("long").alias("score"),
+        F.lit("").alias("matched_rules"),
+    )
+
+
+def test_questions_to_a_large_folder_read_a_small_share(spark, tmp_path):
+    """A thousand urls against a folder of some thousands of parts."""
+    path, rows_ = f"{tmp_path}/outbox", many_urls(spark, 200_000)
+    append_keyed(rows_, path, part_bytes=4 << 10)
+    (run,) = runs(spark, path)
+    assert run["parts"] >= 2048 and run["bytes"] < run["parts"] * (8 << 10)
+    few = rows_.limit(1000)
+    whole, asked = read_keyed(spark, path, OUTBOX), read_keyed(spark, path, OUTBOX, few)
+    assert len(whole.inputFiles()) > 2000
+    assert len(asked.inputFiles()) <= 1000
+    assert asked.join(few, "url", "left_semi").count() == 1000
+    one = read_keyed(spark, path, OUTBOX, rows_.limit(1))
+    assert len(one.inputFiles()) == 1 and one.count() < 1000
 
 
 def test_urls_of_a_store_are_shuffled_once(stored, settings):
