@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+import re
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import rows
@@ -15,7 +18,7 @@ from rolesift.plans.flows import find_and_score, save_and_review
 from rolesift.schema import OUTBOX, POSTING, SCORED
 from rolesift.sources.jsonl import read_json, write_json
 from rolesift.sources.outbox import read_outbox, write_outbox
-from rolesift.sources import store as store_module
+from rolesift.sources import commits as commits_module
 from rolesift.sources.files import size
 from rolesift.sources.store import compact, list_postings, retain, save_postings, versions
 
@@ -109,17 +112,94 @@ def test_failed_save_leaves_nothing(spark, tmp_path):
     assert versions(spark, store) == [1]
 
 
-def test_second_writer_of_a_version_fails(spark, tmp_path, monkeypatch):
-    """Both saw version 1; one of them commits 2."""
+def interleaved(monkeypatch, *others):
+    """Lets others commit between a writer's last look and its own commit."""
+    waiting, create = list(others), commits_module.create_text
+
+    def late(spark, path, text):
+        if waiting:
+            waiting.pop(0)()
+        return create(spark, path, text)
+
+    monkeypatch.setattr(commits_module, "create_text", late)
+
+
+def test_interleaved_saves_both_survive(spark, tmp_path, monkeypatch):
+    """Both saw version 1; one commits 2, the other 3, and is the later save."""
+    path = f"{tmp_path}/store"
+    save_postings(scored(spark, (1, "a", 1, 5)), path)
+    interleaved(monkeypatch, lambda: save_postings(scored(spark, (2, "b", 1, 6), (3, "c", 1, 1)), path))
+    assert save_postings(scored(spark, (3, "c", 1, 7), (4, "d", 1, 8)), path) == 3
+    want = [(1, "a", 1, 5), (2, "b", 1, 6), (3, "c", 1, 7), (4, "d", 1, 8)]
+    assert short(list_postings(spark, path)) == want
+    assert short(list_postings(spark, path, version=2)) == [(1, "a", 1, 5), (2, "b", 1, 6), (3, "c", 1, 1)]
+    assert compact(spark, path) == 4 and short(list_postings(spark, path)) == want
+
+
+def test_a_save_during_a_compaction_survives(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/store"
     save_postings(scored(spark, (1, "a", 1, 5)), path)
-    seen = versions(spark, path)
-    save_postings(scored(spark, (2, "b", 1, 6)), path)
-    monkeypatch.setattr(store_module, "versions", lambda *_: seen)
-    with pytest.raises(Exception, match="(?i)exist"):
-        save_postings(scored(spark, (3, "c", 1, 7)), path)
-    monkeypatch.undo()
-    assert short(list_postings(spark, path)) == [(1, "a", 1, 5), (2, "b", 1, 6)]
+    interleaved(monkeypatch, lambda: save_postings(scored(spark, (1, "a", 1, 9), (2, "b", 1, 6)), path))
+    assert compact(spark, path) == 3
+    assert short(list_postings(spark, path)) == [(1, "a", 1, 9), (2, "b", 1, 6)]
+    # Of two compactions one is dropped, with its folder.
+    interleaved(monkeypatch, lambda: compact(spark, path))
+    assert compact(spark, path) == 4
+    assert short(list_postings(spark, path)) == [(1, "a", 1, 9), (2, "b", 1, 6)]
+    retain(spark, path)
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("base-")]) == 1
+    assert short(list_postings(spark, path)) == [(1, "a", 1, 9), (2, "b", 1, 6)]
+
+
+def test_saves_from_several_threads(spark, tmp_path):
+    """On a file system whose create is exclusive none is lost; a local one tests
+    and creates in two steps, so here only what was acknowledged once counts."""
+    path = f"{tmp_path}/store"
+    batches = [scored(spark, (n, f"u{n}", 1, n), (99, "hot", n, n)) for n in range(4)]
+    save_postings(batches[0], path)
+    locked, create = threading.Lock(), commits_module.create_text
+
+    def exclusive(*args):
+        with locked:
+            return create(*args)
+
+    with pytest.MonkeyPatch.context() as m, ThreadPoolExecutor(3) as pool:
+        m.setattr(commits_module, "create_text", exclusive)
+        made = list(pool.map(lambda df: save_postings(df, path), batches[1:]))
+    assert sorted(made) == [2, 3, 4]
+    want = [(n, f"u{n}", 1, n) for n in range(4)] + [(99, "hot", 3, 3)]
+    assert short(list_postings(spark, path)) == want
+
+
+def test_listing_some_urls(spark, tmp_path):
+    """The same rows as a filter, from a few files of the base."""
+    path = f"{tmp_path}/store"
+    many = [(n, f"u{n}", 1, n) for n in range(400)]
+    save_postings(scored(spark, *many), path)
+    compact(spark, path, part_bytes=256)
+    save_postings(scored(spark, (5, "u5", 2, 0), (500, "new", 1, 1), (6, "u6", 0, 0)), path)
+    save_postings(scored(spark, (500, "new", 2, 2)), path)
+    asked = spark.createDataFrame([("u5",), ("u5",), ("u6",), ("new",), ("none",), (None,)], "url string")
+    got = list_postings(spark, path, urls=asked)
+    assert short(got) == [(5, "u5", 2, 0), (6, "u6", 1, 6), (500, "new", 2, 2)]
+    assert got.columns == SCORED.names
+    assert short(list_postings(spark, path, "score > 1", urls=asked)) == [(6, "u6", 1, 6), (500, "new", 2, 2)]
+    base = [f for f in list_postings(spark, path).inputFiles() if "/base-" in f]
+    read = [f for f in got.inputFiles() if "/base-" in f]
+    assert len(base) > 16 and len(set(read)) <= 5
+
+
+def test_a_filter_on_the_url_reaches_every_scan(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    for n in range(2):
+        save_postings(scored(spark, (n, "a", n, n), (n + 5, f"u{n}", n, n)), path)
+        if n == 0:
+            compact(spark, path)
+    text = list_postings(spark, path, "url = 'a'")._jdf.queryExecution().toString()
+    scans = re.findall(r"FileScan parquet.*", text)
+    assert len(scans) >= 4 and all("EqualTo(url,a)" in s for s in scans)
+    for where in ("url = 'a' AND score > 0", "rand() < 2"):
+        assert list_postings(spark, path, where).count() == (1 if "url" in where else 3)
 
 
 def test_a_save_costs_what_the_batch_costs(spark, tmp_path):
