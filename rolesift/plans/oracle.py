@@ -445,6 +445,18 @@ SELECT {POSTING}, score, matched_rules FROM scored WHERE customer % 3 <> 0
 ORDER BY score DESC, posting_id""",
     "scan_stream": "SELECT page_id, url, html FROM pages",
     "first_seen": FIRST_SEEN,
+    "first_seen_by_state": FIRST_SEEN,
+    "late_sightings": f"""WITH {VALID},
+landed AS (
+  SELECT 1 AS batch, * FROM valid WHERE posting_id % 3 = 0
+  UNION ALL SELECT 2, * FROM valid WHERE posting_id % 3 <= 1
+  UNION ALL SELECT 3, * FROM valid WHERE posting_id % 2 = 0
+  UNION ALL SELECT 4, * FROM valid WHERE posting_id % 2 = 1
+),
+newest AS (SELECT batch, max(seen_at) AS top FROM landed GROUP BY batch)
+SELECT posting_id, url, count(*) AS times FROM landed l
+WHERE seen_at <= (SELECT max(top) FROM newest n WHERE n.batch < l.batch) - INTERVAL 365 DAY
+GROUP BY posting_id, url""",
     "first_seen_within": f"""WITH {VALID}
 SELECT DISTINCT url, CAST(epoch(seen_at) AS BIGINT) // (200 * 86400) AS seen_period FROM valid""",
     "notify_stream": f"""WITH {MATCHES},

@@ -23,6 +23,7 @@ from rolesift.sources.pages import scan_pages as read_pages
 from rolesift.sources.store import compact, retain
 from rolesift.sources.store import list_postings as saved_postings
 from rolesift.sources.store import save_postings as save
+from rolesift.streaming.by_state import put_aside_late, read_late, run_first_seen_by_state
 from rolesift.streaming.first_seen import PERIOD, read_first_seen, run_first_seen
 from rolesift.streaming.notify import notify_stream as start_notifying
 from rolesift.streaming.scan import run_scan
@@ -424,6 +425,25 @@ def first_seen_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("url", period.alias(PERIOD))
 
 
+@query
+def first_seen_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = shared_dir(spark, "first-seen-by-state")
+    run_first_seen_by_state(
+        _overlapping(spark, sf_dir, work), f"{work}/urls", f"{work}/checkpoint"
+    )
+    return spark.read.schema(POSTING).parquet(f"{work}/urls").select("url")
+
+
+@query
+def late_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings a year or more behind what had landed before."""
+    work = shared_dir(spark, "late")
+    stream = _overlapping(spark, sf_dir, work)
+    put_aside_late(stream, f"{work}/routed", f"{work}/checkpoint", "365 days").awaitTermination()
+    late = read_late(spark, f"{work}/routed", POSTING)
+    return late.groupBy("posting_id", "url").agg(F.count("*").alias("times"))
+
+
 @query
 def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches in order of time, and a fourth of sightings that come late:

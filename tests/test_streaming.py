@@ -1,5 +1,7 @@
 """Scheduled scans: overlapping runs, an empty run, replays."""
 
+import datetime as dt
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from rolesift.schema import OUTBOX, PAGE, POSTING
 from rolesift.sources.outbox import read_outbox
 from rolesift.streaming import first_seen as first_seen_module
 from rolesift.streaming import notify as notify_module
+from rolesift.streaming.by_state import put_aside_late, read_late, run_first_seen_by_state
 from rolesift.streaming.first_seen import (
     first_seen,
     keep_first_seen,
@@ -169,3 +172,85 @@ def test_notify_adds_each_url_once(spark, tmp_path):
     assert rows(read_outbox(spark, outbox)) == want
     notify_batch(postings, rules, outbox)
     assert rows(read_outbox(spark, outbox)) == want
+
+
+def dated(spark, *rows_):
+    schema = "url string, seen_at timestamp"
+    return spark.createDataFrame(
+        [(u, None if d is None else dt.datetime.fromisoformat(d)) for u, d in rows_], schema
+    )
+
+
+def test_first_seen_by_state(spark, tmp_path):
+    """Each url once, over runs; the state holds them all."""
+    landing, sink, work = f"{tmp_path}/landing", f"{tmp_path}/sink", f"{tmp_path}/work"
+    schema, state = dated(spark).schema, []
+    for scan in ([("a", "2024-01-01"), ("a", "2024-01-01"), ("b", "2024-01-02")],
+                 [("b", "2024-03-01"), ("c", "2023-01-01")], None):
+        if scan:
+            dated(spark, *scan).coalesce(1).write.mode("append").parquet(landing)
+        counts = run_first_seen_by_state(scan_stream(spark, landing, schema), sink, work)
+        state.append((counts.rows, counts.in_state or None))
+    assert state[:2] == [(3, 2), (2, 3)] and state[2][0] == 0
+    assert sorted(r.url for r in spark.read.schema(schema).parquet(sink).collect()) == ["a", "b", "c"]
+
+
+def test_first_seen_by_bounded_state(spark, tmp_path):
+    """Late rows are put aside and counted; Spark itself drops none; urls go out
+    of the state when the watermark has passed them."""
+    landing, sink, work = f"{tmp_path}/landing", f"{tmp_path}/sink", f"{tmp_path}/work"
+    schema = dated(spark).schema
+    scans = [
+        [("a", "2024-01-01"), ("b", "2024-01-20")],
+        [("a", "2024-01-18"), ("old", "2024-01-10"), ("none", None), ("c", "2024-03-01")],
+        [("b", "2024-02-25"), ("d", "2024-03-02"), ("older", "2023-01-01"), ("c", "2024-02-20")],
+        [("a", "2024-03-03")],
+    ]
+    late, dropped, state = [], 0, []
+    for scan in scans:
+        dated(spark, *scan).coalesce(1).write.mode("append").parquet(landing)
+        counts = run_first_seen_by_state(scan_stream(spark, landing, schema), sink, work, "10 days")
+        late.append(counts.late)
+        dropped += counts.dropped
+        state.append(counts.in_state)
+        assert counts.rows == len(scan)
+    assert late == [0, 2, 1 + 1, 0] and dropped == 0
+    assert sorted(r.url for r in read_late(spark, f"{sink}-routed", schema).collect()) == [
+        "c", "none", "old", "older"]
+    got = sorted(r.url for r in spark.read.schema(schema).parquet(sink).collect())
+    # a and b come again, a long time after their first sightings.
+    assert set(got) == {"a", "b", "c", "d"} and got.count("c") == got.count("d") == 1
+    assert got.count("a") >= 2 and got.count("b") == 2
+    assert max(state) <= 4
+
+
+def test_a_replayed_batch_is_routed_alike(spark, tmp_path):
+    landing, routed = f"{tmp_path}/landing", f"{tmp_path}/routed"
+    schema = dated(spark).schema
+    dated(spark, ("a", "2024-01-30")).coalesce(1).write.parquet(landing)
+    dated(spark, ("b", "2024-01-01"), ("c", "2024-01-29")).coalesce(1).write.mode("append").parquet(landing)
+    for checkpoint in ("one", "two"):  # a new checkpoint takes every file again
+        put_aside_late(
+            scan_stream(spark, landing, schema, max_files=1), routed, f"{tmp_path}/{checkpoint}", "5 days"
+        ).awaitTermination()
+        assert [r.url for r in read_late(spark, routed, schema).collect()] == ["b"]
+
+
+def test_processed_files_leave_the_landing_folder(spark, tmp_path):
+    landing, archive = tmp_path / "landing", tmp_path / "archive"
+    schema = dated(spark).schema
+
+    def run():
+        run_scan(
+            scan_stream(spark, str(landing), schema, archive=str(archive)),
+            f"{tmp_path}/sink", f"{tmp_path}/work",
+        )
+
+    for k in range(3):
+        dated(spark, (f"u{k}", "2024-01-01")).coalesce(1).write.mode("append").parquet(str(landing))
+        run()
+        # The files of the run before have been moved by the time that it ends.
+        assert len(list(landing.glob("*.parquet"))) <= 2
+    assert len(list(archive.rglob("*.parquet"))) >= 1
+    there = spark.read.schema(schema).parquet(f"{tmp_path}/sink")
+    assert sorted(r.url for r in there.collect()) == ["u0", "u1", "u2"]
