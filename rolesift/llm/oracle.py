@@ -80,5 +80,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
   sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+""",
+    "op13_fill_in_middle": """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+), h AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n,
+    CAST(('0x' || substr(digest, 1, 8)) AS BIGINT) AS h1,
+    CAST(('0x' || substr(digest, 9, 8)) AS BIGINT) AS h2,
+    CAST(('0x' || substr(digest, 17, 8)) AS BIGINT) AS h3,
+    CAST(('0x' || substr(digest, 25, 8)) AS BIGINT) AS h4
+  FROM u
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT doc_id, n, form, text,
+    coalesce(array_to_string(units[1:low], ''), '') AS pre,
+    coalesce(array_to_string(units[low + 1:high], ''), '') AS mid,
+    coalesce(array_to_string(units[high + 1:n], ''), '') AS suf
+  FROM c
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
 """,
 }
