@@ -16,6 +16,7 @@ from rolesift.llm import (
     near_dups,
     passages,
     pitman_yor,
+    prefix_trie,
     quality,
     sharding,
     token_counts,
@@ -101,6 +102,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.digest_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.build_trie(*prefix_trie.shared_openings(turns))
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
