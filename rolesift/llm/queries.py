@@ -15,6 +15,7 @@ from rolesift.llm import (
     mixing,
     near_dups,
     passages,
+    pieces,
     pitman_yor,
     prefix_trie,
     quality,
@@ -102,6 +103,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load()
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return pieces.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.digest_turns(table(spark, sf_dir, "conversations"))

@@ -1,0 +1,122 @@
+"""SentencePiece encoding and decoding against the library."""
+
+import hashlib
+import random
+
+import pyarrow as pa
+import pytest
+import sentencepiece
+from llm_rows import awkward  # noqa: F401
+
+from rolesift.llm import pieces
+from rolesift.llm.pieces import Decoder, Encoder, Vocabulary, decode, encode, load
+from rolesift.llm.queries import op11_pieces
+from rolesift.llm.token_counts import vocabulary_path
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(pieces.MODEL))
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return load()
+
+
+def want(library, docs):
+    texts = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    return sorted(((i, library.encode(t), library.decode(library.encode(t))) for i, t in texts), key=repr)
+
+
+def got(docs, vocabulary):
+    return sorted(((r.doc_id, r.ids, r.decoded) for r in decode(encode(docs, vocabulary), vocabulary).collect()), key=repr)
+
+
+def test_query_over_the_test_table(spark, library):
+    found = {r.doc_id: r for r in op11_pieces(spark, SF_DIR).collect()}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    assert len(found) == len(docs)
+    for row in docs:
+        ids = library.encode(row.text or "")
+        r = found[row.doc_id]
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_awkward_rows(awkward, library, vocabulary, monkeypatch):
+    assert got(awkward, vocabulary) == want(library, awkward)
+    assert got(awkward.limit(0), vocabulary) == []
+    monkeypatch.setattr(pieces, "GROUP_BYTES", 7)
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 1)
+    assert got(awkward, vocabulary) == want(library, awkward)
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    alphabets = [
+        "ab", "the in er on", "▁ ▁ a", " \t\n\r\x00", "0123456789.,", "éüñßçа́бв日本語𝒳👩‍👩‍👧​́",
+        "<s></s><unk><0x0A>", "aaaabbbb    ", "".join(map(chr, range(32, 127))),
+    ]
+    for k in range(n):
+        alphabet = alphabets[k % len(alphabets)]
+        yield "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+
+
+def test_random_texts(spark, library, vocabulary):
+    texts = list(random_texts(3, 4000))
+    encoder = Encoder(vocabulary)
+    for text in texts[:1000]:
+        assert encoder.encode(text) == library.encode(text), repr(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(docs, vocabulary) == want(library, docs)
+
+
+def test_every_piece_comes_out_as_the_library_says(library, vocabulary):
+    encoder = Encoder(vocabulary)
+    for piece in vocabulary.pieces:
+        assert encoder.encode(piece) == library.encode(piece)
+
+
+def test_long_texts(spark, library, vocabulary):
+    """Also without a space, and of nothing but spaces: time is linear."""
+    texts = ["ab" * 500_000, " " * 300_000, "日本語" * 100_000, "word " * 400_000, "x" * 1_000_001]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(docs, vocabulary) == want(library, docs)
+
+
+def test_any_merge_order(monkeypatch):
+    """Vocabularies whose scores follow no rule, against plain merging."""
+    rng = random.Random(8)
+    for _ in range(150):
+        letters = "abc"[: rng.choice([1, 2, 3])]
+        grown = {"".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(12)}
+        scores = {p: float(rng.randrange(6)) for p in grown | set(letters[:2])}
+        names = tuple(scores)
+        encoder = Encoder(Vocabulary(names, scores, {p: i for i, p in enumerate(names)}, -1, 99, frozenset()))
+        for _ in range(30):
+            text = "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
+            assert encoder.split(text) == encoder.merged(text), (scores, text)
+
+
+def test_decoding_any_ids(spark, library, vocabulary):
+    rng = random.Random(4)
+    lists = [[rng.randrange(32_000) for _ in range(rng.randrange(12))] for _ in range(300)]
+    lists += [[rng.randrange(300) for _ in range(rng.randrange(12))] for _ in range(300)]
+    lists += [[1, 28705, 2], [0], [259, 259], [1, 259], [], [3 + 0xE2, 3 + 0x82], [28705, 3 + 0xC3, 3 + 0xA9]]
+    decoder = Decoder(vocabulary)
+    found = decoder.texts(pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+    assert found == [library.decode(ids) for ids in lists]
+    assert found == [decoder.texts(pa.array([ids], pa.list_(pa.int32()))).to_pylist()[0] for ids in lists]
+    df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in decode(df, vocabulary).collect()] == ["", ""]
+    with pytest.raises(ValueError):
+        decoder.texts(pa.array([[32_000]], pa.list_(pa.int32())))
+
+
+def test_other_models_are_refused():
+    with pytest.raises(Exception):
+        load("byte_bpe_50k.json")

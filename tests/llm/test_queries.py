@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 def test_registered():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(driver.queries())
     assert set(oracle.SQL) <= set(names) & set(driver.oracle_sql())
 
