@@ -15,13 +15,14 @@ few characters, once for each pair and task; the table of last pieces, read from
 the end, gives the ids. The time is linear in the word, and nothing is kept of a
 prefix but its last piece.
 
-If no piece has a space anywhere but at its start, a text is as good as its words,
-runs of spaces with what follows, and each distinct word of some megabytes of text
+No merge crosses two neighbouring characters that stand side by side in no piece.
+There a text is cut into words, and each distinct word of some megabytes of text
 is encoded once."""
 
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"  # what a model writes for a space
 GROUP_BYTES = 4 << 20
 #: Bounds of what a task remembers, all of which it can find again.
-KNOWN_WORDS, KNOWN_WORD_BYTES, KNOWN_PAIRS = 100_000, 64, 200_000
+KNOWN_WORDS, KNOWN_WORD_BYTES, KNOWN_PAIRS = 300_000, 64, 400_000
+CHUNK_BYTES = 256 << 10  # of words encoded at a time
 ENCODED = "doc_id bigint, ids array<int>"
 DECODED = "doc_id bigint, ids array<int>, decoded string"
 
@@ -55,9 +57,21 @@ class Vocabulary:
     unknown: int
     control: frozenset[int]
 
-    @property
-    def cuts_at_spaces(self) -> bool:
-        return not any(SPACE in p.lstrip(SPACE) for p in self.scores)
+    def together(self) -> np.ndarray:
+        """For two neighbouring bytes of a text, whether a piece can have both
+        characters. Bytes of characters beyond ASCII are taken to go with all,
+        but for a space, if all pieces have theirs in front."""
+        found = np.zeros((256, 256), dtype=bool)
+        found[128:, :] = found[:, 128:] = True
+        space = ord(" ")
+        if not any(SPACE in p.lstrip(SPACE) for p in self.scores):
+            found[128:, space] = False
+        for piece in self.scores:
+            raw = piece.replace(SPACE, " ").encode()
+            for x, y in zip(raw, raw[1:], strict=False):
+                if x < 128 and y < 128:
+                    found[x, y] = True
+        return found
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -93,15 +107,28 @@ def load(model: str = MODEL) -> Vocabulary:
 
 
 class Encoder:
-    """Ids of texts. Remembers what it found out about pairs of pieces."""
+    """Ids of texts. Remembers what it found out about pairs of pieces.
+
+    Pieces are their ids here; a character without a piece is a number below
+    ``START``, which stands for the start of a word."""
+
+    START = -1
+    #: Between words; no text has it, and so no piece.
+    BETWEEN = "\ud800"
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.sizes = [len(p) for p in vocabulary.pieces]
         self.automaton = ahocorasick.Automaton()
         for piece in vocabulary.scores:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, vocabulary.ids[piece])
         self.automaton.make_automaton()
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known: dict[int, bool] = {}
+
+    def name(self, number: int) -> str:
+        if number == self.START:
+            return ""
+        return self.vocabulary.pieces[number] if number >= 0 else chr(-number - 2)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a few characters, by merging them."""
@@ -116,55 +143,68 @@ class Encoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, before: str, piece: str) -> bool:
+    def fits(self, before: int, piece: int) -> bool:
         """Whether two pieces stay as they are side by side. At the start of a
-        word, ``before`` is empty and the piece has to come out by itself."""
-        pair = (before, piece)
-        found = self.known.get(pair)
-        if found is None:
-            if len(self.known) >= KNOWN_PAIRS:
-                self.known.clear()
-            found = self.known[pair] = self.merged(before + piece) == [p for p in pair if p]
-        return found
+        word the piece has to come out by itself."""
+        pair = [self.name(before), self.name(piece)]
+        return self.merged("".join(pair)) == [p for p in pair if p]
+
+    def _table(self, words: str) -> array:
+        """For each prefix its last piece; ``START`` after what is between words."""
+        codes = -2 - np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        codes[codes == -2 - ord(self.BETWEEN)] = self.START
+        last = array("i", [self.START])
+        last.frombytes(codes.tobytes())
+        known, sizes, n = self.known, self.sizes, len(self.sizes)
+        if len(known) >= KNOWN_PAIRS:
+            known.clear()
+        found = known.get
+        for end, piece in self.automaton.iter(words):
+            # Below zero the character alone, until a piece fits.
+            if last[end + 1] < 0:
+                before = last[end + 1 - sizes[piece]]
+                fits = found(before * n + piece)
+                if fits is None:
+                    fits = known[before * n + piece] = self.fits(before, piece)
+                if fits:
+                    last[end + 1] = piece
+        return last
+
+    def numbers(self, words: str) -> np.ndarray:
+        """The pieces of words, and ``START`` between two of them."""
+        last, sizes, at, back = self._table(words), self.sizes, len(words), []
+        while at:
+            piece = last[at]
+            back.append(piece)
+            at -= sizes[piece] if piece >= 0 else 1
+        return np.array(back, dtype=np.int32)[::-1]
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has. A character
+        without a piece is its bytes, if the model has those, and else unknown."""
+        ids = self.numbers(self.BETWEEN.join(words))
+        word = np.cumsum(ids == self.START)
+        word, ids = word[ids != self.START], ids[ids != self.START]
+        strange = np.flatnonzero(ids < 0)
+        if len(strange):
+            v = self.vocabulary
+            parts, low = [], 0
+            sizes = np.ones(len(ids), dtype=np.int64)
+            for k in strange:
+                raw = self.name(int(ids[k])).encode()
+                one = [v.bytes_at + x for x in raw] if v.bytes_at >= 0 else [v.unknown]
+                parts += [ids[low:k], np.array(one, dtype=np.int32)]
+                sizes[k], low = len(one), k + 1
+            ids, word = np.concatenate([*parts, ids[low:]]), np.repeat(word, sizes)
+        return ids, np.bincount(word, minlength=len(words))
 
     def split(self, word: str) -> list[str]:
         """The pieces of a word or text, spaces written as the model does."""
-        last: list[str] = [""] * (len(word) + 1)
-        done = 0  # prefixes up to this length have their last piece
-        for end, size in self.automaton.iter(word):
-            while done < end:
-                done += 1
-                # No piece ends here, or none fits: the character alone.
-                last[done] = last[done] or word[done - 1]
-            if not last[end + 1]:
-                start = end + 1 - size
-                if self.fits(last[start], word[start : end + 1]):
-                    last[end + 1] = word[start : end + 1]
-        for at in range(done + 1, len(word) + 1):
-            last[at] = last[at] or word[at - 1]
-        found, at = [], len(word)
-        while at:
-            found.append(last[at])
-            at -= len(last[at])
-        return found[::-1]
-
-    def ids_of(self, word: str) -> list[int]:
-        """Ids of a word. A character without a piece is its bytes, if the model
-        has those, and otherwise unknown."""
-        found: list[int] = []
-        for piece in self.split(word):
-            number = self.vocabulary.ids.get(piece)
-            if number is not None:
-                found.append(number)
-            elif self.vocabulary.bytes_at >= 0:
-                found += [self.vocabulary.bytes_at + b for b in piece.encode()]
-            else:
-                found.append(self.vocabulary.unknown)
-        return found
+        return [self.name(int(n)) for n in self.numbers(word)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, in one go."""
-        return self.ids_of(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.ids([SPACE + text.replace(" ", SPACE)])[0].tolist() if text else []
 
 
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -184,50 +224,65 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def _words(data: np.ndarray, bounds: np.ndarray, cut: bool) -> np.ndarray:
-    """Where the words start: at the first space of each run and at each text."""
+def _words(data: np.ndarray, bounds: np.ndarray, together: np.ndarray) -> np.ndarray:
+    """Where the words start, and the end of the last."""
     starts = np.zeros(len(data) + 1, dtype=bool)
-    if cut:
-        space = data == ord(" ")
-        starts[:-1] = space
-        starts[1:-1] &= ~space[:-1]
+    starts[1:-1] = ~together[data[:-1], data[1:]]
     starts[bounds] = True
     return np.append(np.flatnonzero(starts[:-1]), len(data))
 
 
 class _Words:
-    """Ids of the distinct words of a task."""
+    """Ids of distinct words, many at a time. Remembers short ones."""
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
-        self.known: dict[bytes, list[int]] = {}
-
-    def __call__(self, word: bytes) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            found = self.encoder.ids_of(word.decode("utf-8", "replace").replace(" ", SPACE))
-            if len(word) <= KNOWN_WORD_BYTES:
-                if len(self.known) >= KNOWN_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+        self.known: dict[bytes, bytes] = {}
+
+    def _find(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace").replace(" ", SPACE) for w in new]
+        ids, sizes = self.encoder.ids(texts)
+        ends, raw = (4 * np.cumsum(sizes)).tolist(), ids.astype(np.int32).tobytes()
+        self.known.update(
+            zip(new, [raw[low:high] for low, high in zip([0, *ends], ends, strict=False)], strict=True)
+        )
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes of 32-bit numbers."""
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        chunk, size = [], 0
+        for word in words:
+            if word not in self.known:
+                chunk.append(word)
+                size += len(word)
+                if size >= CHUNK_BYTES:
+                    self._find(chunk)
+                    chunk, size = [], 0
+        if chunk:
+            self._find(chunk)
+        found = [self.known[w] for w in words]
+        for word in words:
+            if len(word) > KNOWN_WORD_BYTES:
+                del self.known[word]
         return found
 
 
-def _ids(texts: pa.Array, words: _Words, cut: bool) -> pa.Array:
+def _ids(texts: pa.Array, words: _Words, together: np.ndarray) -> pa.Array:
     """Lists of ids of an array of large strings."""
     # With a space in front, and the model's own mark read as a space.
     front = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ").cast(pa.large_string())
     none = pa.scalar("", pa.large_string())
     texts = pc.replace_substring(pc.binary_join_element_wise(front, texts, none), SPACE, " ")
     data, bounds = _flat(texts)
-    starts = _words(data, bounds, cut)
+    starts = _words(data, bounds, together)
     every = pa.Array.from_buffers(
         pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]
     ).dictionary_encode()
-    found = [words(w) for w in every.dictionary.to_pylist()]
+    found = words(every.dictionary.to_pylist())
     which = every.indices.to_numpy()
-    sizes = np.array([len(f) for f in found], dtype=np.int64)
-    flat = np.array([i for f in found for i in f], dtype=np.int32)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat = np.frombuffer(b"".join(found), np.int32)
     firsts = np.cumsum(sizes) - sizes
     counts = sizes[which]
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -244,13 +299,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cut = _Words(Encoder(vocabulary)), vocabulary.cuts_at_spaces
+        words, together = _Words(Encoder(vocabulary)), vocabulary.together()
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
             for part in _slices(batch, sizes):
                 texts = pc.fill_null(part.column("text"), "").cast(pa.large_string())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), _ids(texts, words, cut)], names=["doc_id", "ids"]
+                    [part.column("doc_id"), _ids(texts, words, together)], names=["doc_id", "ids"]
                 )
 
     return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, ENCODED)
