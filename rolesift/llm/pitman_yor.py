@@ -45,6 +45,7 @@ SAMPLES = 3
 BURN_IN = 3
 STRENGTH = 1.0
 ONE_BY_ONE = 64
+FEW = 2  # rows of a block or bucket in a task, on average
 END = np.uint64(0x2545F4914F6CDD1D)  # stands for the end of a text, and as a context for its start
 BLOCKS = (
     "block string, doc_ids array<bigint>, held binary, sizes binary, tokens binary, "
@@ -515,8 +516,11 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
         f"{path}/blocks"
     )
     blocks = spark.read.parquet(f"{path}/blocks")
-    n_pairs = int(blocks.agg(F.sum("n_pairs")).first()[0] or 0)
-    buckets = bucket_count(6 * n_pairs)
+    n_blocks, n_pairs = blocks.agg(F.count("*"), F.sum("n_pairs")).first()
+    buckets = bucket_count(6 * int(n_pairs or 0))
+    # A row is some megabytes, and a task hands all of its rows to Python at once:
+    # so few to a task that these fit in memory, however many there are.
+    few_blocks, few_buckets = max(1, n_blocks // FEW), max(1, buckets // FEW)
     (
         blocks.select("block", "words", "spread", "contexts", "counts")
         .mapInArrow(_requests(buckets), REQUESTS)
@@ -551,7 +555,8 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
     )
     (
         merged.select("bucket", "word", "context", "counts")
-        .join(of_all_buckets(merged, contexts, False), "bucket")
+        .repartition(few_buckets, "bucket")
+        .join(of_all_buckets(merged, contexts, False).repartition(few_buckets, "bucket"), "bucket")
         .mapInArrow(_sampled(corpus, seed), SEATED)
         .write.parquet(f"{path}/seats")
     )
@@ -566,11 +571,18 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
         totals[r["k"]] = r["tables"], r["root"]
     replies = (
         merged.select("bucket", "word", "context", "counts", "blocks", "places")
-        .join(seated.select("bucket", "seats", "root_seats", "customers"), "bucket")
-        .join(of_all_buckets(seated, contexts, True), "bucket")
+        .repartition(few_buckets, "bucket")
+        .join(
+            seated.select("bucket", "seats", "root_seats", "customers").repartition(
+                few_buckets, "bucket"
+            ),
+            "bucket",
+        )
+        .join(of_all_buckets(seated, contexts, True).repartition(few_buckets, "bucket"), "bucket")
         .mapInArrow(
             _answers(corpus, totals), "block string, bucket int, scores binary, counts binary"
         )
+        .repartition(few_blocks, "block")
         .groupBy("block")
         .agg(
             F.array_sort(F.collect_list(F.struct("bucket", "scores", "counts"))).alias("replies")
@@ -578,6 +590,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
     )
     return (
         blocks.select("block", "doc_ids", "held", "sizes", "tokens")
+        .repartition(few_blocks, "block")
         .join(replies, "block")
         .mapInArrow(_sum_up(corpus.n_tokens, n_words), SCORES)
     )
