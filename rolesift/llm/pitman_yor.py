@@ -192,7 +192,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([pack(total)], pa.binary()),
                 pa.array([[r["block"] for r in rows]], pa.list_(pa.string())),
                 pa.array(
-                    [[pack(place[a:b].astype(np.int32)) for a, b in zip(at, at[1:], strict=False)]],
+                    # A block's pairs are in the bucket's order, so places ascend.
+                    [[_pack_sorted(place[a:b].astype(np.int32)) for a, b in zip(at, at[1:], strict=False)]],
                     pa.list_(pa.binary()),
                 ),
                 pa.array([_pack_sorted(heads)], pa.binary()),
@@ -451,7 +452,7 @@ def _answers(corpus: Corpus, totals: np.ndarray):
                 blocks = batch.column("blocks")[i].as_py()
                 replies = []
                 for places in batch.column("places")[i].as_py():
-                    place = unpack(places)
+                    place = _unpack_sorted(places)
                     replies.append((pack(score[place]), pack(per_word[word[place]])))
                 yield pa.RecordBatch.from_arrays(
                     [
