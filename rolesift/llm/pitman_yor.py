@@ -13,7 +13,7 @@ the dish's customers are seated in the same way. Probabilities are averaged over
 ``SAMPLES`` seatings after ``BURN_IN`` sweeps.
 
 How it is spread out. Blocks of documents keep their tokens as numbers into the
-block's distinct (context, word) pairs, and ask about each pair once. All that
+block's distinct words, and ask about each distinct (context, word) pair once. All that
 is asked about a word meets in one bucket: the counts of its pairs, so its
 dishes in every restaurant and in the parent. Buckets number the contexts they
 hold and ask for their restaurants' totals, which are summed in buckets of
@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.llm.arrays import text_groups, words_of
+from rolesift.llm.arrays import Texts, text_groups, words_of
 from rolesift.llm.blocks import ask, bucket_count, grouped, new_block, pack, unpack
 from rolesift.session import shared_dir
 
@@ -49,7 +49,7 @@ FEW = 2  # rows of a block or bucket in a task, on average
 END = np.uint64(0x2545F4914F6CDD1D)  # stands for the end of a text, and as a context for its start
 BLOCKS = (
     "block string, doc_ids array<bigint>, held binary, sizes binary, tokens binary, "
-    "words binary, spread binary, contexts binary, counts binary, n_pairs bigint"
+    "words binary, n_tokens bigint"
 )
 
 
@@ -70,43 +70,54 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
 # Blocks of documents
 
 
+def _tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's words and of its end, and how many it has."""
+    found = words_of(texts, lower=True)
+    sizes = np.diff(found.bounds) + 1
+    ends = np.cumsum(sizes) - 1
+    token = np.empty(ends[-1] + 1, dtype=np.uint64)
+    is_end = np.zeros(len(token), dtype=bool)
+    is_end[ends] = True
+    token[is_end], token[~is_end] = END, found.hashes
+    return token, sizes
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks keep their tokens as numbers of their words. Their pairs follow from
+    that, and are found again where they are needed rather than kept."""
     for batch in batches:
         ids = batch.column("doc_id")
         held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for texts in text_groups(batch.column("text")):
             rows = len(texts)
             out = held[texts.first : texts.first + rows]
-            found = words_of(texts, lower=True)
-            sizes = np.diff(found.bounds) + 1
-            # Each text's words, and its end.
-            ends = np.cumsum(sizes) - 1
-            token = np.empty(ends[-1] + 1, dtype=np.uint64)
-            is_end = np.zeros(len(token), dtype=bool)
-            is_end[ends] = True
-            token[is_end], token[~is_end] = END, found.hashes
+            token, sizes = _tokens(texts)
             words, word = np.unique(token, return_inverse=True)
-            context = np.roll(word, 1)  # before a text is the end of another
-            pairs, place = np.unique(word * len(words) + context, return_inverse=True)
-            learns = np.repeat(~out, sizes)
-            counts = np.bincount(place[learns], minlength=len(pairs))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([new_block()]),
                     pa.array([ids.slice(texts.first, rows).to_pylist()], pa.list_(pa.int64())),
                     pa.array([pack(out.astype(np.uint8))], pa.binary()),
                     pa.array([pack(sizes.astype(np.int64))], pa.binary()),
-                    pa.array([pack(place.astype(np.int32))], pa.binary()),
+                    pa.array([pack(word.astype(np.int32))], pa.binary()),
                     pa.array([_pack_sorted(words)], pa.binary()),
-                    pa.array([pack(np.bincount(pairs // len(words)).astype(np.int32))], pa.binary()),
-                    pa.array([pack((pairs % len(words)).astype(np.int32))], pa.binary()),
-                    pa.array([pack(counts.astype(np.int32))], pa.binary()),
-                    pa.array([len(pairs)], pa.int64()),
+                    pa.array([len(word)], pa.int64()),
                 ],
                 names=[x.split(" ")[0] for x in BLOCKS.split(", ")],
             )
 
 
+def _pairs(tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's tokens: the word and the context of each of its pairs, in
+    order, and the pair of each token. Every word of a block is a token."""
+    word = unpack(tokens).astype(np.int64)
+    n = int(word.max()) + 1
+    keys = np.roll(word, 1)  # before a text is the end of another
+    keys += word * n
+    pairs, place = np.unique(keys, return_inverse=True)
+    return pairs // n, pairs % n, place
+
+
 def _slices(words: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins among sorted words: buckets are ranges of hashes."""
     edges = [min((b << 64) // buckets, 2**64 - 1) for b in range(buckets)]
@@ -118,9 +129,11 @@ def _requests(buckets: int):
         for batch in batches:
             for i, block in enumerate(batch.column("block").to_pylist()):
                 words = _unpack_sorted(batch.column("words")[i].as_py())
-                spread, contexts, counts = (
-                    unpack(batch.column(c)[i].as_py()) for c in ("spread", "contexts", "counts")
-                )
+                held, sizes = (unpack(batch.column(c)[i].as_py()) for c in ("held", "sizes"))
+                word, contexts, place = _pairs(batch.column("tokens")[i].as_py())
+                learns = np.repeat(held == 0, sizes)
+                counts = np.bincount(place[learns], minlength=len(word)).astype(np.int32)
+                spread = np.bincount(word).astype(np.int32)
                 at = _slices(words, buckets)
                 pair_at = np.concatenate([[0], np.cumsum(spread, dtype=np.int64)])
                 made: list[list] = [[] for _ in range(5)]
@@ -481,7 +494,7 @@ def _sum_up(n_tokens: int, n_words: int):
                 score = np.concatenate([unpack(r["scores"]) for r in replies]).astype(np.float64)
                 count = np.concatenate([unpack(r["counts"]) for r in replies])
                 base = np.log10((count + 1) / (n_tokens + 1 * (n_words + 1)))
-                token = unpack(batch.column("tokens")[i].as_py())
+                _, _, token = _pairs(batch.column("tokens")[i].as_py())
                 sizes = unpack(batch.column("sizes")[i].as_py())
                 held = unpack(batch.column("held")[i].as_py()).astype(bool)
                 at = np.cumsum(sizes) - sizes  # no text is without tokens
@@ -517,13 +530,13 @@ def score_documents(docs: DataFrame, held: Column | None = None, seed: int = 0)
         f"{path}/blocks"
     )
     blocks = spark.read.parquet(f"{path}/blocks")
-    n_blocks, n_pairs = blocks.agg(F.count("*"), F.sum("n_pairs")).first()
-    buckets = bucket_count(6 * int(n_pairs or 0))
+    n_blocks, n_all = blocks.agg(F.count("*"), F.sum("n_tokens")).first()
+    buckets = bucket_count(4 * int(n_all or 0))
     # A row is some megabytes, and a task hands all of its rows to Python at once:
     # so few to a task that these fit in memory, however many there are.
     few_blocks, few_buckets = max(1, n_blocks // FEW), max(1, buckets // FEW)
     (
-        blocks.select("block", "words", "spread", "contexts", "counts")
+        blocks.select("block", "held", "sizes", "tokens", "words")
         .mapInArrow(_requests(buckets), REQUESTS)
         .repartition("bucket")
         .sortWithinPartitions("bucket", "block")

@@ -84,7 +84,7 @@ def test_normalised_per_context():
     batch = pa.RecordBatch.from_pylist([{
         "bucket": 0, "word": pack(word.astype(np.int32)), "context": pack(context.astype(np.uint16)),
         "counts": pack(counts_.astype(np.int64)), "blocks": ["b"],
-        "places": [pack(np.arange(len(word), dtype=np.int32))],
+        "places": [pitman_yor._pack_sorted(np.arange(len(word), dtype=np.int32))],
     }])
     seated = list(pitman_yor._sampled(corpus, 1)([batch]))[0].to_pylist()[0]
     totals = np.array(seated["sums"], dtype=float)
