@@ -80,6 +80,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
   sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+""",
+    "op12_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id,
+    list(md5(length(role) || ':' || role || ':' || text) ORDER BY turn NULLS FIRST, role, text) AS keys,
+    list(CAST(strlen(text) AS BIGINT) ORDER BY turn NULLS FIRST, role, text) AS sizes
+  FROM t GROUP BY conv_id
+), h AS (
+  SELECT *, CAST(xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT,
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+      lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))
+  )) % 9 AS INTEGER) AS h
+  FROM own
+), r AS (
+  SELECT o.conv_id,
+    list_concat(coalesce(b.keys[1:o.h], []), o.keys[o.h + 1:]) AS keys,
+    list_concat(coalesce(b.sizes[1:o.h], []), o.sizes[o.h + 1:]) AS sizes
+  FROM h o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), d AS (
+  SELECT *, unnest(range(0, len(keys) + 1)) AS depth FROM r
+), m AS (
+  SELECT conv_id, depth, len(keys) = depth AS ends_here,
+    md5(array_to_string(keys[1:depth], ',')) AS node,
+    CASE WHEN depth > 0 THEN md5(array_to_string(keys[1:depth - 1], ',')) END AS up,
+    CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS bytes
+  FROM d
+), n AS (
+  SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (WHERE ends_here), '')) AS ends_sha256
+  FROM m GROUP BY depth, node
+), c AS (
+  SELECT depth - 1 AS depth, up AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), v AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, node)
+), s AS (
+  SELECT a.depth, a.node, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves,
+    sum((v.n_convs - 1) * v.bytes) AS saved_tokens
+  FROM v JOIN m a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.depth, a.node
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs,
+  v.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (depth, node) LEFT JOIN v p ON p.depth = v.depth - 1 AND p.node = v.up
 """,
     "op13_fill_in_middle": """
 WITH u AS (
