@@ -1,6 +1,41 @@
 """The queries of this subpackage as DuckDB SQL, where SQL can express them."""
 
+# Control strings of the chat template. Each one in a text, and each
+# backslash, is a character more when it is escaped.
+_CONTROLS = ["<sys>", "</sys>", "[INST]", "[/INST]", "<s>", "</s>", "{{role", "=}}", "{{/role}}", "\\"]
+_ESCAPES = "(" + " + ".join(
+    f"(length({{x}}) - length(replace({{x}}, '{c}', ''))) // length('{c}')" for c in _CONTROLS
+) + ")"
+
 SQL = {
+    "op1_format_chats": f"""
+WITH every AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM every
+), w AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+    lead(n) OVER (PARTITION BY conv_id ORDER BY n) IS NULL AS is_last,
+    length(text) + {_ESCAPES.format(x="text")} + CASE role
+      WHEN 'system' THEN 6 + 8 WHEN 'user' THEN 7 + 9 WHEN 'assistant' THEN 3 + 5
+      ELSE 6 + length(role) + {_ESCAPES.format(x="role")} + 3 + 8 END AS size
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before IS NULL
+    WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+    WHEN 'assistant' THEN before = 'user' ELSE false END IS TRUE
+    AND (NOT is_last OR role IN ('user', 'assistant'))) AS valid
+FROM w GROUP BY conv_id
+""",
     "op6_mix_sources": """
 WITH d AS (
   SELECT doc_id, source,
