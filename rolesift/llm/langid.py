@@ -9,14 +9,16 @@ stretch of another language is labelled as such: forward-backward gives every
 word of code-switched text its own probabilities. A document's language is the
 one its words expect most.
 
-The model is fitted on a bounded sample (``DOCS_PER_LANGUAGE`` documents of each
-of at most ``MOST_LANGUAGES`` languages, ``SNIPPET`` characters of each, chosen
+The model is fitted on a bounded sample of every language that labels a row
+(``DOCS_PER_LANGUAGE`` documents of each, ``SNIPPET`` characters of each, chosen
 by hash), with sequences spliced from two languages, so that transitions are
-learned from switches at known places. It has a fixed size, some two megabytes,
-and goes to the tasks with the function. Prediction covers whole texts in one
-pass, without a shuffle; scores are computed once for each distinct word of some
-megabytes of text, and the recursions run over all its positions in blocks. (A
-text of more than ``MOST_WORDS`` words is cut into chains of so many.)
+learned from switches at known places. Its size follows from the number of
+languages alone, a quarter of a megabyte for each, and it goes to the tasks with
+the function. Prediction covers whole texts in one pass, without a shuffle;
+scores are computed once for each distinct word of some megabytes of text, and
+the recursions run over all its positions in blocks. A text is one chain, however
+long: the recursions work it off in parts of ``CELLS`` probabilities and carry
+their vectors over each edge, forwards and then backwards.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from pyspark.sql import types as T
 from rolesift.llm.arrays import LOWER, Texts, mix, text_groups, words_of
 
 DOCS_PER_LANGUAGE = 300
-MOST_LANGUAGES = 64
 SNIPPET = 600
 LEAST_SEEN = 2  # times a word must occur in the sample to enter the lexicon
 SEQUENCE = 24  # words of a training sequence
@@ -46,7 +47,8 @@ RATE = 0.15
 DECAY = 1e-4
 BLOCK = 256
 GROUP_BYTES = 3 << 20  # text handled at a time
-MOST_WORDS = 1 << 20  # words of a chain; a longer text is several
+CELLS = 1 << 22  # probabilities that the recursions hold at a time
+SPARE = 2  # times the documents taken that the sample's range of hashes holds
 UNKNOWN = "und"
 
 #: Bytes that are not part of a word: ASCII but for letters.
@@ -139,74 +141,118 @@ def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
 
 
 def recursions(
-    scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, starts: np.ndarray
+    scores: np.ndarray,
+    first: np.ndarray,
+    transitions: np.ndarray,
+    starts: np.ndarray,
+    enter: np.ndarray | None = None,
+    leave: np.ndarray | None = None,
+    chains: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward vectors (position, language) of many chains laid end
     to end, and the positions' factors; ``first`` marks where a chain begins.
-    Each vector is scaled to sum to one.
+    Each vector is scaled to sum to one. ``enter`` is the forward vector before
+    the first position and ``leave`` the backward vector at the last, if the
+    positions are a part of a longer chain.
 
     The recursions run in blocks handled side by side: products of each block's
     steps, then from block to block, then inside the blocks. It is the plain
-    recursion in another order of multiplication."""
+    recursion in another order of multiplication. With ``chains``, the length of
+    each, a chain is a block, and products are not needed."""
     n, k = scores.shape
-    width = int(min(BLOCK, max(1, n**0.5)))
-    blocks = -(-n // width)
-    e = np.ones((blocks * width, k))
-    np.exp(scores - scores.max(axis=1, keepdims=True), out=e[:n])
-    begins = np.ones(blocks * width, dtype=bool)  # what fills the last block is no chain's end
-    begins[:n] = first
-    e = np.ascontiguousarray(e.reshape(blocks, width, k).swapaxes(0, 1))
-    begins = np.ascontiguousarray(begins.reshape(blocks, width).T)
+    if chains is None:
+        width = int(min(BLOCK, max(1, n**0.5)))
+        sizes = np.minimum(width, n - np.arange(0, n, width))
+    else:
+        width, sizes = int(chains.max()), chains
+    blocks = len(sizes)
+    filled = np.arange(width) < sizes[:, None]
+    e = np.ones((blocks, width, k))
+    e[filled] = np.exp(scores - scores.max(axis=1, keepdims=True))
+    begins = np.zeros((blocks, width), dtype=bool)
+    begins[filled] = first
+    e = np.ascontiguousarray(e.swapaxes(0, 1))
+    begins, idle = np.ascontiguousarray(begins.T), np.ascontiguousarray(~filled.T)
     a = np.exp(transitions - transitions.max())
     s = np.exp(starts - starts.max())
-    product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
-    for t in range(width):
-        step = (product.reshape(-1, k) @ a).reshape(blocks, k, k)
-        if begins[t].any():
-            step[begins[t]] = product[begins[t]].sum(axis=2)[:, :, None] * s
-        step *= e[t][:, None, :]
-        product = step / step.max(axis=(1, 2), keepdims=True)
-    enter = np.ones((blocks, k))
-    for b in range(1, blocks):
-        v = enter[b - 1] @ product[b - 1]
-        enter[b] = v / v.sum()
-    leave = np.ones((blocks, k))
-    for b in range(blocks - 1, 0, -1):
-        v = product[b] @ leave[b]
-        leave[b - 1] = v / v.sum()
+    entering, leaving = np.ones((blocks, k)), np.ones((blocks, k))
+    if enter is not None:
+        entering[0] = enter
+    if leave is not None:
+        leaving[-1] = leave
+    if chains is None and blocks > 1:
+        product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
+        for t in range(width):
+            step = (product.reshape(-1, k) @ a).reshape(blocks, k, k)
+            if begins[t].any():
+                step[begins[t]] = product[begins[t]].sum(axis=2)[:, :, None] * s
+            step *= e[t][:, None, :]
+            step[idle[t]] = product[idle[t]]
+            product = step / step.max(axis=(1, 2), keepdims=True)
+        for b in range(1, blocks):
+            v = entering[b - 1] @ product[b - 1]
+            entering[b] = v / v.sum()
+        for b in range(blocks - 1, 0, -1):
+            v = product[b] @ leaving[b]
+            leaving[b - 1] = v / v.sum()
     forward, backward = np.empty((width, blocks, k)), np.empty((width, blocks, k))
-    alpha = enter
+    alpha = entering
     for t in range(width):
         step = alpha @ a
         if begins[t].any():
             step[begins[t]] = s
         step *= e[t]
+        step[idle[t]] = alpha[idle[t]]
         forward[t] = alpha = step / step.sum(axis=1, keepdims=True)
-    beta = leave
+    beta = leaving
     for t in range(width - 1, -1, -1):
         backward[t] = beta
         step = (beta * e[t]) @ a.T
         step[begins[t]] = 1.0
+        step[idle[t]] = beta[idle[t]]
         beta = step / step.sum(axis=1, keepdims=True)
-    return tuple(x.swapaxes(0, 1).reshape(-1, k)[:n] for x in (forward, backward, e))
+    return tuple(x.swapaxes(0, 1)[filled] for x in (forward, backward, e))
 
 
 def marginals(
-    scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, starts: np.ndarray
+    scores: np.ndarray,
+    first: np.ndarray,
+    transitions: np.ndarray,
+    starts: np.ndarray,
+    row: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Probabilities (position, language) by forward-backward."""
-    if not len(scores):
-        return np.zeros(scores.shape)
-    forward, backward, _ = recursions(scores, first, transitions, starts)
-    p = forward * backward
-    return p / p.sum(axis=1, keepdims=True)
+    """Probabilities (position, language) by forward-backward; ``row`` is the row
+    of ``scores`` that each position has, if they are not in order."""
+    n, k = len(first), scores.shape[1]
+    p = np.empty((n, k))
+    size = max(1, CELLS // max(k, 1))
+    lows = range(0, n, size)
+
+    def part(low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        span = slice(low, low + size)
+        own = scores[span] if row is None else scores[row[span]]
+        return own, first[span], transitions, starts
+
+    enters = [np.ones(k)]
+    for low in lows[:-1]:
+        enters.append(recursions(*part(low), enter=enters[-1])[0][-1])
+    leave = np.ones(k)
+    for low, enter in zip(reversed(lows), reversed(enters), strict=False):
+        forward, backward, factors = recursions(*part(low), enter, leave)
+        both = forward * backward
+        p[low : low + size] = both / both.sum(axis=1, keepdims=True)
+        leave = (backward[0] * factors[0]) @ np.exp(transitions - transitions.max()).T
+        leave = np.ones(k) if first[low] else leave / leave.sum()
+    return p
 
 
 # Fitting
 
 
 def fit(samples: list[tuple[str, str]], seed: int = 0) -> Model:
-    """A model from (language, snippet) pairs; the order of pairs is no matter."""
+    """A model from (language, snippet) pairs; the order of pairs is no matter. It
+    runs on the driver, some chains at a time: memory grows with the number of
+    languages, time with its square and with the pairs."""
     samples = sorted(samples)
     languages = sorted({lang for lang, _ in samples})
     texts = next(text_groups(pa.array([t for _, t in samples], pa.large_string()), 1 << 40), None)
@@ -246,12 +292,14 @@ def fit(samples: list[tuple[str, str]], seed: int = 0) -> Model:
     ]
     chains = runs + spliced
     place = np.concatenate(chains)
+    lengths = np.array([len(c) for c in chains])
+    ends = np.cumsum(lengths)
     first = np.zeros(len(place), dtype=bool)
-    first[np.concatenate([[0], np.cumsum([len(c) for c in chains])[:-1]])] = True
+    first[ends - lengths] = True
     token, truth = word[place], label[place]
     flat, at = _spelled(texts.data, words.starts[where], words.ends[where])
-    parts = [*_features(flat, at), (_word_features(hashes), np.arange(v))]
-    keys, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    spelled = [*_features(flat, at), (_word_features(hashes), np.arange(v))]
+    keys, owner = (np.concatenate(x) for x in zip(*spelled, strict=True))
     used, keys = np.unique(keys, return_inverse=True)
     lexicon = _in_lexicon(model, hashes)
     inside = np.flatnonzero(lexicon >= 0)
@@ -260,27 +308,37 @@ def fit(samples: list[tuple[str, str]], seed: int = 0) -> Model:
     began = np.bincount(truth[first], minlength=k).astype(float)
     params = [np.zeros((len(used), k)), model.lexicon_weights, model.transitions, model.starts]
     squares = [np.full_like(p, 1e-8) for p in params]
-    wanted = np.zeros((len(place), k))
-    wanted[np.arange(len(place)), truth] = 1
+    some = max(1, CELLS // (k * SEQUENCE))
+    parts = [
+        (lengths[i : i + some], slice(ends[i] - lengths[i], ends[min(i + some, len(ends)) - 1]))
+        for i in range(0, len(lengths), some)
+    ]
     for _ in range(STEPS):
         w, lex, trans, start = params
         scores = np.stack([np.bincount(owner, w[keys, j], v) for j in range(k)], axis=1)
         scores[inside] += lex[lexicon[inside]]
-        e = scores[token]
-        forward, backward, factors = recursions(e, first, trans, start)
-        p = forward * backward
-        p /= p.sum(axis=1, keepdims=True)
-        on = np.flatnonzero(~first[1:])  # steps inside a chain
-        joint = forward[on][:, :, None] * np.exp(trans - trans.max())
-        joint *= (factors * backward)[on + 1][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        miss = p - wanted
-        by_word = np.stack([np.bincount(token, miss[:, j], v) for j in range(k)], axis=1)
+        by_word, steps, begun = np.zeros((v, k)), np.zeros((k, k)), np.zeros(k)
+        a = np.exp(trans - trans.max())
+        for sizes, span in parts:
+            words_, begins = token[span], first[span]
+            forward, backward, factors = recursions(
+                scores[words_], begins, trans, start, chains=sizes
+            )
+            p = forward * backward
+            p /= p.sum(axis=1, keepdims=True)
+            begun += p[begins].sum(axis=0)
+            # Expected steps inside chains: forward, transition, what follows.
+            on = np.flatnonzero(~begins[1:])
+            after = (factors * backward)[on + 1]
+            total = ((forward[on] @ a) * after).sum(axis=1, keepdims=True)
+            steps += a * ((forward[on] / total).T @ after)
+            p[np.arange(len(p)), truth[span]] -= 1
+            by_word += np.stack([np.bincount(words_, p[:, j], v) for j in range(k)], axis=1)
         grads = [
             np.stack([np.bincount(keys, by_word[owner, j], len(used)) for j in range(k)], axis=1),
             np.zeros((k, k)),
-            joint.sum(axis=0) - observed,
-            p[first].sum(axis=0) - began,
+            steps - observed,
+            begun - began,
         ]
         np.add.at(grads[1], lexicon[inside], by_word[inside])
         for param, square, grad in zip(params, squares, grads, strict=True):
@@ -292,33 +350,31 @@ def fit(samples: list[tuple[str, str]], seed: int = 0) -> Model:
 
 
 def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
-    """(language, snippet) of a bounded number of rows of ``docs`` (doc_id, text,
-    lang) for which ``usable`` holds: by hash of the id, so the same rows every
-    time. Ids are read first and texts only of the rows that may be chosen."""
+    """(language, snippet) of a bounded number of rows of each language of ``docs``
+    (doc_id, text, lang) for which ``usable`` holds: those with the least hashes
+    of the id, so the same rows every time. Documents are counted first; then
+    only those in a range of hashes that holds ``SPARE`` times as many as are
+    taken are ordered, so no task meets more, however many rows a language has.
+    The driver holds a row for each language, and the sample."""
     rows = docs.filter(usable & F.col("lang").isNotNull())
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    common = [r["lang"] for r in common.collect()]
-    if not common:
+    rows = rows.select("lang", "text", order.alias("order"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("order").alias("least"))
+    wanted = [
+        (r["lang"], min(1.0, SPARE * DOCS_PER_LANGUAGE / r["n"]), r["least"])
+        for r in counts.collect()
+    ]
+    if not wanted:
         return []
-    narrow = rows.filter(F.col("lang").isin(common)).select("lang", order.alias("order"))
-    by_lang = Window.partitionBy("lang").orderBy("order")
-    last = (
-        narrow.withColumn("n", F.row_number().over(by_lang))
-        .filter(F.col("n") <= DOCS_PER_LANGUAGE)
-        .groupBy("lang")
-        .agg(F.max("order").alias("order"))
-        .collect()
-    )
-    chosen = F.lit(False)
-    for r in last:
-        chosen |= (F.col("lang") == r["lang"]) & (order <= F.lit(r["order"]))
+    ranges = docs.sparkSession.createDataFrame(wanted, "lang string, share double, least bigint")
+    at = F.col("order").cast("double") / F.lit(2.0**64) + 0.5
     # Somewhere in the text, by hash, so that openings do not stand for texts.
     room = F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1
-    snippet = F.substring("text", (F.pmod(order, room) + 1).cast("int"), F.lit(SNIPPET))
+    snippet = F.substring("text", (F.pmod("order", room) + 1).cast("int"), F.lit(SNIPPET))
     picked = (
-        rows.filter(chosen)
-        .select("lang", order.alias("order"), snippet.alias("snippet"))
+        rows.join(F.broadcast(ranges), "lang")
+        .filter((at <= F.col("share")) | (F.col("order") == F.col("least")))
+        .select("lang", "order", snippet.alias("snippet"))
         .withColumn(
             "n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "snippet"))
         )
@@ -338,11 +394,7 @@ def label_words(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     scores = word_scores(model, texts.data, words.starts[where], words.ends[where], hashes)
     first = np.zeros(len(word), dtype=bool)
     first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
-    p = np.empty((len(word), len(model.languages)))
-    for low in range(0, len(word), MOST_WORDS):
-        part = slice(low, low + MOST_WORDS)
-        first[low] = True
-        p[part] = marginals(scores[word[part]], first[part], model.transitions, model.starts)
+    p = marginals(scores, first, model.transitions, model.starts, word)
     return p, words.bounds
 
 
@@ -424,7 +476,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """A prediction for each row of ``docs`` (doc_id, text): its language, ``und``
     if the text is null or has no letter or nothing was learned; the mean
     probability of that language over its words (0 for ``und``); words and
-    switches of language. Other columns are not read."""
+    switches of language. A text is one chain, whatever its length. Other columns
+    are not read."""
     return docs.select(
         "doc_id",
         "text",

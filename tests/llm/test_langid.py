@@ -44,6 +44,32 @@ def test_forward_backward(monkeypatch, block):
         assert np.allclose(got[end - size : end], want)
 
 
+@pytest.mark.parametrize("cells", [3, 12, 30])
+def test_chain_in_parts(monkeypatch, cells):
+    """Parts of one, four and ten words give what the whole chains give."""
+    rng = np.random.default_rng(cells)
+    scores = rng.normal(size=(57, 3)) * 3
+    transitions, starts = rng.normal(size=(3, 3)) * 2, rng.normal(size=3)
+    first = np.isin(np.arange(57), [0, 1, 20, 50])
+    row = rng.integers(0, 57, 57)
+    whole = langid.marginals(scores[row], first, transitions, starts)
+    assert np.allclose(whole[50:], brute_force(scores[row][50:], transitions, starts))
+    monkeypatch.setattr(langid, "CELLS", cells)
+    assert np.allclose(langid.marginals(scores, first, transitions, starts, row), whole)
+
+
+def test_evidence_crosses_parts(monkeypatch):
+    """Words that tell nothing follow the one word that does, parts away."""
+    scores = np.zeros((400, 2))
+    scores[0, 1] = 9.0
+    stay = np.log(np.array([[0.9999, 0.0001], [0.0001, 0.9999]]))
+    monkeypatch.setattr(langid, "CELLS", 20)
+    got = langid.marginals(scores, np.arange(400) == 0, stay, np.zeros(2))
+    assert (got[:, 1] > 0.9).all()
+    scores = scores[::-1].copy()
+    assert (langid.marginals(scores, np.arange(400) == 0, stay, np.zeros(2))[:, 1] > 0.9).all()
+
+
 def test_long_chains_do_not_underflow():
     scores = np.zeros((20_000, 2))
     scores[:, 0] = -50
@@ -136,3 +162,47 @@ def test_one_language_and_repeated_rows(spark):
     got = langid.identify(docs, langid.fit_on(docs))
     assert {(r.lang_pred, r.score) for r in got.collect()} == {("en", 1.0)}
     assert rows(got) == rows(langid.identify(docs, langid.fit_on(docs)))
+
+
+def test_more_languages_than_sixty_four(spark):
+    """Every language that labels a row is learned."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    docs = []
+    for lang in range(70):
+        own = ["".join(rng.choice(letters, 6)) for _ in range(12)]
+        for _ in range(9):
+            docs.append((len(docs), " ".join(rng.choice(own, 20)), f"l{lang:02}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit_on(df)
+    assert model.languages == [f"l{lang:02}" for lang in range(70)]
+    got = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id")
+    held = got.filter("held_out").collect()
+    assert len(held) > 70 and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+
+
+def test_long_text_is_one_chain(spark, model, monkeypatch):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id").limit(60)
+    texts = next(text_groups(pa.array([" ".join(r.text or "" for r in docs.collect())])))
+    whole, _ = langid.label_words(model, texts)
+    monkeypatch.setattr(langid, "CELLS", 4 * 97)
+    parts, bounds = langid.label_words(model, texts)
+    assert bounds[-1] > 5000
+    assert np.allclose(whole, parts)
+
+
+def test_sample_takes_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_PER_LANGUAGE", 40)
+    docs = spark.range(2000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") % 100 == 0, F.lit("rare")).otherwise(F.lit("often")).alias("lang"),
+    )
+    got = sorted(langid.sample(docs, F.lit(True)))
+    want = []
+    for lang in ("often", "rare"):
+        by_hash = docs.filter(F.col("lang") == lang).orderBy(F.xxhash64(F.col("doc_id").cast("string")))
+        want += [(lang, r.text) for r in by_hash.limit(40).collect()]
+    assert got == sorted(want) and len(got) == 60
+    # One id for all rows: its hash is in no small range, and is taken all the same.
+    assert len(langid.sample(docs.withColumn("doc_id", F.lit(7)), F.lit(True))) == 60
