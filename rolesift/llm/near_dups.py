@@ -14,7 +14,12 @@ A node of at most ``MOST_ALIKE`` members (``MOST_MEMBERS`` members and
 compared exhaustively. A larger one compares everybody
 with one member, and branches again unless its members already hang together, so
 a mass of near copies ends with that one comparison. Trees are repeated until a
-pair at the threshold is missed by all with a chance below ``MISS``.
+pair at the threshold is missed by all with a chance below ``MISS`` where nodes
+do not branch again. Each further level parts a pair with the same chance, so a
+tree keeps fewer pairs the deeper it is: members of nodes that branched go through
+more trees, by the depth reached, until such a pair is missed by all with a chance
+below ``DEEP_MISS``. Nodes still large after ``MOST_LEVELS`` are compared whole,
+in chunks: each two chunks of a node are a group as small as a leaf.
 
 *Clusters.* In a first round tokens are compared, and what is needed is only which
 members hang together; so a leaf gives a forest, fewer links than members, never
@@ -48,11 +53,12 @@ SHINGLE = 5
 PERCENT = 80
 TOKENS = 64
 MISS = 1e-6
+DEEP_MISS = 1e-3  # where nodes branch again
 SURE = 4.2  # standard deviations by which a linked pair's tokens may fall short
 MOST_ALIKE = 32768  # members of a leaf where tokens are compared
 MOST_MEMBERS = 2048  # and where sets are
 MOST_SHINGLES = 4 << 20
-MOST_LEVELS = 64  # a pair that is still together then has agreed that often
+MOST_LEVELS = 64  # nodes that are large after so many are compared in chunks
 MOST_BROADCAST_BYTES = 32 << 20
 MULTIPLIERS = np.random.default_rng(64).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(
     2
@@ -65,11 +71,24 @@ def least_matches(percent: int) -> int:
     return max(1, math.floor(TOKENS * p - SURE * math.sqrt(TOKENS * p * (1 - p))))
 
 
-def n_trees(percent: int) -> int:
-    """Trees until a pair at the threshold is missed with a chance below MISS,
-    counting one level; a pair in a node that has to branch again meets in a
-    child with the same chance."""
-    return max(4, math.ceil(math.log(MISS) / math.log(1 - percent / 100)) + 2)
+def meets(percent: int, levels: int) -> float:
+    """The chance that a pair at the threshold shares a node of one tree so many
+    levels below the root: in either of two children, the second of which a
+    node has as often as makes the expected number one."""
+    p = percent / 100
+    chance = 1.0
+    for _ in range(levels):
+        chance = 1 - (1 - p * chance) * (1 - (1 / p - 1) * p * chance)
+    return chance
+
+
+def n_trees(percent: int, levels: int = 1) -> int:
+    """Trees until a pair at the threshold is missed by all with a chance below
+    MISS at the first level, and below DEEP_MISS at the given one."""
+    first = max(4, math.ceil(math.log(MISS) / math.log(1 - percent / 100)) + 2)
+    if levels == 1:
+        return first
+    return max(first, math.ceil(math.log(DEEP_MISS) / math.log(1 - meets(percent, levels))))
 
 
 # Sets and tokens
@@ -143,8 +162,8 @@ def _tokens(column: pa.Array) -> np.ndarray:
 NODES = "node bigint, member bigint, n bigint, alike bigint"
 
 
-def _children(percent: int, trees: int | None):
-    """Members of the children: of the roots of all trees, or of given nodes."""
+def _children(percent: int, trees: range | None):
+    """Members of the children: of the roots of the trees, or of given nodes."""
     second = 100 / percent - 1
 
     def step(path: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,7 +190,7 @@ def _children(percent: int, trees: int | None):
             else:
                 paths = [
                     np.full(len(tokens), mix(np.array([1000 + t], dtype=np.uint64))[0])
-                    for t in range(trees)
+                    for t in trees
                 ]
             for path in paths:
                 for some, node in step(path, tokens):
@@ -195,6 +214,28 @@ def _is_small(members: Column, shingles: Column, exact: bool) -> Column:
     return (members <= 2) | ((members <= MOST_MEMBERS) & (shingles <= MOST_SHINGLES))
 
 
+def _n_chunks(members: Column, shingles: Column, exact: bool) -> Column:
+    """Chunks of a node, two of which are no more than a leaf on average."""
+    if not exact:
+        return F.ceil(2 * members / MOST_ALIKE)
+    return F.greatest(F.ceil(2 * members / MOST_MEMBERS), F.ceil(2 * shingles / MOST_SHINGLES))
+
+
+def chunk_pairs(nodes: DataFrame) -> DataFrame:
+    """(group, member): a group for each two chunks of a node (node, member,
+    chunks), so that every two members of the node are in one group."""
+    own = F.pmod(F.xxhash64("member", "node"), F.col("chunks"))
+    return (
+        nodes.select("node", "member", own.alias("own"), F.greatest("chunks", F.lit(2)).alias("n"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+        .filter("own <> other")
+        .select(
+            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
+            "member",
+        )
+    )
+
+
 LINKS = "a bigint, b bigint"
 
 
@@ -269,7 +310,7 @@ def _nodes(children: DataFrame, exact: bool, path: str) -> DataFrame:
     )
     sizes = sizes.filter(F.col("members") > 1).withColumn(
         "small", _is_small(F.col("members"), F.col("shingles"), exact)
-    )
+    ).withColumn("chunks", _n_chunks(F.col("members"), F.col("shingles"), exact))
     # A member is at most twice in a node; leaves take it once.
     children.select("node", "member").join(sizes.drop("shingles"), "node").write.parquet(path)
     return children.sparkSession.read.parquet(path)
@@ -336,48 +377,64 @@ def grow(
 ) -> DataFrame:
     """Links (a, b) between members (member, n, tokens) found in all trees.
     ``leaves`` links the members of small nodes (group, member); ``with_one``
-    those of a row (member, one). ``exact`` tells that they read full sets."""
+    those of a row (member, one). ``exact`` tells that they read full sets.
+
+    The first trees hold all members. If nodes branched, those of their members
+    go through as many more as the depth asks for."""
     spark = members.sparkSession
     tokens = members.select("member", "n", "tokens")
-    children = tokens.mapInArrow(_children(percent, n_trees(percent)), NODES)
     links: list[DataFrame] = []
 
-    def keep(found: DataFrame, name: str) -> None:
+    def written(found: DataFrame, name: str) -> DataFrame:
         found.write.parquet(f"{path}/{name}")
-        links.append(spark.read.parquet(f"{path}/{name}"))
-
-    for level in range(MOST_LEVELS):
-        nodes = _nodes(children, exact, f"{path}/nodes-{level}")
-        keep(
-            leaves(nodes.filter("small").select(F.col("node").alias("group"), "member")),
-            f"leaves-{level}",
-        )
-        large = nodes.filter("not small")
-        if large.isEmpty():
-            break
-        keep(
-            with_one(large.filter("member <> one").select("member", "one").distinct()),
-            f"stars-{level}",
-        )
-        every = reduce(DataFrame.unionByName, links)
-        labels = components(every, f"{path}/together-{level}")
-        apart = (
-            large.filter("not same")
-            .join(labels, "member", "left")
-            .groupBy("node")
-            .agg(
-                F.min(F.coalesce("label", "member")).alias("low"),
-                F.max(F.coalesce("label", "member")).alias("high"),
+        return spark.read.parquet(f"{path}/{name}")
+
+    trees, deepest, among, turn = range(n_trees(percent)), 1, tokens, 0
+    while len(trees):
+        children = among.mapInArrow(_children(percent, trees), NODES)
+        for level in range(1, MOST_LEVELS + 1):
+            name = f"{turn}-{level}"
+            nodes = _nodes(children, exact, f"{path}/nodes-{name}")
+            small = nodes.filter("small").select(F.col("node").alias("group"), "member")
+            links.append(written(leaves(small), f"leaves-{name}"))
+            large = nodes.filter("not small")
+            if large.isEmpty():
+                break
+            pairs = large.filter("member <> one").select("member", "one").distinct()
+            links.append(written(with_one(pairs), f"stars-{name}"))
+            every = reduce(DataFrame.unionByName, links)
+            labels = components(every, f"{path}/together-{name}")
+            apart = (
+                large.filter("not same")
+                .join(labels, "member", "left")
+                .groupBy("node")
+                .agg(
+                    F.min(F.coalesce("label", "member")).alias("low"),
+                    F.max(F.coalesce("label", "member")).alias("high"),
+                )
+                .filter("low <> high")
+                .select("node")
             )
-            .filter("low <> high")
-            .select("node")
-        )
-        children = (
-            large.select("node", "member")
-            .join(apart, "node")
-            .join(tokens, "member")
-            .mapInArrow(_children(percent, None), NODES)
-        )
+            open_ = written(
+                large.select("node", "member", "chunks").join(apart, "node"), f"open-{name}"
+            )
+            if open_.isEmpty():
+                break
+            if level == MOST_LEVELS:
+                links.append(written(leaves(chunk_pairs(open_)), f"rest-{name}"))
+                break
+            if level == 1:
+                branched = open_.select("member").distinct()
+            deepest = max(deepest, level + 1)
+            children = (
+                open_.select("node", "member")
+                .join(tokens, "member")
+                .mapInArrow(_children(percent, None), NODES)
+            )
+        trees = range(trees.stop, n_trees(percent, deepest))
+        if len(trees):
+            among = written(branched.join(tokens, "member").select(*tokens.columns), f"among-{turn}")
+            turn += 1
     return reduce(DataFrame.unionByName, links)
 
 

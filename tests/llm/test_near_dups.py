@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_rows import awkward  # noqa: F401
@@ -98,6 +99,96 @@ def test_large_nodes_and_clusters(spark, monkeypatch):
     assert found(spark, docs, 85) == brute_force(docs, 85)
 
 
+def test_members_left_after_the_last_level(spark, monkeypatch):
+    """With one level, what is still large is compared in chunks, and all is found."""
+    docs = corpus(4, base=3, copies=40, changes=5)
+    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 6)
+    monkeypatch.setattr(near_dups, "MOST_ALIKE", 6)
+    monkeypatch.setattr(near_dups, "MOST_LEVELS", 1)
+    assert found(spark, docs, 85) == brute_force(docs, 85)
+
+
+def test_every_two_members_are_in_one_chunk_pair(spark):
+    nodes = spark.createDataFrame(
+        [(7, m, 5) for m in range(60)] + [(8, m, 2) for m in range(5)] + [(9, 1, 1), (9, 2, 1)],
+        "node long, member long, chunks long",
+    )
+    groups = {}
+    for r in near_dups.chunk_pairs(nodes).collect():
+        groups.setdefault(r.group, set()).add(r.member)
+    together = {(a, b) for g in groups.values() for a in g for b in g}
+    assert {(a, b) for a in range(60) for b in range(60)} <= together
+    assert max(map(len, groups.values())) < 50
+
+
+def family(seed, pairs, words=200, own=3, more=3):
+    """Texts from one template, about 0.73 alike to each other, each with a
+    partner that has ``more`` further words of its own and is 0.85 alike."""
+    rng = random.Random(seed)
+    template = [f"w{i}" for i in range(words)]
+    docs = []
+    for _ in range(pairs):
+        places = rng.sample(range(5, words - 5, 6), own + more)
+        first = list(template)
+        for at in places[:own]:
+            first[at] = f"x{rng.randrange(10**9)}"
+        second = list(first)
+        for at in places[own:]:
+            second[at] = f"x{rng.randrange(10**9)}"
+        docs += [" ".join(first), " ".join(second)]
+    return list(enumerate(docs))
+
+
+def test_pairs_inside_a_family(spark, monkeypatch):
+    """Nodes of alike texts branch over several levels before they are leaves."""
+    docs = family(6, 60)
+    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 30)
+    want = brute_force(docs, 85)
+    assert 50 < len({c for _, _, c in want}) <= 60
+    got = found(spark, docs, 85)
+    assert sum(a == b for a, b in zip(got, want)) >= 0.98 * len(docs)
+
+
+def pairs_found(percent, levels, n_pairs, seed=0):
+    """The share of pairs of equal tokens just below the threshold that share a
+    node of any tree after so many levels, by the operator's own branching."""
+    rng = np.random.default_rng(seed)
+    first = rng.integers(0, 2**32, (n_pairs, near_dups.TOKENS), dtype=np.uint32)
+    second = first.copy()
+    for row in second:
+        unlike = rng.permutation(near_dups.TOKENS)[int(near_dups.TOKENS * percent / 100) :]
+        row[unlike] = rng.integers(0, 2**32, len(unlike), dtype=np.uint32)
+    tokens = np.stack([first, second], axis=1).reshape(-1, near_dups.TOKENS)
+
+    def batch(member, **more):
+        return pa.RecordBatch.from_pydict(
+            {"member": member, "n": np.ones(len(member), np.int64),
+             "tokens": [t.tobytes() for t in tokens[member]], **more}
+        )
+
+    step = near_dups._children(percent, range(near_dups.n_trees(percent, levels)))
+    batches = [batch(np.arange(2 * n_pairs))]
+    for _ in range(levels):
+        out = pa.Table.from_batches(list(step(iter(batches))))
+        rows_ = np.unique(
+            np.stack([out["node"].to_numpy(), out["member"].to_numpy()], axis=1), axis=0
+        )
+        node, member = rows_.T
+        pair, count = np.unique(np.stack([node, member // 2], axis=1), axis=0, return_counts=True)
+        pair = pair[count == 2]
+        step = near_dups._children(percent, None)
+        batches = [batch(np.concatenate([2 * pair[:, 1], 2 * pair[:, 1] + 1]),
+                         node=np.tile(pair[:, 0], 2))]
+    return len(np.unique(pair[:, 1])) / n_pairs
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("levels", [1, 5, 10, 20])
+def test_recall_of_deep_nodes(percent, levels):
+    assert (1 - near_dups.meets(percent, levels)) ** near_dups.n_trees(percent, levels) <= near_dups.DEEP_MISS
+    assert pairs_found(percent, levels, 1000) >= 0.98
+
+
 def test_copies_around_one_text(spark):
     """Copies that are near their origin and not each other."""
     rng = random.Random(5)
