@@ -141,10 +141,10 @@ def family(seed, pairs, words=200, own=3, more=3):
 
 def test_pairs_inside_a_family(spark, monkeypatch):
     """Nodes of alike texts branch over several levels before they are leaves."""
-    docs = family(6, 60)
-    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 30)
+    docs = family(6, 24)
+    monkeypatch.setattr(near_dups, "MOST_MEMBERS", 24)
     want = brute_force(docs, 85)
-    assert 50 < len({c for _, _, c in want}) <= 60
+    assert 20 < len({c for _, _, c in want}) <= 24
     got = found(spark, docs, 85)
     assert sum(a == b for a, b in zip(got, want)) >= 0.98 * len(docs)
 
