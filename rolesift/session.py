@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+from rolesift.sources import files
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Merges small shuffle partitions, splits skewed ones and picks broadcasts
@@ -42,6 +47,10 @@ def build_session(
     return builder.getOrCreate()
 
 
+#: Folders given out since the innermost ``scratch`` was entered.
+_given: ContextVar[list[str] | None] = ContextVar("given", default=None)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the cluster's ``spark.checkpoint.dir``. Only a
     local session without that setting gets a temporary folder."""
@@ -52,4 +61,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rolesift-"))
         base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/rolesift/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/rolesift/{name}-{uuid.uuid4().hex}"
+    given = _given.get()
+    if given is not None:
+        given.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, the intermediate tables that operators called inside
+    have written, also after an error. DataFrames made inside may still read
+    them: write inside what is to stay, to a folder from outside."""
+    given: list[str] = []
+    before = _given.set(given)
+    try:
+        yield
+    finally:
+        _given.reset(before)
+        for path in given:
+            files.remove(spark, path)

@@ -17,7 +17,8 @@ from rolesift.operators.validate import validate
 from rolesift.plans.flows import find_and_score
 from rolesift.plans.postings_fx import postings_fx
 from rolesift.schema import OUTBOX, POSTING, SCORED
-from rolesift.session import shared_dir
+from rolesift.session import scratch, shared_dir
+from rolesift.sources.files import exists
 from rolesift.sources.keyed import append_keyed, read_keyed, runs
 from rolesift.sources.pages import scan_pages
 from rolesift.sources.store import merge_newest
@@ -338,3 +339,22 @@ def test_shared_dir():
     assert shared_dir(session(None, "yarn", "s3a://b/c"), "x").startswith("s3a://b/c/rolesift/x-")
     with pytest.raises(ValueError):
         shared_dir(session(None, "yarn"), "x")
+
+
+def test_scratch(spark):
+    """Only what was given out inside is removed, also after an error."""
+    outer = shared_dir(spark, "outer")
+    spark.range(3).write.parquet(outer)
+    made = []
+    with pytest.raises(RuntimeError), scratch(spark):
+        made.append(shared_dir(spark, "first"))
+        spark.range(3).write.parquet(made[0])
+        with scratch(spark):
+            made.append(shared_dir(spark, "second"))
+            spark.range(3).write.parquet(made[1])
+        assert [exists(spark, x) for x in made] == [True, False]
+        raise RuntimeError
+    assert [exists(spark, x) for x in made] == [False, False]
+    assert spark.read.parquet(outer).count() == 3
+    with scratch(spark):
+        shared_dir(spark, "never written")
