@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from rolesift.llm.arrays import mix, text_groups, window_hashes, words_of
 from rolesift.llm.blocks import grouped, pack, unpack
-from rolesift.session import shared_dir
+from rolesift.session import scratch, shared_dir
 
 SHINGLE = 5
 PERCENT = 80
@@ -631,10 +631,10 @@ def find_near_duplicates(
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: one of each component,
     and each row without words. Of rows that repeat both id and text one stays."""
-    kept = find_near_duplicates(docs, percent).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), *KEY).distinct()
     path = shared_dir(docs.sparkSession, "kept")
-    kept.write.parquet(path)
+    with scratch(docs.sparkSession):
+        kept = find_near_duplicates(docs, percent).filter("kept")
+        kept.select(F.col("doc_id").alias("__id"), *KEY).distinct().write.parquet(path)
     kept = docs.sparkSession.read.parquet(path)
     # The rows travel as structs, so that none of their names is in the way.
     rows = docs.select(

@@ -1,5 +1,6 @@
 """Near-duplicates against brute force, over leaves, branches and large clusters."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import pytest
 
 from llm_rows import awkward  # noqa: F401
 
+from rolesift import session
 from rolesift.llm import near_dups
 from rolesift.llm.near_dups import components, find_near_duplicates
 from rolesift.llm.queries import QUERIES
@@ -229,6 +231,22 @@ def test_one_row_of_each_group_stays(spark):
     )
 
 
+def test_tables_on_the_way_are_removed(spark, tmp_path, monkeypatch):
+    """Only the list of kept rows is left once it is written."""
+    monkeypatch.setattr(near_dups, "shared_dir", lambda _, name: _recorded(f"{tmp_path}/{name}"))
+
+    def _recorded(path):
+        given = session._given.get()
+        if given is not None:
+            given.append(path)
+        return path
+
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    kept = near_dups.drop_near_duplicates(df)
+    assert os.listdir(tmp_path) == ["kept"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_components(spark):
     """Long ways and a hub."""
     path = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 300)]
