@@ -156,3 +156,33 @@ def test_every_context_has_its_own_followers(spark):
     scores = [got[len(texts) + k] for k in range(len(asked))]
     assert scores[0] == pytest.approx(scores[1], abs=0.05)
     assert scores[2] == pytest.approx(scores[3], abs=0.05)
+
+
+def test_all_texts_together_have_probability_one(spark):
+    """Over a few words and one unknown one, from the scores of the empty text and
+    of all texts of one and two words: longer ones follow, as each word depends on
+    the one before only."""
+    rng = np.random.default_rng(3)
+    known = ["a", "b", "c", "d", "e"]
+    taught = [" ".join(rng.choice(known, rng.integers(0, 9), p=[0.5, 0.2, 0.15, 0.1, 0.05])) for _ in range(200)]
+    words = [*known, "unknown"]
+    asked = ["", *words, *(f"{v} {w}" for v in words for w in words)]
+    docs = spark.createDataFrame(list(enumerate(taught + asked)), "doc_id long, text string")
+    scored = score_documents(docs, held=F.col("doc_id") >= len(taught))
+    rows_ = scored.filter("held_out").orderBy("doc_id").collect()
+    p = 10 ** np.array([r.score for r in rows_])
+    n = len(words)
+    one, two = p[1 : n + 1], p[n + 1 :].reshape(n, n)
+    longer = np.linalg.solve(np.eye(n) - two / one, one)
+    assert p[0] + longer.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_the_number_of_buckets_hardly_matters(spark, monkeypatch):
+    """Buckets guess the corpus' totals during the sweeps."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    found = []
+    for n in (1, 40):
+        monkeypatch.setattr(pitman_yor, "bucket_count", lambda *_, n=n: n)
+        found.append({r.held_out: r.perplexity for r in perplexity(score_documents(docs)).collect()})
+    for key in (True, False):
+        assert found[0][key] == pytest.approx(found[1][key], rel=0.01)
