@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +80,15 @@ def _files(df: DataFrame, folder: str, *parts: Column) -> str:
     return folder
 
 
+def _scans(df: DataFrame, folder: str, *parts: Column) -> Iterator[str]:
+    """Lands the rows of one part after another, in a file for each task, and
+    gives the folder after each: a run of a stream then takes what has landed
+    since the run before as one batch, over many tasks."""
+    for part in parts:
+        df.filter(part).write.mode("append").parquet(folder)
+        yield folder
+
+
 def _landing(sf_dir: str, table: str) -> str:
     """A glob, so that a table may be one file or a folder of files."""
     return f"{sf_dir}/{table}*.parquet"
@@ -398,18 +407,20 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PAGE).parquet(f"{work}/pages")
 
 
-def _overlapping(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
-    """A stream of sightings in three overlapping files, a batch each."""
+def _overlapping(spark: SparkSession, sf_dir: str, work: str) -> Iterator[DataFrame]:
+    """A stream of sightings after each of four overlapping scans, a batch each."""
     k = F.col("o_orderkey")
     orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
-    folder = _files(orders, f"{work}/landing", k % 3 == 0, k % 3 <= 1, k % 2 == 0, k % 2 == 1)
-    return validate(sightings(landed(spark, folder, ORDERS, max_files=1)))[0]
+    parts = (k % 3 == 0, k % 3 <= 1, k % 2 == 0, k % 2 == 1)
+    for folder in _scans(orders, f"{work}/landing", *parts):
+        yield validate(sightings(landed(spark, folder, ORDERS)))[0]
 
 
 @query
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "first-seen")
-    run_first_seen(_overlapping(spark, sf_dir, work), f"{work}/urls", f"{work}/checkpoint")
+    for stream in _overlapping(spark, sf_dir, work):
+        run_first_seen(stream, f"{work}/urls", f"{work}/checkpoint")
     return read_first_seen(spark, f"{work}/urls", POSTING).select("url")
 
 
@@ -418,8 +429,8 @@ def first_seen_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls are new again in every period of 200 days; files are not in order of
     time, so most sightings come late."""
     work = shared_dir(spark, "first-seen-within")
-    stream = _overlapping(spark, sf_dir, work)
-    run_first_seen(stream, f"{work}/urls", f"{work}/checkpoint", days=200)
+    for stream in _overlapping(spark, sf_dir, work):
+        run_first_seen(stream, f"{work}/urls", f"{work}/checkpoint", days=200)
     seen = read_first_seen(spark, f"{work}/urls", POSTING)
     period = F.floor(F.unix_timestamp("seen_at") / (200 * 86_400)).cast("long")
     return seen.select("url", period.alias(PERIOD))
@@ -428,9 +439,8 @@ def first_seen_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_seen_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "first-seen-by-state")
-    run_first_seen_by_state(
-        _overlapping(spark, sf_dir, work), f"{work}/urls", f"{work}/checkpoint"
-    )
+    for stream in _overlapping(spark, sf_dir, work):
+        run_first_seen_by_state(stream, f"{work}/urls", f"{work}/checkpoint")
     return spark.read.schema(POSTING).parquet(f"{work}/urls").select("url")
 
 
@@ -438,8 +448,10 @@ def first_seen_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings a year or more behind what had landed before."""
     work = shared_dir(spark, "late")
-    stream = _overlapping(spark, sf_dir, work)
-    put_aside_late(stream, f"{work}/routed", f"{work}/checkpoint", "365 days").awaitTermination()
+    for stream in _overlapping(spark, sf_dir, work):
+        put_aside_late(
+            stream, f"{work}/routed", f"{work}/checkpoint", "365 days"
+        ).awaitTermination()
     late = read_late(spark, f"{work}/routed", POSTING)
     return late.groupBy("posting_id", "url").agg(F.count("*").alias("times"))
 

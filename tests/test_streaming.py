@@ -1,6 +1,7 @@
 """Scheduled scans: overlapping runs, an empty run, replays."""
 
 import datetime as dt
+import os
 
 import pytest
 from conftest import rows
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from rolesift.functions.terms import default_rules
 from rolesift.operators.review import strong_fits
 from rolesift.operators.validate import validate
+from rolesift.plans import registry
 from rolesift.plans.flows import find_and_score
 from rolesift.plans.postings_fx import postings_fx
 from rolesift.schema import OUTBOX, PAGE, POSTING
@@ -254,3 +256,19 @@ def test_processed_files_leave_the_landing_folder(spark, tmp_path):
     assert len(list(archive.rglob("*.parquet"))) >= 1
     there = spark.read.schema(schema).parquet(f"{tmp_path}/sink")
     assert sorted(r.url for r in there.collect()) == ["u0", "u1", "u2"]
+
+
+@pytest.mark.parametrize("name, scans", [("first_seen", 4)])
+def test_a_scan_lands_in_many_files_and_is_one_batch(spark, tmp_path, monkeypatch, name, scans):
+    """A batch of one file is one task's work, however many rows it has."""
+    table = "pages" if name == "watch_pages" else "orders"
+    source, work = f"{tmp_path}/sf", f"{tmp_path}/work"
+    whole = spark.read.parquet(f"{SF_DIR}/{table}.parquet")
+    whole.repartition(6).write.parquet(f"{source}/{table}.parquet")
+    want = rows(registry.QUERIES[name](spark, SF_DIR))
+    monkeypatch.setattr(registry, "shared_dir", lambda *_: work)
+    assert rows(registry.QUERIES[name](spark, source)) == want
+    landed = [n for n in os.listdir(f"{work}/landing") if n.startswith("part-")]
+    assert len(landed) >= 4 * scans
+    batches = [n for n in os.listdir(f"{work}/checkpoint/commits") if n.isdigit()]
+    assert len(batches) == scans
