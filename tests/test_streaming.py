@@ -238,6 +238,24 @@ def test_a_replayed_batch_is_routed_alike(spark, tmp_path):
         assert [r.url for r in read_late(spark, routed, schema).collect()] == ["b"]
 
 
+def test_late_rows_are_put_aside_without_a_sort(spark, tmp_path):
+    """A task holds none of its rows back, so a large file needs no memory."""
+    landing, routed = f"{tmp_path}/landing", f"{tmp_path}/routed"
+    schema = dated(spark).schema
+    for scan in ([("a", "2024-01-30")], [("b", "2024-01-01"), ("c", "2024-01-29"), ("n", None)]):
+        dated(spark, *scan).coalesce(1).write.mode("append").parquet(landing)
+        put_aside_late(
+            scan_stream(spark, landing, schema), routed, f"{tmp_path}/work", "5 days"
+        ).awaitTermination()
+    assert sorted(r.url for r in read_late(spark, routed, schema).collect()) == ["b", "n"]
+    there = spark.read.parquet(f"{routed}/batch-*/is_late=false")
+    assert sorted(r.url for r in there.collect()) == ["a", "c"]
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
+    writes = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and routed in p]
+    assert writes and not any("Sort" in p for p in writes)
+
+
 def test_processed_files_leave_the_landing_folder(spark, tmp_path):
     landing, archive = tmp_path / "landing", tmp_path / "archive"
     schema = dated(spark).schema
@@ -258,7 +276,7 @@ def test_processed_files_leave_the_landing_folder(spark, tmp_path):
     assert sorted(r.url for r in there.collect()) == ["u0", "u1", "u2"]
 
 
-@pytest.mark.parametrize("name, scans", [("first_seen", 4), ("first_seen_within", 4)])
+@pytest.mark.parametrize("name, scans", [("first_seen", 4), ("first_seen_within", 4), ("late_sightings", 4)])
 def test_a_scan_lands_in_many_files_and_is_one_batch(spark, tmp_path, monkeypatch, name, scans):
     """A batch of one file is one task's work, however many rows it has."""
     table = "pages" if name == "watch_pages" else "orders"
