@@ -466,16 +466,14 @@ def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = (k % 5 == 0) & (date < "1997-01-01")
     early = ~late & (date < "1994-01-01")
     middle = ~late & date.between("1994-01-01", "1996-12-31 23:59:59")
-    folder = _files(
-        orders, f"{work}/landing", early, middle, ~late & (date >= "1997-01-01"), late
-    )
-    started = start_notifying(
-        sightings(landed(spark, folder, ORDERS, max_files=1)),
-        default_rules(spark),
-        f"{work}/outbox",
-        f"{work}/checkpoint",
-    )
-    started.awaitTermination()
+    parts = (early, middle, ~late & (date >= "1997-01-01"), late)
+    for folder in _scans(orders, f"{work}/landing", *parts):
+        start_notifying(
+            sightings(landed(spark, folder, ORDERS)),
+            default_rules(spark),
+            f"{work}/outbox",
+            f"{work}/checkpoint",
+        ).awaitTermination()
     return read_outbox(spark, f"{work}/outbox")
 
 

@@ -276,7 +276,15 @@ def test_processed_files_leave_the_landing_folder(spark, tmp_path):
     assert sorted(r.url for r in there.collect()) == ["u0", "u1", "u2"]
 
 
-@pytest.mark.parametrize("name, scans", [("first_seen", 4), ("first_seen_within", 4), ("late_sightings", 4)])
+@pytest.mark.parametrize(
+    "name, scans",
+    [
+        ("first_seen", 4),
+        ("first_seen_within", 4),
+        ("late_sightings", 4),
+        ("notify_stream", 4),
+    ],
+)
 def test_a_scan_lands_in_many_files_and_is_one_batch(spark, tmp_path, monkeypatch, name, scans):
     """A batch of one file is one task's work, however many rows it has."""
     table = "pages" if name == "watch_pages" else "orders"
