@@ -73,13 +73,6 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("seen_at", F.col("seen_at").cast("string"))
 
 
-def _files(df: DataFrame, folder: str, *parts: Column) -> str:
-    """Lands the rows of each part as a file of its own, one after another."""
-    for part in parts:
-        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
 def _scans(df: DataFrame, folder: str, *parts: Column) -> Iterator[str]:
     """Lands the rows of one part after another, in a file for each task, and
     gives the folder after each: a run of a stream then takes what has landed
@@ -479,21 +472,21 @@ def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def watch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in two overlapping files, to the outbox, with rules that suit them."""
+    """Pages in two overlapping scans, to the outbox, with rules that suit them."""
     work = shared_dir(spark, "watch")
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     page = F.col("page_id")
-    started = start_watching(
-        spark,
-        _files(pages, f"{work}/landing", page % 3 <= 1, page % 3 >= 1),
-        rules_table(spark, PAGE_RULES),
-        f"{work}/seen",
-        f"{work}/outbox",
-        f"{work}/checkpoint",
-        threshold=8,
-        seen_at=F.timestamp_seconds(page),
-        location=F.col("title"),
-        max_files=1,
-    )
-    started.awaitTermination()
+    parts = (page % 3 <= 1, page % 3 >= 1)
+    for folder in _scans(pages, f"{work}/landing", *parts):
+        start_watching(
+            spark,
+            folder,
+            rules_table(spark, PAGE_RULES),
+            f"{work}/seen",
+            f"{work}/outbox",
+            f"{work}/checkpoint",
+            threshold=8,
+            seen_at=F.timestamp_seconds(page),
+            location=F.col("title"),
+        ).awaitTermination()
     return read_outbox(spark, f"{work}/outbox")

@@ -283,6 +283,7 @@ def test_processed_files_leave_the_landing_folder(spark, tmp_path):
         ("first_seen_within", 4),
         ("late_sightings", 4),
         ("notify_stream", 4),
+        ("watch_pages", 2),
     ],
 )
 def test_a_scan_lands_in_many_files_and_is_one_batch(spark, tmp_path, monkeypatch, name, scans):
