@@ -30,6 +30,9 @@ from rolesift.streaming.scan import run_scan
 from rolesift.streaming.scan import scan_stream as landed
 from rolesift.streaming.watch import watch_pages as start_watching
 
+#: Rows of a landed file at most: a file of one row group is one task's work.
+SCAN_ROWS = 250_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -74,11 +77,12 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def _scans(df: DataFrame, folder: str, *parts: Column) -> Iterator[str]:
-    """Lands the rows of one part after another, in a file for each task, and
-    gives the folder after each: a run of a stream then takes what has landed
-    since the run before as one batch, over many tasks."""
+    """Lands the rows of one part after another, in files of ``SCAN_ROWS`` however
+    the table is laid out, and gives the folder after each: a run of a stream then
+    takes what has landed since the run before as one batch, over many tasks."""
     for part in parts:
-        df.filter(part).write.mode("append").parquet(folder)
+        landing = df.filter(part).write.option("maxRecordsPerFile", SCAN_ROWS)
+        landing.mode("append").parquet(folder)
         yield folder
 
 

@@ -299,3 +299,21 @@ def test_a_scan_lands_in_many_files_and_is_one_batch(spark, tmp_path, monkeypatc
     assert len(landed) >= 4 * scans
     batches = [n for n in os.listdir(f"{work}/checkpoint/commits") if n.isdigit()]
     assert len(batches) == scans
+
+
+@pytest.mark.parametrize("name", ["first_seen_within"])
+def test_a_scan_of_one_row_group_lands_in_many_files(spark, tmp_path, monkeypatch, name):
+    """A table of one file and one row group is landed by one task, and yet the
+    batch is not one task's work."""
+    source, work = f"{tmp_path}/sf", f"{tmp_path}/work"
+    whole = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    whole.coalesce(1).write.parquet(f"{source}/orders.parquet")
+    want = rows(registry.QUERIES[name](spark, SF_DIR))
+    monkeypatch.setattr(registry, "shared_dir", lambda *_: work)
+    monkeypatch.setattr(registry, "SCAN_ROWS", whole.count() // 12, raising=False)
+    assert rows(registry.QUERIES[name](spark, source)) == want
+    landed = spark.read.parquet(f"{work}/landing").groupBy(F.input_file_name()).count()
+    sizes = [r["count"] for r in landed.collect()]
+    assert len(sizes) >= 4 * 4 and max(sizes) <= registry.SCAN_ROWS
+    batches = [n for n in os.listdir(f"{work}/checkpoint/commits") if n.isdigit()]
+    assert len(batches) == 4
